@@ -181,13 +181,11 @@ select s.instance_id, a.agent, 'm' as model from ({SELECTED}) s cross join (sele
 where fail_to_pass <> '' and not exists (select 1 from eval_results e where e.instance_id = s.instance_id and e.agent = a.agent)"""
 
 
-def agents(t):
-    # configuration: named in the job, not read from data
-    return t.spark.createDataFrame([("agent-a", "m"), ("agent-b", "m"), ("agent-c", "m")], "agent string, model string")
+AGENTS = [("agent-a", "m"), ("agent-b", "m"), ("agent-c", "m")]
 
 
 def todo(t):
-    return sp.select_for_evaluation(t.specs, t.eval_results, agents(t), ["agent-a", "agent-b"])
+    return sp.select_for_evaluation(t.specs, t.eval_results, AGENTS, ["agent-a", "agent-b"])
 
 
 @query("eval_selection", TODO)
@@ -253,9 +251,12 @@ def keyed(t):
     return t.eval_results.where("instance_id <> ''").select("instance_id", "seq", "passed_p2p")
 
 
-@query("cache_scan", "select instance_id, seq, passed_p2p from eval_results where false")
+@query("cache_scan", LAST)
 def cache_scan(t):
-    return KeyedStore(t.spark, folder(t, "missing"), CACHE, ["instance_id"]).read()
+    store = KeyedStore(t.spark, folder(t, "cache"), CACHE, ["instance_id"])
+    store.add(keyed(t), 0, ["seq"])
+    missing = KeyedStore(t.spark, folder(t, "missing"), CACHE, ["instance_id"])
+    return store.read().unionByName(missing.read())
 
 
 @query("cache_upsert", LAST)

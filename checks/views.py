@@ -96,7 +96,7 @@ select repo, head_sha, 'head', concat(day, 'T12:00:00Z'), null from pull_request
 select {_FILE_REPO} as repo, cast(l_orderkey as string) as pr_number, cast(l_linenumber as int) as pos,
   case min(l_suppkey) % 6 when 0 then concat('tests/test_', cast(min(l_partkey) % 40 as string), '_', cast(l_linenumber as string), '.py')
     when 1 then concat('docs/note', cast(l_linenumber as string), '.md') else concat('src/m', cast(min(l_partkey) % 40 as string), '_', cast(l_linenumber as string), '.py') end as filename,
-  case min(l_returnflag) when 'A' then 'added' when 'R' then 'removed' else 'modified' end as status,
+  case min(case l_returnflag when 'A' then 0 when 'R' then 2 else 1 end) when 0 then 'added' when 2 then 'removed' else 'modified' end as status,
   cast(floor(min(l_quantity)) as bigint) as additions, cast(l_linenumber * 2 as bigint) as deletions,
   cast(floor(min(l_quantity)) as bigint) + l_linenumber * 2 as changes,
   case when min(l_partkey) % 8 = 0 then null else concat('@@ -1 +1 @@', chr(10), '+', repeat('p', cast(min(l_partkey) % 1200 as int))) end as patch,
@@ -116,7 +116,7 @@ select repo, filename, concat('h', pr_number), case
 from pr_files where filename like 'src/%' and status <> 'removed' and pr_id % 11 <> 0""",
     # test sources before and after a test patch
     "test_sources": """
-select concat('inst-', cast(cast(floor(p_partkey / 10.0) as bigint) as string)) as instance_id,
+select concat('inst-', cast(cast(floor(p_partkey / 2.0) as bigint) as string)) as instance_id,
   p_partkey as file_id, concat('tests/test_', cast(p_partkey as string), '.py') as path,
   concat('class TestA:', chr(10), '    def test_m(self):', chr(10), '        return ', cast(p_size as string), chr(10),
     'def test_f():', chr(10), '    return 1', chr(10),

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import ast
 from collections import deque
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+STATEMENTS = (ast.stmt, ast.excepthandler, ast.match_case)
 # types as objects: a DDL string could not be read before a session exists
 DEFINITIONS = ArrayType(StringType())
 ELEMENTS = ArrayType(StructType([
@@ -33,21 +35,34 @@ def _tree(source):
         return None
 
 
+def _inner_statements(node):
+    """Statements directly inside a node, in source order; expressions hold no definitions."""
+    for field in node._fields:
+        value = getattr(node, field, None)
+        if isinstance(value, list):
+            for child in value:
+                if isinstance(child, STATEMENTS):
+                    yield child
+
+
+# The same file text recurs from commit to commit, so a worker remembers the last few.
+@lru_cache(maxsize=256)
 def list_definitions(source) -> list[str]:
-    """Dotted paths of plain ``def``/``class`` reached through bodies of such only."""
+    """Dotted paths of plain ``def``/``class`` reached through bodies of such only, sorted."""
     tree = _tree(source)
     if tree is None:
         return []
-    found, pending = [], [("", node) for node in tree.body]
+    found, pending = set(), [("", node) for node in tree.body]
     while pending:
         prefix, node = pending.pop()
         if isinstance(node, (ast.FunctionDef, ast.ClassDef)):
             path = prefix + node.name
-            found.append(path)
+            found.add(path)
             pending.extend((path + ".", child) for child in node.body)
-    return sorted(set(found))
+    return sorted(found)
 
 
+@lru_cache(maxsize=256)
 def list_elements(source) -> list[dict]:
     """Classes, functions outside classes, and methods, each with its first span.
 
@@ -71,7 +86,7 @@ def list_elements(source) -> list[dict]:
                 functions.setdefault(node.name, node)
             for owner in owners:
                 inside.setdefault((owner, node.name), node)
-        queue.extend((child, below) for child in ast.iter_child_nodes(node))
+        queue.extend((child, below) for child in _inner_statements(node))
 
     lines = source.split("\n")
 
@@ -86,6 +101,11 @@ def list_elements(source) -> list[dict]:
     return out
 
 
+def candidate(source: Column) -> Column:
+    """Source worth parsing: text without either keyword is not even sent to a worker."""
+    return F.when(source.contains("def") | source.contains("class"), source)
+
+
 @F.pandas_udf(DEFINITIONS)
 def definitions(source: pd.Series) -> pd.Series:
     return source.map(list_definitions)

@@ -18,7 +18,7 @@ HEADINGS = {"added": "🟢 Added:", "modified": "🟡 Modified:", "deleted": "
 def code_elements(files: DataFrame, source: str) -> DataFrame:
     """Classes, functions and methods of each file with their lines; one row each."""
     keys = [name for name in files.columns if name != source]
-    return files.select(*keys, F.inline(source_code.elements(text.or_empty(F.col(source)))))
+    return files.select(*keys, F.inline(source_code.elements(source_code.candidate(F.col(source)))))
 
 
 def code_changes(pairs: DataFrame, before: str = "before_src", after: str = "after_src") -> DataFrame:
@@ -28,7 +28,7 @@ def code_changes(pairs: DataFrame, before: str = "before_src", after: str = "aft
     digest in place of the body, so one shuffle of short rows does the comparison.
     """
     keys = [name for name in pairs.columns if name not in (before, after)]
-    side = lambda name, column: source_code.elements(text.or_empty(F.col(column))).alias(name)
+    side = lambda name, column: source_code.elements(source_code.candidate(F.col(column))).alias(name)
     parsed = pairs.select(*keys, side("_b", before), side("_a", after))
 
     def tagged(column: str, tag: str) -> Column:

@@ -12,20 +12,20 @@ F2P, P2P = "FAIL_TO_PASS", "PASS_TO_PASS"
 def labels_of_runs(logs: DataFrame, key: str = "instance_id") -> DataFrame:
     """Labels straight from one log before and one after the patch: (instance, label, test).
 
-    Rows are distributed by (instance, test) once; the three aggregates on top of it
-    (last line, parameters, phases) all reuse that partitioning.
+    Both phases of a test path meet in one aggregate, and both phases of a test in a
+    second; each combines inside the map tasks first, so neither a hot instance nor a
+    test with very many parameters lands in one task.
     """
     parsed = testlogs.parsed_lines(testlogs.log_lines(logs.select(key, "phase", "log")))
-    placed = parsed.withColumn("base", testlogs.base_name(F.col("test_path"))).repartition(key, "base")
-    run = [key, "base", "phase"]
-    results = testlogs.last_status(placed, run)
-    levels = results.groupBy(*run).agg(F.max(testlogs.severity(F.col("status"))).alias("_level"))
-    rolled = levels.select(*run, testlogs.rolled_up(F.col("_level")).alias("status"))
-    status = lambda phase: F.max(F.when(F.col("phase") == phase, F.col("status")))
-    sides = rolled.groupBy(key, "base").agg(status("pre").alias("_pre"), status("post").alias("_post"))
-    label = F.when(F.col("_pre") == "FAILED", F2P).when(F.col("_pre") == "PASSED", P2P)
-    labelled = sides.where((F.col("_post") == "PASSED") & F.col("_pre").isin("FAILED", "PASSED"))
-    return labelled.select(key, label.alias("label"), F.col("base").alias("test"))
+    last = lambda phase: F.max(F.when(F.col("phase") == phase, testlogs.packed("line_no", "status")))
+    paths = parsed.groupBy(key, "test_path").agg(last("pre").alias("_pre"), last("post").alias("_post"))
+    worst = lambda side: F.max(testlogs.severity(testlogs.unpacked(side)))
+    tests = paths.groupBy(key, testlogs.base_name(F.col("test_path")).alias("test")).agg(
+        worst("_pre").alias("_pre"), worst("_post").alias("_post")
+    )
+    status = lambda side: testlogs.rolled_up(F.col(side))
+    label = F.when(status("_pre") == "FAILED", F2P).when(status("_pre") == "PASSED", P2P)
+    return tests.where(status("_post") == "PASSED").select(key, label.alias("label"), "test").where("label IS NOT NULL")
 
 
 def labels_of_selectors(selectors: DataFrame, logs: DataFrame, key: str = "instance_id") -> DataFrame:

@@ -68,7 +68,7 @@ def snapshot_definitions(contents: DataFrame) -> DataFrame:
 
     Snapshots are parsed where they are read. A null content stays null.
     """
-    listed = F.when(F.col("content").isNotNull(), source_code.definitions(text.or_empty(F.col("content"))))
+    listed = F.when(F.col("content").isNotNull(), source_code.definitions(source_code.candidate(F.col("content"))))
     return contents.select("repo", "path", "ref", listed.alias("definitions"))
 
 
@@ -76,8 +76,8 @@ def definition_diff(pairs: DataFrame, before: str, after: str) -> DataFrame:
     """New and deleted definitions between two source columns of one row."""
     keys = [name for name in pairs.columns if name not in (before, after)]
     listed = pairs.select(
-        *keys, source_code.definitions(text.or_empty(F.col(before))).alias("_before"),
-        source_code.definitions(text.or_empty(F.col(after))).alias("_after"),
+        *keys, source_code.definitions(source_code.candidate(F.col(before))).alias("_before"),
+        source_code.definitions(source_code.candidate(F.col(after))).alias("_after"),
     )
     new, gone = F.array_except("_after", "_before"), F.array_except("_before", "_after")
     return listed.select(
@@ -104,29 +104,26 @@ def file_violations(files: DataFrame, prs: DataFrame, definitions: DataFrame) ->
         F.when(looked_up & F.col("status").isin("added", "modified"), F.col("head_sha")).alias("head_ref"),
     )
 
-    # one long lookup instead of a join per side: both sides of a file meet in one aggregate
+    # One long lookup instead of a join per side: both sides of a file meet in one aggregate.
+    # Files that need no lookup pass through it with an empty reference.
     sides = F.array(
         F.struct(F.lit("base").alias("side"), F.col("base_ref").alias("ref")),
         F.struct(F.lit("head").alias("side"), F.col("head_ref").alias("ref")),
     )
     keep = [*PR, "filename", "status", "is_test", "is_source"]
-    wanted = at.select(*keep, F.inline(F.filter(sides, lambda one: one["ref"].isNotNull())))
-    landed = definitions.select("repo", F.col("path").alias("filename"), "ref", "definitions")
+    wanted = at.select(*keep, F.inline_outer(F.filter(sides, lambda one: one["ref"].isNotNull())))
+    landed = definitions.where(F.col("definitions").isNotNull()).select(
+        "repo", F.col("path").alias("filename"), "ref",
+        F.xxhash64("definitions").alias("_digest"), (F.size("definitions") > 0).alias("_defines"),
+    )
     found = wanted.join(landed, ["repo", "filename", "ref"], "left")
-    digest = F.xxhash64(F.array_sort("definitions"))
-
-    def on(side: str, value: Column) -> Column:
-        return F.max(F.when((F.col("side") == side) & F.col("definitions").isNotNull(), value))
-
+    on = lambda side: F.max(F.when(F.col("side") == side, F.col("_digest")))
     compared = found.groupBy(*keep).agg(
-        on("base", digest).alias("_base"), on("head", digest).alias("_head"),
-        F.max(F.size("definitions")).alias("_most"),
+        on("base").alias("_base"), on("head").alias("_head"), F.bool_or("_defines").alias("_defines")
     )
     differs = F.coalesce(F.col("_base") != F.col("_head"), F.lit(True))
-    violates = F.when(F.col("status") == "modified", differs).otherwise(F.col("_most") > 0)
-    checked = compared.select(*keep, F.coalesce(violates, F.lit(False)).alias("violates"))
-    unchecked = at.where(F.col("base_ref").isNull() & F.col("head_ref").isNull())
-    return checked.unionByName(unchecked.select(*keep, F.lit(False).alias("violates")))
+    violates = F.when(F.col("status") == "modified", differs).otherwise(F.coalesce("_defines", F.lit(False)))
+    return compared.select(*keep, (F.col("is_source") & violates).alias("violates"))
 
 
 def eligibility(files: DataFrame, prs: DataFrame, definitions: DataFrame, merged_only: bool = False) -> DataFrame:
@@ -240,8 +237,7 @@ def enriched_features(features: DataFrame, descriptions: DataFrame, responses: D
 def analyses(prs: DataFrame, files: DataFrame, lists: DataFrame, descriptions: DataFrame) -> DataFrame:
     """Nested analysis records of described pull requests (for export)."""
     change = F.struct("pos", "filename", "status", "additions", "deletions", "changes", "patch")
-    wanted = descriptions.select(*PR)
-    changes = files.join(wanted, PR, "left_semi").groupBy(*PR).agg(
+    changes = files.groupBy(*PR).agg(
         F.transform(F.array_sort(F.collect_list(change)), lambda entry: entry.dropFields("pos")).alias("file_changes")
     )
     joined = prs.join(descriptions, PR).join(changes, PR).join(lists, PR)

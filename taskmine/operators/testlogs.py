@@ -27,6 +27,16 @@ def _name(code: Column) -> Column:
     return named
 
 
+def packed(order: str, status: str) -> Column:
+    """Line number and status in one number that orders by line."""
+    return F.shiftleft(F.col(order).cast("bigint"), _BITS).bitwiseOR(_code(F.col(status)))
+
+
+def unpacked(column: str) -> Column:
+    """The status out of a packed number; null stays null."""
+    return _name(F.col(column) % (1 << _BITS))
+
+
 def base_name(path: Column) -> Column:
     """Test path without its parameters."""
     return F.substring_index(path, "[", 1)
@@ -51,9 +61,8 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
 
 def last_status(parsed: DataFrame, run: list[str], order: str = "line_no") -> DataFrame:
     """One status per test path of a run: that of its last line."""
-    packed = F.max(F.shiftleft(F.col(order).cast("bigint"), _BITS).bitwiseOR(_code(F.col("status")))).alias("_last")
-    kept = parsed.groupBy(*run, "test_path").agg(packed)
-    return kept.select(*run, "test_path", _name(F.col("_last") % (1 << _BITS)).alias("status"))
+    kept = parsed.groupBy(*run, "test_path").agg(F.max(packed(order, "status")).alias("_last"))
+    return kept.select(*run, "test_path", unpacked("_last").alias("status"))
 
 
 def test_results(logs: DataFrame, run: list[str]) -> DataFrame:
@@ -81,7 +90,7 @@ _SEVERITY = {"SKIPPED": 0, "PASSED": 1, "FAILED": 2}
 
 def severity(status: Column) -> Column:
     ranked = F.when(status == "SKIPPED", _SEVERITY["SKIPPED"]).when(status == "PASSED", _SEVERITY["PASSED"])
-    return ranked.otherwise(_SEVERITY["FAILED"])
+    return ranked.when(status.isNotNull(), _SEVERITY["FAILED"])
 
 
 def rolled_up(level: Column) -> Column:
