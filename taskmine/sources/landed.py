@@ -129,9 +129,9 @@ def final_results(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.posexplode("results").alias("seq", "_result")).select("seq", "_result.*")
 
 
-def task_specs(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array (or JSON lines) of task specs."""
-    return spark.read.schema(schemas.TASK_SPEC).option("multiLine", True).json(path)
+def task_specs(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """Task specs as JSON lines (splittable, what ``write_json`` writes), or as one JSON array."""
+    return spark.read.schema(schemas.TASK_SPEC).option("multiLine", not lines).json(path)
 
 
 def write_json(frame: DataFrame, path: str, partition_by: str | None = None) -> None:

@@ -60,9 +60,12 @@ class KeyedStore:
         base, batches = self._parts()
         parts = []
         if base is not None:
-            parts.append(self._scan([f"{self.folder}/base={base}"]).withColumn("batch", F.lit(base)))
+            whole = self.spark.read.schema(self.schema).parquet(f"{self.folder}/base={base}")
+            parts.append(whole.withColumn("batch", F.lit(base)))
         if batches:
-            parts.append(self._scan([f"{self.folder}/batch={n}" for n in batches]))
+            # the batch number comes back from the folder names
+            reader = self.spark.read.schema(self.schema).option("basePath", self.folder)
+            parts.append(reader.parquet(*[f"{self.folder}/batch={n}" for n in batches]))
         if not parts:
             return self.spark.createDataFrame([], self.schema)
         stored = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -91,8 +94,5 @@ class KeyedStore:
         batches = _committed(self.spark, self.folder, "batch")
         return base, [n for n in batches if base is None or n > base]
 
-    def _scan(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.schema).option("basePath", self.folder).parquet(*paths)
-
     def _merge(self, rows: DataFrame, order: list[str]) -> DataFrame:
         return keep_one(rows, self.keys, order, self.keep)
