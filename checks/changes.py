@@ -231,16 +231,20 @@ def sample_preview(t):
 
 
 @query("final_results", f"""{ENRICHED}
-select repo as repository, tag_name as "release", count(*) as features, cast(sum(n_prs) as bigint) as prs,
-  string_agg(feature_detailed_description, '; ' order by feature_pos) as details
-from enriched where feature_detailed_description is not null group by repo, tag_name""")
+select release_pos as seq, repo as repository, tag_name as "release", count(*) as features, cast(sum(n_prs) as bigint) as prs,
+  string_agg(feature_detailed_description, '; ' order by feature_pos) as details,
+  cast(case when release_pos % 2 = 0 then 1 else 0 end as int) as improvements, concat('notes of ', tag_name) as notes
+from enriched where feature_detailed_description is not null group by repo, tag_name, release_pos""")
 def final_results(t):
-    results = enrich.final_results(change_rows(t), landed_tables(t), pr_responses(t), feature_responses(t))
+    notes = t.release_answers.select("repo", "tag_name", F.concat(F.lit("notes of "), "tag_name").alias("body"))
+    answers = t.release_answers.drop("priority")
+    results = enrich.final_results(answers, notes, landed_tables(t), pr_responses(t), feature_responses(t))
     features = F.col("enhanced_new_features")
     counted = F.aggregate(features, F.lit(0).cast("bigint"), lambda n, one: n + F.size(one["pr_analyses"]))
     return results.select(
-        "repository", "release", F.size(features).cast("bigint").alias("features"), counted.alias("prs"),
+        "seq", "repository", "release", F.size(features).cast("bigint").alias("features"), counted.alias("prs"),
         F.array_join(F.transform(features, lambda one: one["feature_detailed_description"]), "; ").alias("details"),
+        F.size("original_analysis.improvements").alias("improvements"), F.col("original_analysis.processed_body").alias("notes"),
     )
 
 

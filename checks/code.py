@@ -138,14 +138,34 @@ def specs_skipped(t):
 
 
 @query("change_report", f"""
-select path, array_to_string(list_filter([
+select path, coalesce(nullif(array_to_string(list_filter([
     '🟢 Added:' || chr(10) || string_agg(line, chr(10) order by name, code_type) filter (change_type = 'added'),
     '🟡 Modified:' || chr(10) || string_agg(line, chr(10) order by name, code_type) filter (change_type = 'modified'),
     '🔴 Deleted:' || chr(10) || string_agg(line, chr(10) order by name, code_type) filter (change_type = 'deleted')],
-  lambda x: x is not null), chr(10)) as report
-from (select *, concat('  - ', code_type, ': ', name) as line from ({CHANGES})) group by path""")
+  lambda x: x is not null), chr(10)), ''), 'No changes detected in classes or functions.') as report
+from (select f.path, change_type, name, code_type, concat('  - ', code_type, ': ', name) as line
+  from test_sources f left join ({CHANGES}) c on c.path = f.path) group by path""")
 def change_report(t):
-    return cc.change_report(cc.code_changes(pairs(t)), ["path"])
+    return cc.change_report(cc.code_changes(pairs(t)), ["path"], t.test_sources)
+
+
+METHOD_HINT = "concat('  pytest -v -k ', chr(39), 'test_file.py::TestA::test_m', chr(39), chr(10), '  pytest -v -k ', chr(39), 'TestA and test_m', chr(39))"
+
+
+@query("test_change_report", f"""
+select path, case when count(name) = 0 then 'No pytest-related test changes detected.' else array_to_string(list_filter([
+    '🧪 Pytest test changes:', repeat('=', 40),
+    '🟢 Added tests:' || chr(10) || string_agg(line, chr(10) order by name) filter (change_type = 'added'),
+    '🟡 Modified tests:' || chr(10) || string_agg(line, chr(10) order by name) filter (change_type = 'modified'),
+    '🔴 Deleted tests:' || chr(10) || string_agg(line, chr(10) order by name) filter (change_type = 'deleted'),
+    chr(10) || '💡 Suggested pytest run commands:', repeat('-', 30),
+    'Run specific test functions:' || chr(10) || string_agg('  pytest -v -k ' || name, chr(10) order by name) filter (code_type = 'function'),
+    'Run specific test methods:' || chr(10) || string_agg({METHOD_HINT}, chr(10)) filter (code_type = 'method')],
+  lambda x: x is not null), chr(10)) end as report
+from (select f.path, change_type, name, code_type, concat('  - ', code_type, ': ', name) as line
+  from test_sources f left join ({TESTS}) c on c.path = f.path) group by path""")
+def test_change_report(t):
+    return cc.test_report(tests(t), ["path"], t.test_sources)
 
 
 @query("run_hints", f"""

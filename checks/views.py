@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from taskmine import ship
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -222,6 +224,7 @@ class Tables:
     """The given tables and the views on them, by attribute."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        ship(spark)
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -70,24 +70,47 @@ def parsed_answers(answers: DataFrame, column: str = "response") -> DataFrame:
     return parsed.select(*keys, *[F.coalesce(f"_answer.{name}", empty).alias(name) for name in CATEGORIES])
 
 
-def release_changes(parsed: DataFrame) -> DataFrame:
-    """One row per change, with its category, position and pull-request links."""
+def analysed(parsed: DataFrame) -> DataFrame:
+    """The four arrays with category names, and links in place of pull-request numbers."""
     keys = [name for name in parsed.columns if name not in CATEGORIES]
+    before, after = d.PR_URL.format(repo="\0", number="").split("\0")
+
+    def entry(item: Column, feature_type: str) -> Column:
+        numbers = F.coalesce(item["pr_ids"], F.array().cast("array<string>"))
+        links = F.transform(numbers, lambda number: F.concat(F.lit(before), F.col("repo"), F.lit(after), number))
+        description = text.or_empty(item["description"])
+        return F.struct(
+            F.lit(feature_type).alias("feature_type"), description.alias("description"), links.alias("pr_links")
+        )
 
-    def entries(field: str, feature_type: str) -> Column:
-        return F.transform(field, lambda item, pos: F.struct(
-            F.lit(feature_type).alias("feature_type"), pos.alias("feature_pos"),
-            text.or_empty(item["description"]).alias("description"), item["pr_ids"].alias("pr_ids"),
-        ))
+    def typed(field: str, feature_type: str) -> Column:
+        return F.transform(field, lambda item: entry(item, feature_type)).alias(field)
 
-    everything = F.concat(*[entries(*category) for category in CATEGORIES.items()])
-    rows = parsed.select(*keys, F.inline(everything))
-    before, after = d.PR_URL.format(repo="\0", number="").split("\0")
-    links = F.transform(
-        F.coalesce("pr_ids", F.array().cast("array<string>")),
-        lambda number: F.concat(F.lit(before), F.col("repo"), F.lit(after), number),
+    return parsed.select(*keys, *[typed(*category) for category in CATEGORIES.items()])
+
+
+def release_changes(analyses: DataFrame) -> DataFrame:
+    """One row per change, with its category, position in it, and links."""
+    keys = [name for name in analyses.columns if name not in CATEGORIES]
+    placed = [
+        F.transform(field, lambda item, pos: F.struct(
+            item["feature_type"].alias("feature_type"), pos.alias("feature_pos"),
+            item["description"].alias("description"), item["pr_links"].alias("pr_links"),
+        )) for field in CATEGORIES
+    ]
+    return analyses.select(*keys, F.inline(F.concat(*placed)))
+
+
+def analysis_records(analyses: DataFrame, releases: DataFrame) -> DataFrame:
+    """The stored analysis of each release (for export), with the notes it was made from."""
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+    notes = releases.select("repo", "tag_name", F.col("body").alias("processed_body"))
+    joined = analyses.join(notes, ["repo", "tag_name"], "left")
+    record = F.struct(
+        "tag_name", F.col("repo").alias("repo_name"), *CATEGORIES,
+        text.or_empty(F.col("processed_body")).alias("processed_body"), stamp.alias("analyzed_at"),
     )
-    return rows.withColumn("pr_links", links).drop("pr_ids")
+    return joined.select("repo", "tag_name", "release_pos", record.alias("original_analysis"))
 
 
 def change_counts(parsed: DataFrame) -> DataFrame:

@@ -11,8 +11,14 @@ from taskmine.operators.ranking import numbered_in_blocks
 TYPES = ["function", "class", "method"]
 
 # --- fixed values: report texts -------------------------------------------
-NO_CHANGES = "No changes detected in classes or functions."
 HEADINGS = {"added": "🟢 Added:", "modified": "🟡 Modified:", "deleted": "🔴 Deleted:"}
+TEST_HEADINGS = {"added": "🟢 Added tests:", "modified": "🟡 Modified tests:", "deleted": "🔴 Deleted tests:"}
+NO_CHANGES = "No changes detected in classes or functions."
+NO_TEST_CHANGES = "No pytest-related test changes detected."
+TEST_TITLE = "🧪 Pytest test changes:\n" + "=" * 40
+HINT_TITLE = "\n💡 Suggested pytest run commands:\n" + "-" * 30
+HINT_FUNCTIONS = "Run specific test functions:"
+HINT_METHODS = "Run specific test methods:"
 
 
 def code_elements(files: DataFrame, source: str) -> DataFrame:
@@ -110,16 +116,55 @@ def selector_batches(
     return numbered.withColumn("batch", batch.cast("bigint")).drop("position_total")
 
 
-def change_report(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """The changes of one file as text: grouped by kind of change, sorted by name."""
+def _listed(condition: Column, line: Column) -> Column:
+    """The lines of matching rows in one text, sorted by element name; null for none."""
+    entry = F.when(condition, F.struct("name", "code_type", line.alias("line")))
+    lines = F.transform(F.array_sort(F.collect_list(entry)), lambda one: one["line"])
+    return F.when(F.size(lines) > 0, F.array_join(lines, "\n"))
+
+
+def _sections(headings: dict[str, str]) -> list[Column]:
     line = F.concat(F.lit("  - "), F.col("code_type"), F.lit(": "), F.col("name"))
+    return [
+        F.concat(F.lit(heading + "\n"), _listed(F.col("change_type") == change, line))
+        for change, heading in headings.items()
+    ]
+
+
+def _with_unchanged(changes: DataFrame, files: DataFrame | None, keys: list[str]) -> DataFrame:
+    rows = changes.select(*keys, "change_type", "code_type", "name")
+    return rows if files is None else rows.unionByName(files.select(*keys), allowMissingColumns=True)
+
 
-    def section(change: str) -> Column:
-        entry = F.when(F.col("change_type") == change, F.struct("name", "code_type", line.alias("line")))
-        lines = F.transform(F.array_sort(F.collect_list(entry)), lambda one: one["line"])
-        return F.when(F.size(lines) > 0, F.concat_ws("\n", F.lit(HEADINGS[change]), F.array_join(lines, "\n")))
+def change_report(changes: DataFrame, keys: list[str], files: DataFrame | None = None) -> DataFrame:
+    """The changes of one file as text: grouped by kind of change, sorted by name.
 
-    return changes.groupBy(*keys).agg(F.concat_ws("\n", *[section(change) for change in HEADINGS]).alias("report"))
+    With ``files``, files without changes get a line that says so.
+    """
+    report = F.concat_ws("\n", *_sections(HEADINGS))
+    grouped = _with_unchanged(changes, files, keys).groupBy(*keys).agg(report.alias("report"))
+    return grouped.withColumn("report", F.when(F.col("report") == "", F.lit(NO_CHANGES)).otherwise(F.col("report")))
+
+
+def test_report(tests: DataFrame, keys: list[str], files: DataFrame | None = None) -> DataFrame:
+    """The changed tests of one file as text, with a command line for each."""
+    name = F.col("name")
+    owner, method = F.substring_index(name, ".", 1), F.substr(name, F.instr(name, ".") + 1)
+    by_node = F.concat(
+        F.lit("  pytest -v -k 'test_file.py::"), owner, F.lit("::"), method, F.lit("'\n  pytest -v -k '"),
+        owner, F.lit(" and "), method, F.lit("'"),
+    )
+    by_name = F.concat(F.lit("  pytest -v -k "), name)
+    is_type = lambda kind: F.col("code_type") == kind
+    report = F.concat_ws(
+        "\n", F.lit(TEST_TITLE), *_sections(TEST_HEADINGS), F.lit(HINT_TITLE),
+        F.concat(F.lit(HINT_FUNCTIONS + "\n"), _listed(is_type("function"), by_name)),
+        F.concat(F.lit(HINT_METHODS + "\n"), _listed(is_type("method"), by_node)),
+    )
+    rows = _with_unchanged(tests, files, keys)
+    grouped = rows.groupBy(*keys).agg(report.alias("_text"), F.count("change_type").alias("_n"))
+    shown = F.when(F.col("_n") > 0, F.col("_text")).otherwise(F.lit(NO_TEST_CHANGES))
+    return grouped.select(*keys, shown.alias("report"))
 
 
 def run_hints(tests: DataFrame) -> DataFrame:

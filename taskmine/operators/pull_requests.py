@@ -251,8 +251,8 @@ def analyses(prs: DataFrame, files: DataFrame, lists: DataFrame, descriptions: D
     return joined.select(*PR, record.alias("pr_analysis"))
 
 
-def nested_results(features: DataFrame, enriched: DataFrame, pr_analyses: DataFrame) -> DataFrame:
-    """One document per release with its enriched features (for export)."""
+def nested_results(features: DataFrame, enriched: DataFrame, pr_analyses: DataFrame, records: DataFrame) -> DataFrame:
+    """One document per release with its enriched features (for export), in release order ``seq``."""
     per_pr = features.select(*FEATURE, "pr_pos", *PR[1:]).join(pr_analyses, PR)
     entry = F.struct("pr_pos", "pr_analysis")
     gathered = per_pr.groupBy(*FEATURE).agg(
@@ -262,10 +262,15 @@ def nested_results(features: DataFrame, enriched: DataFrame, pr_analyses: DataFr
     feature = F.struct("feature_pos", F.struct(
         "feature_type", "description", "pr_analyses", "feature_detailed_description").alias("_feature"))
     joined = enriched.join(gathered, FEATURE)
-    return joined.groupBy(F.col("repo").alias("repository"), F.col("tag_name").alias("release")).agg(
+    documents = joined.groupBy("repo", "tag_name").agg(
         F.transform(F.array_sort(F.collect_list(feature), _by_position("feature_pos")), lambda one: one["_feature"])
         .alias("enhanced_new_features")
     )
+    return documents.join(records, ["repo", "tag_name"]).select(
+        F.col("release_pos").cast("bigint").alias("seq"), F.col("repo").alias("repository"),
+        F.col("tag_name").alias("release"), F.col("original_analysis.analyzed_at").alias("analyzed_at"),
+        "enhanced_new_features", "original_analysis",
+    )
 
 
 def _by_position(field: str):

@@ -43,4 +43,4 @@ def release_requests(repositories: DataFrame, analysed: DataFrame) -> DataFrame:
 
 def parse_release_changes(answers: DataFrame) -> DataFrame:
     """Answers to change rows with category, position and links."""
-    return changes.release_changes(changes.parsed_answers(answers))
+    return changes.release_changes(changes.analysed(changes.parsed_answers(answers)))

@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from taskmine.operators import pull_requests as pr, specs
+from taskmine.operators import changes as ch, pull_requests as pr, specs
 from taskmine.sources.stages import staged
 
 
@@ -50,21 +50,22 @@ def enrich_features(
 
 
 def final_results(
-    changes: DataFrame, landed: Landed, pr_responses: DataFrame, feature_responses: DataFrame
+    answers: DataFrame, releases: DataFrame, landed: Landed, pr_responses: DataFrame, feature_responses: DataFrame
 ) -> DataFrame:
     """The nested result documents, one per release with enriched features.
 
     The described pull requests are few next to what they are found in; they become a
     stage table, since both the features and the nested records start from them.
     """
-    features = pr.feature_prs(changes)
+    analysed = ch.analysed(ch.parsed_answers(answers))
+    features = pr.feature_prs(ch.release_changes(analysed))
     eligible = pr.eligibility(landed.files, landed.prs, pr.snapshot_definitions(landed.contents))
     descriptions = staged(pr.pr_descriptions(eligible, pr.first_mentions(features), pr_responses), "descriptions")
     enriched = pr.enriched_features(features, descriptions, feature_responses)
     described = lambda frame: frame.join(descriptions.select(*pr.PR), pr.PR, "left_semi")
     prs, files = pr.with_commits(described(landed.prs), landed.commits), described(landed.files)
     analyses = pr.analyses(prs, files, pr.file_lists(files), descriptions)
-    return pr.nested_results(features, enriched, analyses)
+    return pr.nested_results(features, enriched, analyses, ch.analysis_records(analysed, releases))
 
 
 def build_specs(results: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taskmine.functions import text
+from taskmine.operators.ranking import keep_one
 from taskmine.sources import schemas
 
 
@@ -123,8 +124,13 @@ def patch_files(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.col("_metadata.file_path").alias("patch_path"), F.col("value").alias("diff"))
 
 
-def final_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result documents ``{metadata, results: […]}`` as one row per release."""
+def final_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Result documents ``{metadata, results: […]}`` as one row per release.
+
+    ``lines`` reads what ``write_final_results`` wrote, which needs no whole document in a task.
+    """
+    if lines:
+        return spark.read.schema(schemas.FINAL_RESULT).json(f"{path}/results")
     read = spark.read.schema(schemas.FINAL_DOCUMENT).option("multiLine", True).json(path)
     return read.select(F.posexplode("results").alias("seq", "_result")).select("seq", "_result.*")
 
@@ -140,6 +146,12 @@ def write_json(frame: DataFrame, path: str, partition_by: str | None = None) ->
     (writer.partitionBy(partition_by) if partition_by else writer).json(path)
 
 
+def write_final_results(results: DataFrame, totals: DataFrame, path: str) -> None:
+    """Result records as JSON lines in ``results``, the header record in ``metadata``."""
+    write_json(results, f"{path}/results")
+    write_json(totals, f"{path}/metadata")
+
+
 def write_test_logs(logs: DataFrame, path: str) -> None:
     """Append test logs, partitioned by repository; earlier runs stay readable."""
     logs.write.mode("append").partitionBy("repo").parquet(path)
@@ -147,3 +159,8 @@ def write_test_logs(logs: DataFrame, path: str) -> None:
 
 def read_test_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.TEST_LOG + ", run_seq bigint").parquet(path)
+
+
+def latest_test_logs(logs: DataFrame) -> DataFrame:
+    """The newest log of each instance and phase."""
+    return keep_one(logs, ["repo", "instance_id", "phase"], ["run_seq"], "last")

@@ -54,11 +54,17 @@ ENHANCED_FEATURE = (
     "struct<feature_type:string,description:string,"
     f"pr_analyses:array<{PR_ANALYSIS}>,feature_detailed_description:string>"
 )
-FINAL_RESULT = (
-    "repository string, release string, analyzed_at string, "
-    f"enhanced_new_features array<{ENHANCED_FEATURE}>"
+_FEATURES = "array<struct<feature_type:string,description:string,pr_links:array<string>>>"
+RELEASE_ANALYSIS = (
+    f"struct<tag_name:string,repo_name:string,new_features:{_FEATURES},improvements:{_FEATURES},"
+    f"bug_fixes:{_FEATURES},other_changes:{_FEATURES},processed_body:string,analyzed_at:string>"
 )
-FINAL_DOCUMENT = f"results array<struct<{FINAL_RESULT.replace(' string', ':string').replace(' array', ':array')}>>"
+_RESULT_FIELDS = {
+    "repository": "string", "release": "string", "analyzed_at": "string",
+    "enhanced_new_features": f"array<{ENHANCED_FEATURE}>", "original_analysis": RELEASE_ANALYSIS,
+}
+FINAL_RESULT = "seq bigint, " + ", ".join(f"{name} {kind}" for name, kind in _RESULT_FIELDS.items())
+FINAL_DOCUMENT = "results array<struct<" + ",".join(f"{name}:{kind}" for name, kind in _RESULT_FIELDS.items()) + ">>"
 
 TASK_SPEC = (
     "repo string, instance_id string, base_commit string, "

@@ -71,7 +71,7 @@ def test_answers(spark):
     rows = [("r", "v1", '{"new_features":[{"description":"d","pr_ids":[12,"#3"]},{"pr_ids":[]}]}'), ("r", "v2", "oops"), ("r", "v3", None)]
     frame = spark.createDataFrame(rows, "repo string, tag_name string, response string")
     parsed = ch.parsed_answers(frame)
-    got = sorted((r["feature_pos"], r["description"], r["pr_links"]) for r in ch.release_changes(parsed).collect())
+    got = sorted((r["feature_pos"], r["description"], r["pr_links"]) for r in ch.release_changes(ch.analysed(parsed)).collect())
     assert got == [(0, "d", ["https://github.com/r/pull/12", "https://github.com/r/pull/#3"]), (1, "", [])]
     total = ch.change_counts(parsed).where("repo is null").first()
     assert (total["releases"], total["new_features"]) == (3, 2)

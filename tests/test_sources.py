@@ -82,6 +82,21 @@ def test_final_document_to_specs(spark, tmp_path):
     assert sorted(r["instance_id"] for r in landed.task_specs(spark, array, lines=False).collect()) == ["x", "y"]
 
 
+def test_written_results_read_back(spark, tmp_path):
+    change = "struct<filename:string,status:string,additions:bigint,deletions:bigint,changes:bigint,patch:string>"
+    rows = [(1, "o/r", "v1", "now", [(None, "d", [], "text")])]
+    frame = spark.createDataFrame(rows, "seq bigint, repository string, release string, analyzed_at string, enhanced_new_features "
+                                  f"array<struct<feature_type:string,description:string,pr_analyses:array<struct<file_changes:array<{change}>>>,feature_detailed_description:string>>")
+    landed.write_final_results(frame, spark.range(1), str(tmp_path / "final"))
+    (row,) = landed.final_results(spark, str(tmp_path / "final"), lines=True).collect()
+    assert (row["seq"], row["repository"], row["enhanced_new_features"][0]["feature_detailed_description"]) == (1, "o/r", "text")
+
+
+def test_latest_logs(spark):
+    frame = spark.createDataFrame([("r", "i", "pre", 0, "old"), ("r", "i", "pre", 1, "new"), ("r", "i", "post", 0, "x")], "repo string, instance_id string, phase string, run_seq int, log string")
+    assert sorted(r["log"] for r in landed.latest_test_logs(frame).collect()) == ["new", "x"]
+
+
 def test_release_requests_skip_analysed_releases(spark):
     repos = spark.createDataFrame([("o/r", "read me", [("v1", "b1"), ("v2", "b2")])], "full_name string, readme_content string, major_releases array<struct<tag_name:string,body:string>>")
     done = spark.createDataFrame([("o/r", "v1")], "repo string, tag_name string")
