@@ -9,6 +9,7 @@ from taskmine.functions import text
 from taskmine.operators import changes as ch, pull_requests as pr, repos as rep, specs as sp
 from taskmine.plans import collect, enrich
 from taskmine.sources import landed
+from taskmine.sources.stages import staged
 
 # the change rows of a generated answer, from the order key it was built of
 CHANGE_ROWS = """
@@ -227,7 +228,7 @@ chosen as (select repo, tag_name from kept group by repo, tag_name order by tag_
 select repo, tag_name, feature_pos, concat(left(description, 100), '...') as description_preview, n_prs,
   concat(left(feature_detailed_description, 150), '...') as detail_preview from kept join chosen using (repo, tag_name) where feature_pos < 2""")
 def sample_preview(t):
-    return pr.sample_preview(enriched(t), order=["tag_name"])
+    return pr.sample_preview(staged(enriched(t), "enriched"), order=["tag_name"])
 
 
 @query("final_results", f"""{ENRICHED}

@@ -11,6 +11,7 @@ from taskmine.functions import text
 from taskmine.operators import labels as lb, scoring as sc, specs as sp, testlogs as tl
 from taskmine.plans import label, score
 from taskmine.sources import landed
+from taskmine.sources.stages import staged
 from taskmine.sources.store import KeyedStore, work_folder
 from taskmine.streaming import incremental as inc
 
@@ -347,7 +348,7 @@ union all select 'agent-b', 'm', instance_id, null, null, false, null, null, nul
 @query("score_agents", SCORED)
 def score_agents(t):
     found = lb.labels_of_runs(t.test_logs)
-    texts = lb.rendered(t.test_logs.select("instance_id"), found)
+    texts = staged(lb.rendered(t.test_logs.select("instance_id"), found), "labels")
     labelled = texts.where("fail_to_pass is not null or pass_to_pass is not null")
     pairs = labelled.withColumn("agent", F.explode(F.array(F.lit("agent-a"), F.lit("agent-b")))).withColumn("model", F.lit("m"))
     key = [F.lit("agent-a").alias("agent"), F.lit("m").alias("model"), "instance_id"]

@@ -112,9 +112,10 @@ def file_violations(files: DataFrame, prs: DataFrame, definitions: DataFrame) ->
     )
     keep = [*PR, "filename", "status", "is_test", "is_source"]
     wanted = at.select(*keep, F.inline_outer(F.filter(sides, lambda one: one["ref"].isNotNull())))
-    landed = definitions.where(F.col("definitions").isNotNull()).select(
-        "repo", F.col("path").alias("filename"), "ref",
-        F.xxhash64("definitions").alias("_digest"), (F.size("definitions") > 0).alias("_defines"),
+    # not filtered on the definitions: that would run the parser a second time
+    landed = definitions.select(
+        "repo", F.col("path").alias("filename"), "ref", (F.size("definitions") > 0).alias("_defines"),
+        F.when(F.col("definitions").isNotNull(), F.xxhash64("definitions")).alias("_digest"),
     )
     found = wanted.join(landed, ["repo", "filename", "ref"], "left")
     on = lambda side: F.max(F.when(F.col("side") == side, F.col("_digest")))

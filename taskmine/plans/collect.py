@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from taskmine import defaults as d
 from taskmine.operators import changes, releases as rel, repos as rep
+from taskmine.sources.stages import staged
 
 
 def qualify_repositories(
@@ -25,7 +26,11 @@ def build_repositories(
     qualified: DataFrame, releases: DataFrame, files: DataFrame,
     limit: int = d.RELEASES_PER_REPO, min_release_date: str = d.MIN_RELEASE_DATE,
 ) -> DataFrame:
-    """Records of qualified repositories: top releases, README, workflow files."""
+    """Records of qualified repositories: top releases, README, workflow files.
+
+    The few qualified rows become a stage table, since every part is narrowed to them.
+    """
+    qualified = staged(qualified, "qualified")
     wanted = qualified.select(F.col("full_name").alias("repo"))
     own = lambda frame: frame.join(wanted, "repo", "left_semi")
     valid = rel.valid_releases(own(releases), min_date=min_release_date)
