@@ -9,6 +9,17 @@ from taskmine.operators import changes, releases as rel, repos as rep
 from taskmine.sources.stages import staged
 
 
+def candidates(
+    mode: str, listing: DataFrame | None = None, names: DataFrame | None = None, details: DataFrame | None = None
+) -> DataFrame:
+    """Repositories to look at: ranked by ``"stars"``, or a ``"specified"`` list of names."""
+    if mode == "stars":
+        return rep.rank_candidates(listing)
+    if mode == "specified":
+        return rep.detail_lookup(names, details)
+    raise ValueError(mode)
+
+
 def qualify_repositories(
     candidates: DataFrame, processed: DataFrame, files: DataFrame, releases: DataFrame,
     min_releases: int = d.MIN_RELEASES, min_release_date: str = d.MIN_RELEASE_DATE,

@@ -153,8 +153,13 @@ def write_final_results(results: DataFrame, totals: DataFrame, path: str) -> Non
 
 
 def write_test_logs(logs: DataFrame, path: str) -> None:
-    """Append test logs, partitioned by repository; earlier runs stay readable."""
-    logs.write.mode("append").partitionBy("repo").parquet(path)
+    """Append test logs; earlier runs stay readable.
+
+    One folder per ``run_seq``, not per repository: a few repositories hold most logs, and
+    many hold few. Files are ordered by repository, so a reader of one skips row groups.
+    """
+    ordered = logs.sortWithinPartitions("run_seq", "repo", "instance_id")
+    ordered.write.mode("append").partitionBy("run_seq").parquet(path)
 
 
 def read_test_logs(spark: SparkSession, path: str) -> DataFrame:

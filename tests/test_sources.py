@@ -92,9 +92,26 @@ def test_written_results_read_back(spark, tmp_path):
     assert (row["seq"], row["repository"], row["enhanced_new_features"][0]["feature_detailed_description"]) == (1, "o/r", "text")
 
 
-def test_latest_logs(spark):
-    frame = spark.createDataFrame([("r", "i", "pre", 0, "old"), ("r", "i", "pre", 1, "new"), ("r", "i", "post", 0, "x")], "repo string, instance_id string, phase string, run_seq int, log string")
-    assert sorted(r["log"] for r in landed.latest_test_logs(frame).collect()) == ["new", "x"]
+def test_log_history(spark, tmp_path):
+    rows = [("r", "i", "pre", 0, "old"), ("r", "i", "pre", 1, "new"), ("r", "i", "post", 0, "x")]
+    frame = spark.createDataFrame(rows, "repo string, instance_id string, phase string, run_seq bigint, log string")
+    for run in (0, 1):
+        landed.write_test_logs(frame.where(F.col("run_seq") == run), str(tmp_path / "logs"))
+    stored = landed.read_test_logs(spark, str(tmp_path / "logs"))
+    assert sorted(r["log"] for r in stored.collect()) == ["new", "old", "x"]
+    assert sorted(r["log"] for r in landed.latest_test_logs(stored).collect()) == ["new", "x"]
+
+
+def test_candidates_by_mode(spark):
+    listing = spark.createDataFrame([(f"o/{i}", 9000 - i, i) for i in range(150)], "full_name string, stargazers_count bigint, api_pos bigint")
+    assert collect.candidates("stars", listing=listing).count() == 51
+    details = spark.createDataFrame([("a", 1, 2, ["t"], None, None, None, True)], "full_name string, stargazers_count bigint, size bigint, topics array<string>, "
+                                    "language string, archived boolean, disabled boolean, fork boolean")
+    names = spark.createDataFrame([("a",), ("gone",), ("a",)], "full_name string")
+    got = [tuple(r) for r in collect.candidates("specified", names=names, details=details).collect()]
+    assert got == [("a", 1, 2, ["t"], "", False, False, True)] * 2
+    with pytest.raises(ValueError):
+        collect.candidates("both")
 
 
 def test_release_requests_skip_analysed_releases(spark):
@@ -158,6 +175,8 @@ def test_unfinished_batches_are_not_read(spark, tmp_path):
 def test_stage_tables_go_to_the_configured_folder(spark):
     configured = SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs://shared/checkpoints"})
     assert work_folder(configured) == "hdfs://shared/checkpoints"
+    with pytest.raises(ValueError):  # a cluster without a shared folder
+        work_folder(SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="yarn")))
     assert work_folder(spark) == work_folder(spark)  # one local folder per session where none is set
     assert staged(spark.range(3), "numbers").count() == 3
 
