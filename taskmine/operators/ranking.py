@@ -29,8 +29,9 @@ def keep_first_but_all_without_id(rows: DataFrame, keys: list[str], id_column: s
 
     The rows without id are split off before the shuffle: they would share one key.
     """
-    has_id = F.coalesce(F.col(id_column) != "", F.lit(False))
-    return keep_one(rows.where(has_id), keys, order, "first").unionByName(rows.where(~has_id))
+    identity = F.col(id_column)
+    without = rows.where(identity.isNull() | (identity == ""))
+    return keep_one(rows.where(identity != ""), keys, order, "first").unionByName(without)
 
 
 def numbered_in_blocks(
