@@ -7,21 +7,30 @@ from pyspark.sql import Column, functions as F
 from taskmine import defaults as d
 
 NUMBER = "decimal(38,0)"
+LARGEST = "9" * 38
 
 
-def version_tuple(tag: Column) -> Column:
-    """The first dotted, dashed or underscored run of one to four numbers in a tag.
+def has_version(tag: Column) -> Column:
+    """A tag holds a version exactly if it holds a digit; cheap enough to push to the scan."""
+    return tag.rlike(r"\d")
 
-    Arrays order element by element with the shorter prefix first, so the column
-    sorts as versions do. A tag without digits gives an empty array.
-    """
+
+def version_parts(tag: Column) -> Column:
+    """Digits of the first dotted, dashed or underscored run of one to four numbers in a tag."""
     run = F.regexp_extract(F.coalesce(tag, F.lit("")), d.VERSION_NUMBER, 0)
-    numbers = F.transform(F.split(run, d.VERSION_SEPARATOR), lambda part: part.try_cast(NUMBER))
-    return F.filter(numbers, lambda number: number.isNotNull())
+    return F.filter(F.split(run, d.VERSION_SEPARATOR), lambda part: part != "")
+
+
+def version_tuple(parts: Column) -> Column:
+    """The parts as numbers. Arrays order element by element with the shorter prefix
+    first, so the column sorts as versions do; beyond 38 digits all numbers tie.
+    """
+    return F.transform(parts, lambda part: F.coalesce(part.try_cast(NUMBER), F.lit(LARGEST).cast(NUMBER)))
 
 
-def version_key(version: Column) -> Column:
-    return F.array_join(F.transform(version, lambda number: number.cast("string")), ".")
+def version_key(parts: Column) -> Column:
+    """The parts without leading zeros, joined by dots."""
+    return F.array_join(F.transform(parts, lambda part: F.regexp_replace(part, r"^0+(?=\d)", "")), ".")
 
 
 def is_pre_release(tag: Column) -> Column:

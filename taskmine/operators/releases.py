@@ -34,9 +34,11 @@ def release_counts(valid: DataFrame, min_releases: int = d.MIN_RELEASES) -> Data
 
 def versioned(releases: DataFrame) -> DataFrame:
     """Releases whose tag holds a version, with the version as array and as text."""
-    tuples = releases.withColumn("version_tuple", versions.version_tuple(F.col("tag_name")))
-    keyed = tuples.withColumn("version_key", versions.version_key(F.col("version_tuple")))
-    return keyed.where(F.size("version_tuple") > 0)
+    found = releases.where(versions.has_version(F.col("tag_name")))
+    parts = found.withColumn("_parts", versions.version_parts(F.col("tag_name")))
+    return parts.withColumns({
+        "version_tuple": versions.version_tuple(F.col("_parts")), "version_key": versions.version_key(F.col("_parts")),
+    }).drop("_parts")
 
 
 def stable(releases: DataFrame) -> DataFrame:

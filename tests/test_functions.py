@@ -54,9 +54,13 @@ def test_landed_content(spark):
 
 
 def test_version_goldens(column):
-    key = lambda c: versions.version_key(versions.version_tuple(c))
-    values = ["release-v1.2.3", "v 1. 2", "2024-01-02-03-04", "none", None, "v1.0a1", "1_2 - 3", "007.08", "9" * 30 + ".1"]
-    assert column(key, values) == ["1.2.3", "1.2", "2024.1.2.3", "", "", "1.0", "1.2.3", "7.8", "9" * 30 + ".1"]
+    key = lambda c: versions.version_key(versions.version_parts(c))
+    values = ["release-v1.2.3", "v 1. 2", "2024-01-02-03-04", "none", None, "v1.0a1", "1_2 - 3", "007.00", "9" * 50 + ".1"]
+    assert column(key, values) == ["1.2.3", "1.2", "2024.1.2.3", "", "", "1.0", "1.2.3", "7.0", "9" * 50 + ".1"]
+    numbers = lambda c: versions.version_tuple(versions.version_parts(c))
+    assert [[int(n) for n in v] for v in column(numbers, values)] == [
+        [1, 2, 3], [1, 2], [2024, 1, 2, 3], [], [], [1, 0], [1, 2, 3], [7, 0], [10**38 - 1, 1]]
+    assert column(versions.has_version, values) == [v and any(c.isdigit() for c in v) for v in values]
 
 
 def test_versions_of_random_tags(column):
@@ -74,12 +78,12 @@ def test_versions_of_random_tags(column):
             at += nxt.end()
         return ".".join(numbers)
 
-    assert column(lambda c: versions.version_key(versions.version_tuple(c)), tags) == [leftmost(tag) for tag in tags]
+    assert column(lambda c: versions.version_key(versions.version_parts(c)), tags) == [leftmost(tag) for tag in tags]
 
 
 def test_versions_order_as_tuples(spark):
     frame = spark.createDataFrame([("1.2",), ("1.10",), ("1",), ("1.2.0",)], "t string")
-    ordered = frame.orderBy(F.desc(versions.version_tuple(F.col("t")))).collect()
+    ordered = frame.orderBy(F.desc(versions.version_tuple(versions.version_parts(F.col("t"))))).collect()
     assert [row["t"] for row in ordered] == ["1.10", "1.2.0", "1.2", "1"]
 
 
