@@ -55,6 +55,7 @@ PR_URL = "https://github.com/{repo}/pull/{number}"
 SUMMARY_MARKER = "short test summary info"
 STATUSES = ["PASSED", "FAILED", "SKIPPED", "ERROR", "UNKNOWN"]
 RESULT_LINE = r"(?dU)^(PASSED|FAILED|SKIPPED|ERROR)\s+(.+?)(?:\s-\s.*)?$"
+RESULT_START = r"(?U)^(PASSED|FAILED|SKIPPED|ERROR)\s"
 ANSI_COLOUR = r"\x1b\[[0-9;]*m"
 TOKENS_MARKER = "Execution Summary"
 TOKENS_LINE = "│ Total Tokens"

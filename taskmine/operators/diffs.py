@@ -48,14 +48,17 @@ def parse_diffs(diffs: DataFrame, column: str = "diff") -> DataFrame:
     """One row per file of each diff; pieces without a header are dropped."""
     keys = [name for name in diffs.columns if name != column]
     pieces = diffs.select(*keys, F.posexplode(F.split(column, FILE_BOUNDARY)).alias("piece", "_text"))
-    lines = pieces.select(*keys, "piece", F.split(text.strip(F.col("_text")), "\n").alias("_lines"))
-    header = F.get("_lines", F.lit(0))
-    parsed = lines.where(header.rlike(HEADER)).select(
-        *keys, "piece", "_lines", _status(F.col("_lines")).alias("status"),
+    trimmed = pieces.select(*keys, "piece", text.strip(F.col("_text")).alias("_text"))
+    # the header is cut off before the lines are split, so that dropping a piece costs no split
+    header = F.substring_index("_text", "\n", 1)
+    lines = trimmed.where(header.rlike(HEADER)).select(
+        *keys, "piece", F.split("_text", "\n").alias("_lines"),
         F.regexp_extract(header, HEADER, 1).alias("_old"), F.regexp_extract(header, HEADER, 2).alias("_new"),
     )
+    parsed = lines.withColumn("status", _status(F.col("_lines")))
     named = parsed.withColumn("filename", F.when(F.col("status") == "removed", F.col("_old")).otherwise(F.col("_new")))
-    return named.where(F.length("filename") > 0).select(
+    both = (F.col("_old") != "") & (F.col("_new") != "")
+    return named.where(both | (F.col("filename") != "")).select(
         *keys, "piece", "filename", "status",
         F.when(F.col("status") == "renamed", F.col("_old")).alias("old_filename"),
         _hunks(F.col("_lines")).alias("patch_content"),

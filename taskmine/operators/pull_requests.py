@@ -32,8 +32,8 @@ def feature_prs(changes: DataFrame) -> DataFrame:
     features = changes.where((F.col("feature_type") == "new_feature") & (F.size("pr_links") > 0))
     keys = [name for name in changes.columns if name != "pr_links"]
     links = features.select(*keys, F.posexplode("pr_links").alias("pr_pos", "pr_link"))
-    number = F.regexp_extract("pr_link", r"/pull/(\d+)", 1)
-    return links.withColumn("pr_number", number).where(F.col("pr_number") != "")
+    numbered = links.where(F.col("pr_link").rlike(r"/pull/\d"))
+    return numbered.withColumn("pr_number", F.regexp_extract("pr_link", r"/pull/(\d+)", 1))
 
 
 def file_lists(files: DataFrame) -> DataFrame:

@@ -53,10 +53,11 @@ def log_lines(logs: DataFrame, column: str = "log") -> DataFrame:
 def parsed_lines(lines: DataFrame) -> DataFrame:
     """Status and test path of every result line."""
     keys = [name for name in lines.columns if name != "line"]
-    path = F.regexp_extract("line", d.RESULT_LINE, 2)
-    rows = lines.select(*keys, "line", path.alias("_path")).where(F.col("_path") != "")
+    # a trimmed line that begins so has a path; the full pattern then runs on result lines only
+    rows = lines.where(F.col("line").rlike(d.RESULT_START))
     status = F.regexp_extract("line", "^[A-Z]+", 0)
-    return rows.select(*keys, status.alias("status"), text.strip(F.col("_path")).alias("test_path"))
+    path = text.strip(F.regexp_extract("line", d.RESULT_LINE, 2))
+    return rows.select(*keys, status.alias("status"), path.alias("test_path"))
 
 
 def last_status(parsed: DataFrame, run: list[str], order: str = "line_no") -> DataFrame:

@@ -28,10 +28,9 @@ def search_items(pages: DataFrame, page_size: int = 100) -> DataFrame:
 
 def crawl_list(documents: DataFrame, column: str = "document") -> DataFrame:
     """Names of JSON objects ``{category: [name, …]}``; repeats stay, categories go."""
-    parsed = documents.select(F.from_json(column, schemas.CRAWL_LIST).alias("lists"))
-    return parsed.select(F.explode("lists").alias("category", "names")).select(
-        F.explode("names").alias("full_name")
-    )
+    # the outer form, as a plain explode would parse every document twice to filter it first
+    lists = documents.select(F.explode_outer(F.from_json(column, schemas.CRAWL_LIST)).alias("category", "names"))
+    return lists.where(F.col("names").isNotNull()).select(F.explode("names").alias("full_name"))
 
 
 def repository_details(spark: SparkSession, path: str) -> DataFrame:
@@ -114,8 +113,9 @@ def agent_patches(spark: SparkSession, path: str) -> DataFrame:
 
 def agent_patch_rows(lines: DataFrame, column: str = "line") -> DataFrame:
     keys = [name for name in lines.columns if name != column]
-    parsed = lines.select(*keys, F.from_json(column, schemas.AGENT_PATCH).alias("_row"))
-    return parsed.select(*keys, "_row.*").where(text.non_empty(F.col("model_patch")))
+    parsed = F.array(F.from_json(column, schemas.AGENT_PATCH))
+    # filtered inside the array: a filter on the row would parse every line twice
+    return lines.select(*keys, F.inline(F.filter(parsed, lambda row: text.non_empty(row["model_patch"]))))
 
 
 def patch_files(spark: SparkSession, path: str) -> DataFrame:
