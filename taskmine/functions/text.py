@@ -47,6 +47,11 @@ def normalised_code(code: Column) -> Column:
     return F.array_join(F.filter(trimmed, lambda line: line != ""), "\n")
 
 
+def fingerprint(value: Column) -> list[Column]:
+    """128 bits of a value as two numbers; unlike a text digest they aggregate by hashing."""
+    return [F.xxhash64(value), F.xxhash64(F.lit(1), value)]
+
+
 def instant(iso: Column) -> Column:
     """ISO text with a UTC offset as a timestamp; null if unreadable or without offset."""
     has_offset = iso.rlike(r"[T ].*(Z|[+-]\d\d(:?\d\d)?)$")

@@ -31,7 +31,7 @@ def code_changes(pairs: DataFrame, before: str = "before_src", after: str = "aft
     """Added, deleted and modified elements of each pair of sources.
 
     Both sides become element rows that meet in one aggregate per (file, name), with a
-    digest in place of the body, so one shuffle of short rows does the comparison.
+    fingerprint in place of the body, so one shuffle of short rows does the comparison.
     """
     keys = [name for name in pairs.columns if name not in (before, after)]
     side = lambda name, column: source_code.elements(source_code.candidate(F.col(column))).alias(name)
@@ -40,23 +40,26 @@ def code_changes(pairs: DataFrame, before: str = "before_src", after: str = "aft
     def tagged(column: str, tag: str) -> Column:
         return F.transform(column, lambda one: F.struct(
             F.lit(tag).alias("side"), one["code_type"].alias("code_type"), one["name"].alias("name"),
-            F.md5(text.normalised_code(one["body"])).alias("digest"),
+            text.normalised_code(one["body"]).alias("code"),
         ))
 
     elements = parsed.select(*keys, F.inline(F.concat(tagged("_b", "b"), tagged("_a", "a"))))
-    slots = [(tag, kind) for tag in "ba" for kind in TYPES]
-    found = elements.groupBy(*keys, "name").agg(*[
-        F.max(F.when((F.col("side") == tag) & (F.col("code_type") == kind), F.col("digest"))).alias(f"_{tag}_{kind}")
-        for tag, kind in slots
+    one, two = text.fingerprint(F.col("code"))
+    short = elements.select(*keys, "side", "code_type", "name", one.alias("_1"), two.alias("_2"))
+    found = short.groupBy(*keys, "name").agg(*[
+        F.max(F.when((F.col("side") == tag) & (F.col("code_type") == kind), F.col(f"_{n}"))).alias(f"_{tag}_{kind}_{n}")
+        for tag in "ba" for kind in TYPES for n in (1, 2)
     ])
 
-    nothing = F.md5(F.lit(""))
-    appeared = lambda kind: F.col(f"_b_{kind}").isNull() & F.col(f"_a_{kind}").isNotNull()
-    vanished = lambda kind: F.col(f"_b_{kind}").isNotNull() & F.col(f"_a_{kind}").isNull()
+    appeared = lambda kind: F.col(f"_b_{kind}_1").isNull() & F.col(f"_a_{kind}_1").isNotNull()
+    vanished = lambda kind: F.col(f"_b_{kind}_1").isNotNull() & F.col(f"_a_{kind}_1").isNull()
 
     def differs(kind: str) -> Column:
-        b, a = F.col(f"_b_{kind}"), F.col(f"_a_{kind}")
-        return F.coalesce((b != a) & (b != nothing) & (a != nothing), F.lit(False))
+        unequal = lambda left, right: (left[0] != right[0]) | (left[1] != right[1])
+        before, after = [[F.col(f"_{tag}_{kind}_{n}") for n in (1, 2)] for tag in "ba"]
+        nothing = text.fingerprint(F.lit(""))  # of an element whose lines could not be cut out
+        known = unequal(before, nothing) & unequal(after, nothing)
+        return F.coalesce(unequal(before, after) & known, F.lit(False))
 
     # a name that was added or deleted as anything, or modified as an earlier type, is not reported as modified
     taken = F.lit(False)

@@ -115,14 +115,16 @@ def file_violations(files: DataFrame, prs: DataFrame, definitions: DataFrame) ->
     # not filtered on the definitions: that would run the parser a second time
     landed = definitions.select(
         "repo", F.col("path").alias("filename"), "ref", (F.size("definitions") > 0).alias("_defines"),
-        F.when(F.col("definitions").isNotNull(), F.xxhash64("definitions")).alias("_digest"),
+        *[F.when(F.col("definitions").isNotNull(), part).alias(f"_digest_{n}")
+          for n, part in enumerate(text.fingerprint(F.col("definitions")))],
     )
     found = wanted.join(landed, ["repo", "filename", "ref"], "left")
-    on = lambda side: F.max(F.when(F.col("side") == side, F.col("_digest")))
-    compared = found.groupBy(*keep).agg(
-        on("base").alias("_base"), on("head").alias("_head"), F.bool_or("_defines").alias("_defines")
-    )
-    differs = F.coalesce(F.col("_base") != F.col("_head"), F.lit(True))
+    compared = found.groupBy(*keep).agg(F.bool_or("_defines").alias("_defines"), *[
+        F.max(F.when(F.col("side") == side, F.col(f"_digest_{n}"))).alias(f"_{side}_{n}")
+        for side in ("base", "head") for n in (0, 1)
+    ])
+    # a side that was not readable is null and differs
+    differs = F.coalesce((F.col("_base_0") != F.col("_head_0")) | (F.col("_base_1") != F.col("_head_1")), F.lit(True))
     violates = F.when(F.col("status") == "modified", differs).otherwise(F.coalesce("_defines", F.lit(False)))
     return compared.select(*keep, (F.col("is_source") & violates).alias("violates"))
 
