@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import taskmine
-from taskmine.llm import bpe, contamination, toxicity
+from taskmine.llm import bpe, contamination, fingerprints, html_text, licenses, near, pii, secrets, toxicity
+from taskmine.llm.native import described
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +40,16 @@ def default_ranks(path: str | None = None) -> dict[bytes, int]:
     return bpe.read_ranks(path)
 
 
+@query("op1_near_duplicates")
+def op1(table) -> DataFrame:
+    return near.linked(table("documents"))
+
+
+@query("op2_html_text")
+def op2(table) -> DataFrame:
+    return html_text.extracted(table("pages").select("page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op3_toxicity")
 def op3(table) -> DataFrame:
     docs, labels = table("documents"), table("labels")
@@ -48,6 +59,12 @@ def op3(table) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op4_fingerprints")
+def op4(table) -> DataFrame:
+    return fingerprints.compared(table("documents")).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 @query("op5_bpe")
 def op5(table) -> DataFrame:
     ranks = default_ranks()
@@ -57,6 +74,24 @@ def op5(table) -> DataFrame:
         _sha(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"), _sha("decoded").alias("decoded_sha256"))
 
 
+@query("op6_secrets")
+def op6(table) -> DataFrame:
+    found = secrets.scanned(table("documents").select("doc_id", "text")).drop("text")
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[number(kind) for kind in secrets.KINDS], _sha(described(F.col("base"))).alias("base_sha256"), described(F.col("spans")).alias("spans"))
+
+
+@query("op7_licenses")
+def op7(table) -> DataFrame:
+    found = licenses.scanned(table("documents").select("doc_id", "text")).drop("text")
+    base = F.transform("places", lambda p: p["label"])
+    own = F.transform("detections", lambda d: d["label"])
+    label_list = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), "first_word", "last_word",
+        label_list(base).alias("base_labels"), label_list(F.concat(base, own)).alias("labels"), "score")
+
+
 @query("op8_decontamination")
 def op8(table) -> DataFrame:
     found = contamination.contaminated(table("documents").select("doc_id", "text"), table("benchmark")).drop("text")
@@ -64,3 +99,10 @@ def op8(table) -> DataFrame:
     return found.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         _sha(F.concat_ws(",", "items")).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
+
+@query("op9_personal_data")
+def op9(table) -> DataFrame:
+    found = pii.spans(table("documents").select("doc_id", "text"))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[number(kind) for kind in pii.KINDS], _sha(described(F.col("base"))).alias("base_sha256"), described(F.col("spans")).alias("spans"))

@@ -4,7 +4,7 @@ Features are the distinct n-grams of 3 to 5 code points of the lower-cased text,
 into 2**18 columns. Over all training rows the workers count in how many toxic and in how
 many other texts each feature stands; the log of the ratio of the smoothed rates scales
 the feature. A logistic regression on the scaled, length-normalised rows is fitted on a sample of at most
-``max_rows`` training rows of each class, taken by a hash of the text; only this fit is bounded.
+``max_rows`` training rows of each class, the least by a hash of the row; only this fit is bounded.
 
 Null and empty texts have no features and get the score of the intercept. Repeated rows
 count as often as they stand there. With one class only, or no training row, the scores
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from taskmine.sources.stages import staged
+
 BITS, SIZES, MAX_ROWS = 18, (3, 4, 5), 1500
 MIN_TEXTS, MIN_RATIO = 5, 0.5  # of a feature that counts
 _FACTOR = np.uint32(0x01000193)
@@ -110,8 +112,10 @@ def _fitted(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, penal
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, penalty: float = 1e-6, rate: float = 8, steps: int = 300) -> Model:
-    """Fit on rows of text and label (0 or 1; others are left out). Runs two jobs when called."""
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"))
+    """Fit on rows of text and label (0 or 1; others are left out). Runs jobs when called; the labelled texts are written once as a stage table."""
+    mark = F.xxhash64(*labelled.columns)
+    rows = staged(labelled.where(F.col(label).isin(0, 1)).select(
+        F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"), mark.alias("mark")), "toxicity-labelled")
     total, counts = _class_counts(rows)
     prior = float(np.log((total[1] + 0.5) / (total[0] + 0.5)))
     if not total.all():
@@ -119,7 +123,6 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", max_row
     share = (counts + 1) / (total[:, None] + 2)
     ratio = np.log(share[1] / share[0])
     ratio[(counts.sum(0) < MIN_TEXTS) | (np.abs(ratio) < MIN_RATIO)] = 0  # too rare or too even to tell
-    order = F.xxhash64("text")
 
     def hashed(batches):
         for batch in batches:
@@ -130,7 +133,9 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", max_row
     sample, labels = [], []
     schema = StructType([StructField("features", ArrayType(IntegerType())), StructField("label", IntegerType())])
     for value in (0, 1):
-        few = rows.where(F.col("label") == value).withColumn("h", order).orderBy("h", "text").limit(max_rows)
+        own_class = rows.where(F.col("label") == value)
+        bound = own_class.select("mark").orderBy("mark").limit(max_rows).agg(F.max("mark")).first()[0]
+        few = own_class.where(F.col("mark") <= bound).limit(max_rows)
         for own, _ in few.select("text", "label").mapInArrow(hashed, schema).toLocalIterator():
             sample.append(np.array(own, np.int32))
             labels.append(value)
