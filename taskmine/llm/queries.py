@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import taskmine
-from taskmine.llm import bpe, contamination, fingerprints, html_text, licenses, near, pii, secrets, toxicity
+from taskmine.llm import bpe, contamination, fingerprints, html_text, licenses, near, pii, repeats, secrets, toxicity
 from taskmine.llm.native import described
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,10 @@ def op9(table) -> DataFrame:
     found = pii.spans(table("documents").select("doc_id", "text"))
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[number(kind) for kind in pii.KINDS], _sha(described(F.col("base"))).alias("base_sha256"), described(F.col("spans")).alias("spans"))
+
+
+@query("op10_repeats")
+def op10(table) -> DataFrame:
+    found = repeats.without_repeats(table("documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), _sha("kept").alias("kept_sha256"))
