@@ -1,10 +1,11 @@
 """Toxicity of texts: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the distinct n-grams of 3 to 5 code points of the lower-cased text, hashed
-into 2**18 columns. Over all training rows the workers count in how many toxic and in how
-many other texts each feature stands; the log of the ratio of the smoothed rates scales
-the feature. A logistic regression on the scaled, length-normalised rows is fitted on a sample of at most
-``max_rows`` training rows of each class, the least by a hash of the row; only this fit is bounded.
+into 2**18 columns. Training rows are a bounded sample, at most ``MAX_LABELS`` of each
+class. The workers count in how many toxic and in how many other texts of it each feature
+stands; the log of the ratio of the smoothed rates scales the feature. A logistic
+regression on the scaled, length-normalised rows is fitted on at most ``max_rows`` of each
+class, the least by a hash of the row.
 
 Null and empty texts have no features and get the score of the intercept. Repeated rows
 count as often as they stand there. With one class only, or no training row, the scores
@@ -23,6 +24,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 from taskmine.sources.stages import staged
 
 BITS, SIZES, MAX_ROWS = 18, (3, 4, 5), 1500
+MAX_LABELS = 8000  # labelled rows of each class that a classifier is trained on
 MIN_TEXTS, MIN_RATIO = 5, 0.5  # of a feature that counts
 _FACTOR = np.uint32(0x01000193)
 _SPREAD = np.uint32(0x9E3779B1)
@@ -111,6 +113,13 @@ def _fitted(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, penal
     return used, w * own, b
 
 
+def sample_of(labels: DataFrame, doc_id: str = "doc_id", label: str = "toxic", max_labels: int = MAX_LABELS) -> DataFrame:
+    """At most ``max_labels`` rows (doc_id, label) of each class, the least by a hash of the id: small enough to broadcast. Runs a job when called."""
+    rows = labels.select(doc_id, label)
+    parts = [rows.where(F.col(label) == value).orderBy(F.xxhash64(doc_id), doc_id).limit(max_labels) for value in (0, 1)]
+    return staged(parts[0].unionByName(parts[1]), "toxicity-sample")
+
+
 def train(labelled: DataFrame, text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, penalty: float = 1e-6, rate: float = 8, steps: int = 300) -> Model:
     """Fit on rows of text and label (0 or 1; others are left out). Runs jobs when called; the labelled texts are written once as a stage table."""
     mark = F.xxhash64(*labelled.columns)
