@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query
+from taskmine import defaults as d
 from taskmine.functions import text
 from taskmine.operators import changes as ch, pull_requests as pr, repos as rep, specs as sp
 from taskmine.plans import collect, enrich
@@ -52,7 +53,7 @@ def change_counts(t):
 @query("readme_excerpt", """
 select doc_id, case when length(text) > 2000 then concat(left(text, 2000), '...(truncated)') else text end as excerpt from {documents}""")
 def readme_excerpt(t):
-    return t.documents.select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
+    return t.documents.select("doc_id", text.excerpt(F.col("text"), d.MAX_README_LENGTH).alias("excerpt"))
 
 
 @query("release_prompt", """
@@ -161,7 +162,7 @@ group by repo, pr_number"""
 @query("pr_files_summary", SUMMARY)
 def pr_files_summary(t):
     # orders have at most seven files, so the file limit is set low enough to matter
-    return pr.files_summary(t.pr_files, max_files=2)
+    return pr.files_summary(t.pr_files, **{**d.SUMMARY_LIMITS, "max_files": 2})
 
 
 MENTIONS = f"select repo, pr_number, arg_min(description, release_pos) as feature_description from ({FEATURE_PRS}) group by repo, pr_number"
@@ -175,7 +176,7 @@ join ({MENTIONS}) m on m.repo = e.repo and cast(m.pr_number as string) = e.pr_nu
 where has_tests and has_source and only_modified_existing_functions""")
 def feature_prompt(t):
     mentions = pr.first_mentions(pr.feature_prs(change_rows(t)))
-    summaries = pr.files_summary(t.pr_files, max_files=2)
+    summaries = pr.files_summary(t.pr_files, **{**d.SUMMARY_LIMITS, "max_files": 2})
     return pr.pr_requests(eligible(t), landed_prs(t), summaries, mentions, "Feature {feature}\n{title}\n{body}\n{files}")
 
 

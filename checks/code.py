@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query
+from taskmine import defaults as d
 from taskmine.functions import paths, text
 from taskmine.operators import code_changes as cc, diffs as df, pull_requests as pr, specs as sp
 from taskmine.plans import label
@@ -127,7 +128,7 @@ select run, selector, position, case when chars > 100000 then position // 250 el
 def selector_batches(t):
     picks = t.sql(f"select * from ({PICKS})")
     block = F.floor(F.col("pr_id") / 1000)
-    batches = cc.selector_batches(picks, ["run"], block, ["pr_id", "pos"])
+    batches = cc.selector_batches(picks, ["run"], block, ["pr_id", "pos"], **d.BATCH_LIMITS)
     return batches.select("run", "selector", "position", "batch")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import query
 from checks.views import Tables, repo
+from taskmine import defaults as d
 from taskmine.functions import paths, text
 from taskmine.operators import releases as rel, repos as rep
 from taskmine.plans import collect
@@ -30,6 +31,14 @@ def repo_rank_range(t):
     return rep.rank_candidates(t.repo_listing).select("full_name", "stargazers_count", "rank")
 
 
+@query("repo_rank_wide", """
+select full_name, stargazers_count, cast("rank" as int) as "rank" from (
+  select *, row_number() over (order by stargazers_count desc, api_pos) as "rank" from repo_listing where stargazers_count >= 0)
+where "rank" between 900 and 1400""")
+def repo_rank_wide(t):
+    return rep.rank_candidates(t.repo_listing, 0, 900, 1400).select("full_name", "stargazers_count", "rank")
+
+
 NAMES = f"""
 select {repo('c_custkey')} as full_name from {{customer}} where c_custkey % 50 <> 0
 union all select {repo('(c_custkey + 1)')} from {{customer}} where c_custkey % 50 <> 0
@@ -146,7 +155,7 @@ select repo, api_pos, version_key, cast("rank" as int) as "rank" from (
   select *, row_number() over (partition by repo order by version desc, api_pos) as "rank" from ({KEYED})
   where version is not null and not pre) where "rank" <= 30""")
 def release_top_versions(t):
-    return rel.top_versions(t.releases).select("repo", "api_pos", "version_key", "rank")
+    return rel.top_versions(t.releases, d.RELEASES_PER_REPO).select("repo", "api_pos", "version_key", "rank")
 
 
 @query("release_latest_per_major", f"""
@@ -200,7 +209,7 @@ ci as (select repo, string_agg(distinct path, '; ' order by path) as paths from
 select full_name, stargazers_count, releases_count, tags, coalesce(content, '') as readme, coalesce(paths, '') as workflows
 from ({QUALIFIED}) q join best on best.repo = full_name left join readme on readme.repo = full_name left join ci on ci.repo = full_name""")
 def repositories(t):
-    records = collect.build_repositories(qualified(t), t.releases, t.repo_files, min_release_date=DATE)
+    records = collect.build_repositories(qualified(t), t.releases, t.repo_files, d.RELEASES_PER_REPO, min_release_date=DATE)
     return records.select(
         "full_name", "stargazers_count", "releases_count",
         F.array_join(F.transform("major_releases", lambda release: release["tag_name"]), "; ").alias("tags"),

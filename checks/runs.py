@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks.registry import query
+from taskmine import defaults as d
 from taskmine.functions import text
 from taskmine.operators import labels as lb, scoring as sc, specs as sp, testlogs as tl
-from taskmine.plans import label, score
+from taskmine.plans import collect, label, score
 from taskmine.sources import landed
 from taskmine.sources.stages import staged
 from taskmine.sources.store import KeyedStore, work_folder
@@ -169,12 +170,12 @@ SELECTED = "select * from (select *, row_number() over (partition by repo order
 
 @query("spec_selection", f"select repo, seq, instance_id from ({SELECTED}) where not processed")
 def spec_selection(t):
-    return sp.select_for_labelling(t.specs).select("repo", "seq", "instance_id")
+    return sp.select_for_labelling(t.specs, d.MAX_SPECS_PER_REPO).select("repo", "seq", "instance_id")
 
 
 @query("spec_selection_test_only", f"select repo, seq, instance_id from ({SELECTED}) where fail_to_pass is not null and pass_to_pass is null")
 def spec_selection_test_only(t):
-    return sp.select_for_labelling(t.specs, test_only=True).select("repo", "seq", "instance_id")
+    return sp.select_for_labelling(t.specs, d.MAX_SPECS_PER_REPO, test_only=True).select("repo", "seq", "instance_id")
 
 
 TODO = f"""
@@ -186,7 +187,7 @@ AGENTS = [("agent-a", "m"), ("agent-b", "m"), ("agent-c", "m")]
 
 
 def todo(t):
-    return sp.select_for_evaluation(t.specs, t.eval_results, AGENTS, ["agent-a", "agent-b"])
+    return sp.select_for_evaluation(t.specs, t.eval_results, AGENTS, ["agent-a", "agent-b"], d.MAX_SPECS_PER_REPO)
 
 
 @query("eval_selection", TODO)
@@ -221,23 +222,25 @@ def eval_outcome(t):
     return sc.outcomes(listed).select("seq", "success_f2p", "success_p2p", "success")
 
 
+# stored rows (passed_f2p = 'a') come first whatever their number, then new ones
 KEPT = """
+with kept as (select *, row_number() over (partition by {key} order by case when passed_f2p = 'a' then 0 else 1 end, seq) as n
+  from eval_results where instance_id <> '')
 select seq, agent, instance_id from eval_results where coalesce(instance_id, '') = ''
-union all select min(seq), agent, instance_id from eval_results where instance_id <> '' group by agent, instance_id"""
+union all select seq, agent, instance_id from kept where n = 1"""
 
 
-@query("eval_append_dedup", KEPT)
+@query("eval_append_dedup", KEPT.replace("{key}", "agent, instance_id"))
 def eval_append_dedup(t):
     old = t.eval_results.where("passed_f2p = 'a'")
     new = t.eval_results.where("passed_f2p <> 'a'")
     return sc.append_results(old, new.drop("expected_p2p"), ["seq"]).select("seq", "agent", "instance_id")
 
 
-@query("eval_append_dedup_compat", """
-select seq, agent, instance_id from eval_results where coalesce(instance_id, '') = ''
-union all select min(seq), arg_min(agent, seq), instance_id from eval_results where instance_id <> '' group by instance_id""")
+@query("eval_append_dedup_compat", KEPT.replace("{key}", "instance_id"))
 def eval_append_dedup_compat(t):
-    kept = sc.append_results(t.eval_results, t.eval_results.limit(0), ["seq"], compat=True)
+    old = t.eval_results.where("passed_f2p = 'a'")
+    kept = sc.append_results(old, t.eval_results.where("passed_f2p <> 'a'"), ["seq"], compat=True)
     return kept.select("seq", "agent", "instance_id")
 
 
@@ -274,7 +277,14 @@ select repo, tag_name from releases r where not exists (
   select 1 from releases c where c.repo = r.repo and c.tag_name = r.tag_name and c.author_login = 'dev')""")
 def cache_miss_requests(t):
     analysed = t.releases.where("author_login = 'dev'").select("repo", "tag_name")
-    return t.releases.select("repo", "tag_name").join(analysed, ["repo", "tag_name"], "left_anti")
+    return collect.cache_misses(t.releases.select("repo", "tag_name"), analysed)
+
+
+@query("cache_hits", """
+select repo, tag_name, case when bool_or(author_login = 'dev') then 'stored' else 'new' end as origin from releases group by repo, tag_name""")
+def cache_hits(t):
+    stored = t.releases.where("author_login = 'dev'").select("repo", "tag_name", F.lit("stored").alias("origin"))
+    return collect.with_cached(t.releases.select("repo", "tag_name", F.lit("new").alias("origin")), stored)
 
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -294,13 +304,15 @@ def stream_upsert(t):
     return store.read()
 
 
-@query("stream_dedup", "select distinct user_id, event_type from {events}")
+@query("stream_dedup", """
+select user_id, event_type, event_id, value from (
+  select *, row_number() over (partition by user_id, event_type order by event_id) as n from {events}) where n = 1""")
 def stream_dedup(t):
     # the watermark covers the whole month of events, so nothing is seen twice
     first = inc.first_seen(event_stream(t), ["user_id", "event_type"], "ts", "3650 days")
     target = folder(t, "dedup")
     inc.append_stream(first, target, folder(t, "dedup-checkpoint")).awaitTermination()
-    return t.spark.read.schema(EVENTS).parquet(target).select("user_id", "event_type")
+    return t.spark.read.schema(EVENTS).parquet(target).select("user_id", "event_type", "event_id", "value")
 
 
 # --- whole jobs -----------------------------------------------------------------
@@ -333,16 +345,24 @@ from log_events where status = 'FAILED'""")
     return label.label_specs(t.log_events.select("instance_id").distinct(), tests, t.test_logs)
 
 
-# agent a has a patch for every instance, agent b for none; its tests are those of the logs
+# Agent a has two patches for every instance, of which the first counts, agent b has none. Labels
+# come from the whole logs, the observed statuses from a part of the log after the patch for each
+# label: some expected tests fail there and others are missing.
 SCORED = f"""
 with expected as (select instance_id, label, test from ({LABELS})),
-flags as (select e.instance_id, coalesce(bool_and(b.status = 'PASSED') filter (label = 'FAIL_TO_PASS'), true) as success_f2p,
-    coalesce(bool_and(coalesce(b.status, '') = 'PASSED') filter (label = 'PASS_TO_PASS'), true) as success_p2p
-  from expected e left join log_base b on b.instance_id = e.instance_id and b.base = e.test
-    and b.phase = case e.label when 'FAIL_TO_PASS' then 'post' else 'pre' end group by e.instance_id)
-select 'agent-a' as agent, 'm' as model, instance_id, success_f2p, success_p2p, success_f2p and success_p2p as success, cast(7 as bigint) as total_tokens,
-  cast(1 as bigint) as total_files_num, cast(1 as bigint) as applied_files_num, cast(null as varchar) as error from flags
-union all select 'agent-b', 'm', instance_id, null, null, false, null, null, null, 'Agent failed to generate valid patches' from flags"""
+ends as (select instance_id, batch, base, test_path, arg_max(status, event_id) as status from log_events where phase = 'post' group by all),
+seen as (select instance_id, batch, base, case when bool_or(status in ('FAILED', 'ERROR')) then 'FAILED'
+    when bool_or(status = 'PASSED') then 'PASSED' else 'SKIPPED' end as status from ends group by all),
+flags as (select e.instance_id, coalesce(bool_and(coalesce(b.status, '') = 'PASSED') filter (label = 'FAIL_TO_PASS'), true) as success_f2p,
+    coalesce(bool_and(coalesce(b.status, '') = 'PASSED') filter (label = 'PASS_TO_PASS'), true) as success_p2p,
+    coalesce(string_agg(test, ', ' order by test) filter (label = 'FAIL_TO_PASS' and b.status = 'PASSED'), '') as passed_f2p,
+    coalesce(string_agg(test, ', ' order by test) filter (label = 'PASS_TO_PASS'), '') as expected_p2p
+  from expected e left join seen b on b.instance_id = e.instance_id and b.base = e.test
+    and b.batch = case e.label when 'FAIL_TO_PASS' then 1 else 0 end group by e.instance_id)
+select 'agent-a' as agent, 'm' as model, instance_id, success_f2p, success_p2p, success_f2p and success_p2p as success, passed_f2p, expected_p2p,
+  cast(length(instance_id) as bigint) as total_tokens, cast(1 as bigint) as total_files_num, cast(1 as bigint) as applied_files_num, 'src/a.py' as applied,
+  cast(null as varchar) as error from flags
+union all select 'agent-b', 'm', instance_id, null, null, false, null, null, null, null, null, null, 'Agent failed to generate valid patches' from flags"""
 
 
 @query("score_agents", SCORED)
@@ -353,8 +373,15 @@ def score_agents(t):
     pairs = labelled.withColumn("agent", F.explode(F.array(F.lit("agent-a"), F.lit("agent-b")))).withColumn("model", F.lit("m"))
     key = [F.lit("agent-a").alias("agent"), F.lit("m").alias("model"), "instance_id"]
     diff = F.concat(F.lit("diff --git a/src/a.py b/src/a.py\n@@ -1 +1 @@\n+"), "instance_id", F.lit("\ndiff --git a/tests/test_a.py b/tests/test_a.py\n@@ -1 +1 @@\n+x"))
-    patches = labelled.select(*key, diff.alias("model_patch"))
-    attempts = score.source_files(patches).withColumn("applied", F.lit(True))
-    logs = t.test_logs.select(*key, F.when(F.col("phase") == "post", lb.F2P).otherwise(lb.P2P).alias("label"), "log")
-    agent_logs = labelled.select(*key, F.lit("Execution Summary\n│ Total Tokens │ 7 │").alias("log"))
-    return score.score_agents(pairs, patches, attempts, logs, agent_logs)
+    patches = labelled.select(*key, F.lit(0).alias("seq"), diff.alias("model_patch"))
+    attempts = score.source_files(patches.drop("seq")).withColumn("applied", F.lit(True))
+    patches = patches.unionByName(patches.withColumn("seq", F.lit(1)).withColumn("model_patch", F.lit("")))
+    logs = t.batch_logs.where("phase = 'post'").select(*key, F.when(F.col("batch") == 1, lb.F2P).otherwise(lb.P2P).alias("label"), "log")
+    number = F.concat(F.lit("Execution Summary\n│ Total Tokens │ "), F.length("instance_id"), F.lit(" │"))
+    agent_logs = labelled.select(*key, F.lit(0).alias("seq"), number.alias("log"))
+    agent_logs = agent_logs.unionByName(agent_logs.withColumn("seq", F.lit(1)).withColumn("log", F.lit("")))
+    done = score.score_agents(pairs, patches, attempts, logs, agent_logs)
+    return done.select(
+        "agent", "model", "instance_id", "success_f2p", "success_p2p", "success", F.array_join("passed_f2p_tests", ", ").alias("passed_f2p"),
+        F.array_join("expected_p2p_tests", ", ").alias("expected_p2p"), "total_tokens", "total_files_num", "applied_files_num",
+        F.array_join("applied_files", ", ").alias("applied"), "error")

@@ -1,15 +1,15 @@
 """Thresholds, word lists, patterns and text formats of the jobs.
 
 Everything in this module is a fixed value: results only agree with existing
-data sets when these are exactly as written. Each is the default of a keyword
-argument, so a job can override it without touching this file.
+data sets when these are exactly as written. Thresholds, lists and patterns are
+defaults of keyword arguments. Numbers that cut something off (MAX_*, *_PER_*,
+and the sets of them in *_LIMITS) are not: nothing is cut unless a job passes them.
 """
 
 # --- fixed values: repository screening ---------------------------------
 MIN_STARS = 5000
 RANK_START = 100
 RANK_END = 200
-MAX_SEARCH_RESULTS = 1000
 EXCLUDED_TOPICS = [
     "tutorial", "beginner", "example", "course", "boilerplate", "book", "awesome",
     "books", "education", "learning", "demo", "starter", "guide",
@@ -48,6 +48,7 @@ README_SUFFIX = "...(truncated)"
 MAX_FILES_IN_SUMMARY = 50
 MAX_PATCH_LENGTH = 1000
 MAX_PATCH_PREVIEW = 600
+SUMMARY_LIMITS = {"max_files": MAX_FILES_IN_SUMMARY, "max_patch": MAX_PATCH_LENGTH, "max_preview": MAX_PATCH_PREVIEW}
 NO_FILES_TEXT = "No files were modified in this PR."
 PR_URL = "https://github.com/{repo}/pull/{number}"
 
@@ -65,6 +66,7 @@ TOKENS_VALUE = r"│ Total Tokens\s*│\s*(\d+)"
 MAX_SPECS_PER_REPO = 100
 MAX_COMMAND_CHARS = 100_000
 TESTS_PER_BATCH = 250
+BATCH_LIMITS = {"max_chars": MAX_COMMAND_CHARS, "batch_size": TESTS_PER_BATCH}
 TEST_COMMAND = (
     "python3 -m pytest -q -rA --tb=no -p no:pretty --timeout=5 "
     "--continue-on-collection-errors --timeout-method=signal"

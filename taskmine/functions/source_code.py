@@ -16,6 +16,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+UNREADABLE = object()
 STATEMENTS = (ast.stmt, ast.excepthandler, ast.match_case)
 # types as objects: a DDL string could not be read before a session exists
 DEFINITIONS = ArrayType(StringType())
@@ -26,13 +27,16 @@ ELEMENTS = ArrayType(StructType([
 
 
 def _tree(source):
-    """Syntax tree, or None when the text does not parse."""
+    """Syntax tree, None when the text is no Python, UNREADABLE when it is too deep for the parser."""
     if not source:
         return None
     try:
         return ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return None
+    except (SyntaxError, ValueError) as error:
+        # the parser's own limits come as syntax errors too
+        return UNREADABLE if "too many nested" in str(error) or "too complex" in str(error) else None
+    except (RecursionError, MemoryError):
+        return UNREADABLE
 
 
 def _inner_statements(node):
@@ -47,9 +51,14 @@ def _inner_statements(node):
 
 # The same file text recurs from commit to commit, so a worker remembers the last few.
 @lru_cache(maxsize=256)
-def list_definitions(source) -> list[str]:
-    """Dotted paths of plain ``def``/``class`` reached through bodies of such only, sorted."""
+def list_definitions(source) -> list[str] | None:
+    """Dotted paths of plain ``def``/``class`` reached through bodies of such only, sorted.
+
+    None where the parser gives up: that says nothing about the definitions.
+    """
     tree = _tree(source)
+    if tree is UNREADABLE:
+        return None
     if tree is None:
         return []
     found, pending = set(), [("", node) for node in tree.body]
@@ -63,13 +72,15 @@ def list_definitions(source) -> list[str]:
 
 
 @lru_cache(maxsize=256)
-def list_elements(source) -> list[dict]:
-    """Classes, functions outside classes, and methods, each with its first span.
+def list_elements(source) -> list[dict] | None:
+    """Classes, functions outside classes, and methods, each with its first span; None where the parser gives up.
 
     One breadth-first walk carries the enclosing class names, so a file costs one
     pass however many elements it holds. Decorators are not part of a span.
     """
     tree = _tree(source)
+    if tree is UNREADABLE:
+        return None
     if tree is None:
         return []
     classes, functions, inside, methods = {}, {}, {}, []

@@ -21,8 +21,10 @@ def non_empty(text: Column) -> Column:
     return F.length(or_empty(text)) > 0
 
 
-def excerpt(text: Column, limit: int = d.MAX_README_LENGTH, suffix: str = d.README_SUFFIX) -> Column:
-    """The first ``limit`` characters, marked with ``suffix`` when something was cut."""
+def excerpt(text: Column, limit: int | None = None, suffix: str = d.README_SUFFIX) -> Column:
+    """The first ``limit`` characters (None: all), marked with ``suffix`` when something was cut."""
+    if limit is None:
+        return text
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit(suffix))).otherwise(text)
 
 

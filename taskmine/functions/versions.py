@@ -23,11 +23,19 @@ def version_parts(tag: Column) -> Column:
 
 def version_tuple(parts: Column) -> Column:
     """The parts as numbers. Arrays order element by element with the shorter prefix
-    first, so the column sorts as versions do; beyond 38 digits all numbers tie.
+    first; numbers beyond 38 digits are all the largest, so rank by ``version_order``.
     """
     return F.transform(parts, lambda part: F.coalesce(part.try_cast(NUMBER), F.lit(LARGEST).cast(NUMBER)))
 
 
+def version_order(parts: Column) -> Column:
+    """One text that sorts as the parts do as numbers of any length: each part without
+    leading zeros behind its own length in ten digits. A shorter prefix comes first.
+    """
+    bare = F.transform(parts, lambda part: F.regexp_replace(part, r"^0+(?=\d)", ""))
+    return F.array_join(F.transform(bare, lambda part: F.concat(F.lpad(F.length(part).cast("string"), 10, "0"), part)), ".")
+
+
 def version_key(parts: Column) -> Column:
     """The parts without leading zeros, joined by dots."""
     return F.array_join(F.transform(parts, lambda part: F.regexp_replace(part, r"^0+(?=\d)", "")), ".")

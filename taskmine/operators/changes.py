@@ -46,13 +46,16 @@ def fill(template: str, slots: dict[str, Column]) -> Column:
 
 
 def release_requests(
-    releases: DataFrame, readme: DataFrame, template: str = RELEASE_PROMPT, readme_section: str = README_SECTION
+    releases: DataFrame, readme: DataFrame | None = None, template: str = RELEASE_PROMPT, readme_section: str = README_SECTION,
+    readme_length: int | None = None,
 ) -> DataFrame:
-    """One categorisation request per release, with the start of the README as context."""
-    context = readme.select("repo", "readme_content")
-    joined = releases.join(context, "repo", "left")
+    """One categorisation request per release, with the README (or so much of it) as context.
+
+    Without a ``readme`` table the releases bring their own ``readme_content``.
+    """
+    joined = releases if readme is None else releases.join(readme.select("repo", "readme_content"), "repo", "left")
     content = text.or_empty(F.col("readme_content"))
-    section = fill(readme_section, {"readme": text.excerpt(content)})
+    section = fill(readme_section, {"readme": text.excerpt(content, readme_length)})
     has_readme = F.length(text.strip(content)) > 0
     prompt = fill(template, {
         "readme_section": F.when(has_readme, section),

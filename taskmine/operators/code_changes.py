@@ -27,11 +27,19 @@ def code_elements(files: DataFrame, source: str) -> DataFrame:
     return files.select(*keys, F.inline(source_code.elements(source_code.candidate(F.col(source)))))
 
 
+def unreadable_pairs(pairs: DataFrame, before: str = "before_src", after: str = "after_src") -> DataFrame:
+    """Keys of the pairs of which a side is Python text that the parser cannot take in."""
+    keys = [name for name in pairs.columns if name not in (before, after)]
+    side = lambda name, column: source_code.definitions(source_code.candidate(F.col(column))).alias(name)
+    return pairs.select(*keys, side("_b", before), side("_a", after)).where("_b is null or _a is null").select(*keys)
+
+
 def code_changes(pairs: DataFrame, before: str = "before_src", after: str = "after_src") -> DataFrame:
     """Added, deleted and modified elements of each pair of sources.
 
     Both sides become element rows that meet in one aggregate per (file, name), with a
     fingerprint in place of the body, so one shuffle of short rows does the comparison.
+    A pair with a side too deep to parse is left out; ``unreadable_pairs`` lists those.
     """
     keys = [name for name in pairs.columns if name not in (before, after)]
     side = lambda name, column: source_code.elements(source_code.candidate(F.col(column))).alias(name)
@@ -106,16 +114,18 @@ def without_changed_tests(specs: DataFrame, tests: DataFrame) -> DataFrame:
 
 def selector_batches(
     selectors: DataFrame, keys: list[str], block: Column, order: list[str],
-    command: str = d.TEST_COMMAND, max_chars: int = d.MAX_COMMAND_CHARS, batch_size: int = d.TESTS_PER_BATCH,
+    command: str = d.TEST_COMMAND, max_chars: int | None = None, batch_size: int | None = None,
 ) -> DataFrame:
-    """Batch number of each selector: one command unless it would get too long.
+    """Batch number of each selector: one command unless it would get longer than ``max_chars``.
+
+    With neither limit all selectors are one batch (``defaults.BATCH_LIMITS`` is usual).
 
     A run that needs batches may be huge, so positions come from ``numbered_in_blocks``
     and not from a window over the run.
     """
     numbered = numbered_in_blocks(selectors, keys, block, order, "position", F.length("selector") + 1)
-    too_long = F.col("position_total") + len(command) > max_chars
-    batch = F.when(too_long, F.floor(F.col("position") / batch_size)).otherwise(F.lit(0))
+    too_long = F.lit(True) if max_chars is None else F.col("position_total") + len(command) > max_chars
+    batch = F.lit(0) if batch_size is None else F.when(too_long, F.floor(F.col("position") / batch_size)).otherwise(F.lit(0))
     return numbered.withColumn("batch", batch.cast("bigint")).drop("position_total")
 
 

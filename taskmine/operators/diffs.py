@@ -10,7 +10,6 @@ from taskmine.functions import paths, text
 HEADER = r"(?d)^diff --git a/(.*?) b/(.*)"
 FILE_BOUNDARY = r"\n(?=diff --git)"
 MARKERS = {"new file mode": "added", "deleted file mode": "removed", "rename from": "renamed"}
-MARKER_LINES = 10
 TEMPLATES = {
     "added": "diff --git a/{new} b/{new}\nnew file mode 100644\nindex 0000000..1111111\n"
              "--- /dev/null\n+++ b/{new}\n{body}\n",
@@ -23,9 +22,11 @@ TEMPLATES = {
 }
 
 
-def _status(lines: Column) -> Column:
-    """Status by the first marker among the leading lines."""
-    marked = F.filter(F.slice(lines, 1, MARKER_LINES), lambda line: line.rlike("^(" + "|".join(MARKERS) + ")"))
+def _status(lines: Column, leading: int | None) -> Column:
+    """Status by the first marker before the first hunk, or among so many leading lines."""
+    hunk = F.array_position(F.transform(lines, lambda line: line.startswith("@@")), True)
+    size = F.lit(leading) if leading is not None else F.when(hunk > 0, (hunk - 1).cast("int")).otherwise(F.size(lines))
+    marked = F.filter(F.slice(lines, F.lit(1), size), lambda line: line.rlike("^(" + "|".join(MARKERS) + ")"))
     first = F.get(marked, F.lit(0))
     status = F
     for marker, name in MARKERS.items():
@@ -44,8 +45,11 @@ def _hunks(lines: Column) -> Column:
     return F.array_join(F.filter(lines, belongs), "\n")
 
 
-def parse_diffs(diffs: DataFrame, column: str = "diff") -> DataFrame:
-    """One row per file of each diff; pieces without a header are dropped."""
+def parse_diffs(diffs: DataFrame, column: str = "diff", marker_lines: int | None = None) -> DataFrame:
+    """One row per file of each diff; pieces without a header are dropped.
+
+    The status is looked for in the whole header, or in ``marker_lines`` lines of it.
+    """
     keys = [name for name in diffs.columns if name != column]
     pieces = diffs.select(*keys, F.posexplode(F.split(column, FILE_BOUNDARY)).alias("piece", "_text"))
     trimmed = pieces.select(*keys, "piece", text.strip(F.col("_text")).alias("_text"))
@@ -55,7 +59,7 @@ def parse_diffs(diffs: DataFrame, column: str = "diff") -> DataFrame:
         *keys, "piece", F.split("_text", "\n").alias("_lines"),
         F.regexp_extract(header, HEADER, 1).alias("_old"), F.regexp_extract(header, HEADER, 2).alias("_new"),
     )
-    parsed = lines.withColumn("status", _status(F.col("_lines")))
+    parsed = lines.withColumn("status", _status(F.col("_lines"), marker_lines))
     named = parsed.withColumn("filename", F.when(F.col("status") == "removed", F.col("_old")).otherwise(F.col("_new")))
     both = (F.col("_old") != "") & (F.col("_new") != "")
     return named.where(both | (F.col("filename") != "")).select(

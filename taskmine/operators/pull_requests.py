@@ -66,10 +66,27 @@ def with_commits(prs: DataFrame, commits: DataFrame) -> DataFrame:
 def snapshot_definitions(contents: DataFrame) -> DataFrame:
     """Definition paths of each landed snapshot; the text itself is not carried on.
 
-    Snapshots are parsed where they are read. A null content stays null.
+    Snapshots are parsed where they are read. A null content stays null; so do the
+    definitions of a ``landed`` one that is too deep to parse.
     """
     listed = F.when(F.col("content").isNotNull(), source_code.definitions(source_code.candidate(F.col("content"))))
-    return contents.select("repo", "path", "ref", listed.alias("definitions"))
+    return contents.select("repo", "path", "ref", F.col("content").isNotNull().alias("landed"), listed.alias("definitions"))
+
+
+def needed_snapshots(files: DataFrame, prs: DataFrame, contents: DataFrame) -> DataFrame:
+    """Landed snapshots that decide about these pull requests: source files at the commits that count."""
+    source = files.where(paths.is_source_file(F.col("filename"))).select(*PR, F.col("filename").alias("path"))
+    at = source.join(prs.select(*PR, F.explode(F.array("base_sha", "head_sha")).alias("ref")), PR)
+    return contents.join(at.select("repo", "path", "ref").distinct(), ["repo", "path", "ref"], "left_semi")
+
+
+def distinct_definitions(contents: DataFrame) -> DataFrame:
+    """``snapshot_definitions`` with each different text parsed once, however many snapshots hold it."""
+    keyed = contents.select("repo", "path", "ref", "content", F.sha2("content", 256).alias("_text"))
+    texts = keyed.where("_text is not null").select("_text", "content").dropDuplicates(["_text"])
+    parsed = texts.select("_text", source_code.definitions(source_code.candidate(F.col("content"))).alias("definitions"))
+    landed = F.col("_text").isNotNull().alias("landed")
+    return keyed.drop("content").join(parsed, "_text", "left").select("repo", "path", "ref", landed, "definitions")
 
 
 def definition_diff(pairs: DataFrame, before: str, after: str) -> DataFrame:
@@ -81,7 +98,7 @@ def definition_diff(pairs: DataFrame, before: str, after: str) -> DataFrame:
     )
     new, gone = F.array_except("_after", "_before"), F.array_except("_before", "_after")
     return listed.select(
-        *keys, ((F.size(new) == 0) & (F.size(gone) == 0)).alias("only_modified"),
+        *keys, F.coalesce((F.size(new) == 0) & (F.size(gone) == 0), F.lit(False)).alias("only_modified"),
         F.array_sort(new).alias("new_definitions"), F.array_sort(gone).alias("deleted_definitions"),
     )
 
@@ -115,18 +132,20 @@ def file_violations(files: DataFrame, prs: DataFrame, definitions: DataFrame) ->
     # not filtered on the definitions: that would run the parser a second time
     landed = definitions.select(
         "repo", F.col("path").alias("filename"), "ref", (F.size("definitions") > 0).alias("_defines"),
+        (F.col("landed") & F.col("definitions").isNull()).alias("_unreadable"),
         *[F.when(F.col("definitions").isNotNull(), part).alias(f"_digest_{n}")
           for n, part in enumerate(text.fingerprint(F.col("definitions")))],
     )
     found = wanted.join(landed, ["repo", "filename", "ref"], "left")
-    compared = found.groupBy(*keep).agg(F.bool_or("_defines").alias("_defines"), *[
+    compared = found.groupBy(*keep).agg(F.bool_or("_defines").alias("_defines"), F.bool_or("_unreadable").alias("_unreadable"), *[
         F.max(F.when(F.col("side") == side, F.col(f"_digest_{n}"))).alias(f"_{side}_{n}")
         for side in ("base", "head") for n in (0, 1)
     ])
     # a side that was not readable is null and differs
     differs = F.coalesce((F.col("_base_0") != F.col("_head_0")) | (F.col("_base_1") != F.col("_head_1")), F.lit(True))
     violates = F.when(F.col("status") == "modified", differs).otherwise(F.coalesce("_defines", F.lit(False)))
-    return compared.select(*keep, (F.col("is_source") & violates).alias("violates"))
+    unsure = F.coalesce("_unreadable", F.lit(False))  # what cannot be read may define anything
+    return compared.select(*keep, (F.col("is_source") & (violates | unsure)).alias("violates"))
 
 
 def eligibility(files: DataFrame, prs: DataFrame, definitions: DataFrame, merged_only: bool = False) -> DataFrame:
@@ -143,23 +162,29 @@ def eligibility(files: DataFrame, prs: DataFrame, definitions: DataFrame, merged
 
 def files_summary(
     files: DataFrame,
-    max_files: int = d.MAX_FILES_IN_SUMMARY,
-    max_patch: int = d.MAX_PATCH_LENGTH,
-    max_preview: int = d.MAX_PATCH_PREVIEW,
+    max_files: int | None = None,
+    max_patch: int | None = None,
+    max_preview: int | None = None,
 ) -> DataFrame:
-    """Text listing the first non-test files of a pull request, with short patches."""
+    """Text listing the non-test files of a pull request with their patches.
+
+    ``max_files`` keeps the first ones only, ``max_patch`` leaves longer patches out and
+    ``max_preview`` cuts the others; ``defaults.SUMMARY_LIMITS`` holds the usual numbers.
+    """
     is_test = paths.is_test_file(F.col("filename"))
     counts = files.groupBy(*PR).agg(F.count_if(~is_test).alias("_files"))
     patch = text.or_empty(F.col("patch"))
     head = F.format_string("- %s (%s): +%d/-%d", "filename", "status", "additions", "deletions")
-    short = (F.length(patch) > 0) & (F.length(patch) < max_patch)
-    line = F.when(short, F.concat(head, F.lit("\n  "), text.preview(patch, max_preview))).otherwise(head)
-    shown = first_n(files.where(~is_test), PR, [F.asc("pos")], max_files).select(*PR, "pos", line.alias("line"))
+    short = (F.length(patch) > 0) & (F.length(patch) < max_patch if max_patch is not None else F.lit(True))
+    body = text.preview(patch, max_preview) if max_preview is not None else patch
+    line = F.when(short, F.concat(head, F.lit("\n  "), body)).otherwise(head)
+    source = files.where(~is_test)
+    shown = (source if max_files is None else first_n(source, PR, [F.asc("pos")], max_files)).select(*PR, "pos", line.alias("line"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
     texts = shown.groupBy(*PR).agg(
         F.array_join(F.transform(ordered, lambda entry: entry["line"]), "\n").alias("_text")
     )
-    more = F.col("_files") - max_files
+    more = F.col("_files") - max_files if max_files is not None else F.lit(0).cast("long")
     summary = F.when(F.col("_text").isNull(), F.lit(d.NO_FILES_TEXT)).when(
         more > 0, F.concat("_text", F.format_string("\n... and %d more files", more))
     ).otherwise(F.col("_text"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def first_n(rows: DataFrame, keys: list[str], order: list[Column], n: int, rank: str | None = None) -> DataFrame:
-    """The first ``n`` rows per key, numbered from 1 in ``rank`` when that is named.
+def first_n(rows: DataFrame, keys: list[str], order: list[Column], n: int | None, rank: str | None = None) -> DataFrame:
+    """The first ``n`` rows per key (None: all), numbered from 1 in ``rank`` when that is named.
 
     Catalyst limits each group inside every map task before the shuffle, so a hot
     key sends at most ``n`` rows per task. That pre-limit has a threshold: keep ``n``
@@ -14,7 +14,7 @@ def first_n(rows: DataFrame, keys: list[str], order: list[Column], n: int, rank:
     """
     number = rank or "_rank"
     ranked = rows.withColumn(number, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    best = ranked.where(F.col(number) <= n)
+    best = ranked if n is None else ranked.where(F.col(number) <= n)
     return best if rank else best.drop(number)
 
 

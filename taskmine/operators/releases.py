@@ -37,7 +37,7 @@ def versioned(releases: DataFrame) -> DataFrame:
     found = releases.where(versions.has_version(F.col("tag_name")))
     parts = found.withColumn("_parts", versions.version_parts(F.col("tag_name")))
     return parts.withColumns({
-        "version_tuple": versions.version_tuple(F.col("_parts")), "version_key": versions.version_key(F.col("_parts")),
+        "version_tuple": versions.version_tuple(F.col("_parts")), "version_order": versions.version_order(F.col("_parts")), "version_key": versions.version_key(F.col("_parts")),
     }).drop("_parts")
 
 
@@ -47,15 +47,15 @@ def stable(releases: DataFrame) -> DataFrame:
 
 
 def _order():
-    return [F.desc("version_tuple"), F.asc("api_pos")]
+    return [F.desc("version_order"), F.asc("api_pos")]
 
 
-def top_versions(releases: DataFrame, limit: int = d.RELEASES_PER_REPO) -> DataFrame:
-    """The highest versions of each repository; equal versions stay in listing order."""
+def top_versions(releases: DataFrame, limit: int | None = None) -> DataFrame:
+    """Releases ranked by version in each repository, all or the first ``limit``; equal versions stay in listing order."""
     return first_n(stable(releases), ["repo"], _order(), limit, rank="rank")
 
 
 def latest_per_major(releases: DataFrame) -> DataFrame:
     """The highest release of each major version (an option; the default is ``top_versions``)."""
-    major = stable(releases).withColumn("major", F.get("version_tuple", F.lit(0)))
+    major = stable(releases).withColumn("major", F.split_part("version_key", F.lit("."), F.lit(1)))
     return first_n(major, ["repo", "major"], _order(), 1)

@@ -16,12 +16,10 @@ def rank_candidates(
 ) -> DataFrame:
     """Repositories ranked by stars (ties in listing order), from rank to rank.
 
-    The search service never gives more than 1,000 results, so the one-task window
-    runs on the at most 1,000 rows that the distributed top-k leaves.
+    The one-task window runs on the ``rank_end`` rows that the distributed top-k leaves.
     """
     order = [F.desc("stargazers_count"), F.asc("api_pos")]
-    last = min(rank_end, d.MAX_SEARCH_RESULTS)
-    head = listing.where(F.col("stargazers_count") >= min_stars).orderBy(*order).limit(last)
+    head = listing.where(F.col("stargazers_count") >= min_stars).orderBy(*order).limit(rank_end)
     ranked = head.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     return ranked.where(F.col("rank").between(rank_start, rank_end))
 

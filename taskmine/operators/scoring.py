@@ -10,11 +10,18 @@ from taskmine.operators.labels import label_list
 from taskmine.operators.ranking import keep_first_but_all_without_id, keep_one
 
 RESULT_KEY = ["agent", "model", "instance_id"]
+LISTS = ["passed_f2p_tests", "passed_p2p_tests", "expected_f2p_tests", "expected_p2p_tests"]
 
 # --- fixed value -----------------------------------------------------------
 NO_PATCH = "Agent failed to generate valid patches"
 
 
+def first_patches(patches: DataFrame, order: str = "seq") -> DataFrame:
+    """The first landed patch of each agent, model and instance."""
+    first = keep_one(patches, RESULT_KEY, [order], "first") if order in patches.columns else patches.dropDuplicates(RESULT_KEY)
+    return first.select(*RESULT_KEY, "model_patch")
+
+
 def with_patches(specs: DataFrame, patches: DataFrame) -> DataFrame:
     """Each spec with the first patch landed for it; without one it carries an error."""
     first = keep_one(patches, ["instance_id"], ["seq"], "first").select("instance_id", "model_patch")
@@ -60,11 +67,22 @@ def outcomes_of_tests(expected: DataFrame, statuses: DataFrame) -> DataFrame:
     return flags.withColumn("success", F.col("success_f2p") & F.col("success_p2p"))
 
 
+def test_lists(statuses: DataFrame) -> DataFrame:
+    """Expected and passed tests of each pair and label, sorted (for the stored record)."""
+    of = lambda label, more: F.array_sort(F.collect_list(F.when((F.col("label") == label) & more, F.col("test"))))
+    passed = F.col("status") == "PASSED"
+    return statuses.groupBy(*RESULT_KEY).agg(
+        of("FAIL_TO_PASS", passed).alias(LISTS[0]), of("PASS_TO_PASS", passed).alias(LISTS[1]),
+        of("FAIL_TO_PASS", F.lit(True)).alias(LISTS[2]), of("PASS_TO_PASS", F.lit(True)).alias(LISTS[3]))
+
+
 def append_results(old: DataFrame, new: DataFrame, order: list[str], compat: bool = False) -> DataFrame:
     """Old and new results, the first per key kept; rows without an instance all stay.
 
+    A stored row always comes before a new one; ``order`` counts within a side.
     ``compat`` keys by instance alone, which lets one agent's row hide another's.
     """
     keys = ["instance_id"] if compat else RESULT_KEY
-    united = old.unionByName(new, allowMissingColumns=True)
-    return keep_first_but_all_without_id(united, keys, "instance_id", order)
+    sided = lambda rows, side: rows.withColumn("_side", F.lit(side))
+    united = sided(old, 0).unionByName(sided(new, 1), allowMissingColumns=True)
+    return keep_first_but_all_without_id(united, keys, "instance_id", ["_side", *order]).drop("_side")

@@ -26,8 +26,10 @@ def qualify_repositories(
 ) -> DataFrame:
     """Candidates that are new, on topic, tested, and have enough valid releases."""
     fresh = rep.without_topics(rep.unprocessed(candidates, processed))
-    tested = rep.tested_repos(files).where("has_tests").select(F.col("repo").alias("full_name"))
-    counts = rel.release_counts(rel.valid_releases(releases, min_date=min_release_date), min_releases)
+    # the candidates are few next to all landed files and releases
+    own = lambda frame: frame.join(fresh.select(F.col("full_name").alias("repo")), "repo", "left_semi")
+    tested = rep.tested_repos(own(files)).where("has_tests").select(F.col("repo").alias("full_name"))
+    counts = rel.release_counts(rel.valid_releases(own(releases), min_date=min_release_date), min_releases)
     return fresh.join(tested, "full_name", "left_semi").join(
         counts.withColumnRenamed("repo", "full_name"), "full_name"
     )
@@ -35,7 +37,7 @@ def qualify_repositories(
 
 def build_repositories(
     qualified: DataFrame, releases: DataFrame, files: DataFrame,
-    limit: int = d.RELEASES_PER_REPO, min_release_date: str = d.MIN_RELEASE_DATE,
+    limit: int | None = None, min_release_date: str = d.MIN_RELEASE_DATE,
 ) -> DataFrame:
     """Records of qualified repositories: top releases, README, workflow files.
 
@@ -49,12 +51,24 @@ def build_repositories(
     return rep.assemble(qualified, rel.top_versions(valid, limit), rep.readmes(landed), rep.ci_configs(landed))
 
 
-def release_requests(repositories: DataFrame, analysed: DataFrame) -> DataFrame:
-    """Categorisation requests for releases without a stored analysis."""
-    rows = repositories.select(F.col("full_name").alias("repo"), "readme_content", F.inline("major_releases"))
-    todo = rows.join(analysed.select("repo", "tag_name"), ["repo", "tag_name"], "left_anti")
-    readme = repositories.select(F.col("full_name").alias("repo"), "readme_content")
-    return changes.release_requests(todo.drop("readme_content"), readme)
+def release_requests(repositories: DataFrame, analysed: DataFrame, readme_length: int | None = None) -> DataFrame:
+    """Categorisation requests for releases without a stored analysis, one per release however often its repository is named."""
+    once = repositories.dropDuplicates(["full_name"])
+    rows = once.select(F.col("full_name").alias("repo"), "readme_content", F.inline("major_releases"))
+    return changes.release_requests(cache_misses(rows, analysed), readme_length=readme_length)
+
+
+def cache_misses(releases: DataFrame, analysed: DataFrame) -> DataFrame:
+    """Releases without a stored analysis."""
+    return releases.join(analysed.select("repo", "tag_name"), ["repo", "tag_name"], "left_anti")
+
+
+def with_cached(answers: DataFrame, stored: DataFrame) -> DataFrame:
+    """Stored analyses and new ones; a stored one is never replaced. One row per release."""
+    keys = ["repo", "tag_name"]
+    known = stored.dropDuplicates(keys)
+    fresh = answers.join(known.select(*keys), keys, "left_anti").dropDuplicates(keys)
+    return known.unionByName(fresh, allowMissingColumns=True)
 
 
 def parse_release_changes(answers: DataFrame) -> DataFrame:

@@ -27,42 +27,63 @@ class Requests(NamedTuple):
     prs: DataFrame
 
 
+def judged(features: DataFrame, landed: Landed) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Eligibility of the pull requests that the features name, with their prs and files.
+
+    Landed tables hold far more than that, so they are narrowed first, to the pull
+    requests and then to the snapshots that decide; only different texts are parsed.
+    """
+    keys = features.select(*pr.PR).distinct()
+    wanted = lambda frame: frame.join(keys, pr.PR, "left_semi")
+    files, prs = wanted(landed.files), wanted(landed.prs)
+    contents = pr.needed_snapshots(files, prs, landed.contents)
+    return pr.eligibility(files, prs, pr.distinct_definitions(contents)), prs, files
+
+
+def with_stored(responses: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Answers landed now and those stored before; a stored one is never replaced."""
+    if stored is None:
+        return responses
+    known = stored.select(*responses.columns).dropDuplicates(pr.PR)
+    return known.unionByName(responses.join(known.select(*pr.PR), pr.PR, "left_anti"))
+
+
 def description_requests(changes: DataFrame, landed: Landed, analysed: DataFrame) -> Requests:
     """Description requests for eligible pull requests that have no stored analysis."""
     features = pr.feature_prs(changes)
     todo = features.join(analysed.select(*pr.PR), pr.PR, "left_anti")
-    keys = todo.select(*pr.PR).distinct()
-    wanted = lambda frame: frame.join(keys, pr.PR, "left_semi")
-    files, prs = wanted(landed.files), wanted(landed.prs)
-    eligible = pr.eligibility(files, prs, pr.snapshot_definitions(landed.contents))
+    eligible, prs, files = judged(todo, landed)
     requests = pr.pr_requests(eligible, prs, pr.files_summary(files), pr.first_mentions(features))
     return Requests(features, eligible, requests)
 
 
 def enrich_features(
-    changes: DataFrame, landed: Landed, pr_responses: DataFrame, feature_responses: DataFrame
+    changes: DataFrame, landed: Landed, pr_responses: DataFrame, feature_responses: DataFrame, stored: DataFrame | None = None
 ) -> DataFrame:
-    """Features with described, eligible pull requests."""
+    """Features with described, eligible pull requests; ``stored``: answers of earlier runs."""
     features = pr.feature_prs(changes)
-    eligible = pr.eligibility(landed.files, landed.prs, pr.snapshot_definitions(landed.contents))
-    descriptions = pr.pr_descriptions(eligible, pr.first_mentions(features), pr_responses)
+    eligible, _, _ = judged(features, landed)
+    descriptions = pr.pr_descriptions(eligible, pr.first_mentions(features), with_stored(pr_responses, stored))
     return pr.enriched_features(features, descriptions, feature_responses)
 
 
 def final_results(
-    answers: DataFrame, releases: DataFrame, landed: Landed, pr_responses: DataFrame, feature_responses: DataFrame
+    answers: DataFrame, releases: DataFrame, landed: Landed, pr_responses: DataFrame, feature_responses: DataFrame,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """The nested result documents, one per release with enriched features.
 
-    The described pull requests are few next to what they are found in; they become a
-    stage table, since both the features and the nested records start from them.
+    The named features and the described pull requests are few next to what they are
+    found in; they become stage tables, written when this is called, since several parts
+    start from them and answers are parsed only once.
     """
     analysed = ch.analysed(ch.parsed_answers(answers))
-    features = pr.feature_prs(ch.release_changes(analysed))
-    eligible = pr.eligibility(landed.files, landed.prs, pr.snapshot_definitions(landed.contents))
-    descriptions = staged(pr.pr_descriptions(eligible, pr.first_mentions(features), pr_responses), "descriptions")
+    features = staged(pr.feature_prs(ch.release_changes(analysed)), "features")
+    eligible, prs, files = judged(features, landed)
+    chosen = pr.pr_descriptions(eligible, pr.first_mentions(features), with_stored(pr_responses, stored))
+    descriptions = staged(chosen, "descriptions")
     enriched = pr.enriched_features(features, descriptions, feature_responses)
-    described = lambda frame: frame.join(descriptions.select(*pr.PR), pr.PR, "left_semi")
+    described = lambda frame: frame.join(descriptions.select(*pr.PR), pr.PR, "left_semi")
     prs, files = pr.with_commits(described(landed.prs), landed.commits), described(landed.files)
     analyses = pr.analyses(prs, files, pr.file_lists(files), descriptions)
     return pr.nested_results(features, enriched, analyses, ch.analysis_records(analysed, releases))

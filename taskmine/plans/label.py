@@ -16,6 +16,7 @@ def changed_tests(specs: DataFrame, snapshots: DataFrame) -> DataFrame:
 def label_specs(specs: DataFrame, tests: DataFrame, logs: DataFrame) -> DataFrame:
     """Specs with their label texts. A spec without changed tests is only marked processed.
 
+    ``logs`` has a row per instance and phase, or per instance, label, phase and batch.
     Specs whose tests were all deleted have no selector and get no FAIL_TO_PASS.
     """
     selectors = cc.test_selectors(tests)

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from taskmine.operators import diffs as df
 
 
-def parse(spark, *texts):
+def parse(spark, *texts, **options):
     frame = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "n int, diff string")
     keys = ["n", "piece", "filename", "status", "old_filename", "patch_content", "is_test_file"]
-    return [tuple(r) for r in df.parse_diffs(frame).select(*keys).orderBy("n", "piece").collect()]
+    return [tuple(r) for r in df.parse_diffs(frame, **options).select(*keys).orderBy("n", "piece").collect()]
 
 
 def test_statuses_and_names(spark):
@@ -23,17 +23,20 @@ def test_statuses_and_names(spark):
     ]
 
 
-def test_a_marker_on_line_eleven_is_too_late(spark):
+def test_the_whole_header_is_searched_unless_a_limit_is_given(spark):
     head = "diff --git a/x b/x\n" + "\n".join(f"index {i}" for i in range(9))
-    assert parse(spark, head + "\nnew file mode 100644")[0][3] == "modified"
-    assert parse(spark, head[:head.rindex("\n")] + "\nnew file mode 100644")[0][3] == "added"
+    late = head + "\nnew file mode 100644"
+    assert parse(spark, late)[0][3] == "added"
+    assert parse(spark, late, marker_lines=10)[0][3] == "modified"
+    assert parse(spark, head[:head.rindex("\n")] + "\nnew file mode 100644", marker_lines=10)[0][3] == "added"
+    assert parse(spark, head + "\n@@ -1 +1 @@\n new file mode\nnew file mode 100644")[0][3] == "modified"
 
 
 def test_text_without_headers_gives_nothing(spark):
     assert parse(spark, "", "hello", "diff --git x y", "\n\n") == []
 
 
-def plain(text):
+def plain(text, leading=None):
     """The files of a diff, found line by line."""
     found, pieces = [], []
     for line in text.split("\n"):
@@ -47,7 +50,8 @@ def plain(text):
             continue
         old, new = head[len("diff --git a/"):].split(" b/", 1)
         status = "modified"
-        for line in lines[:10]:
+        hunk = next((n for n, line in enumerate(lines) if line.startswith("@@")), len(lines))
+        for line in lines[:leading or hunk]:
             marks = {"new file mode": "added", "deleted file mode": "removed", "rename from": "renamed"}
             hit = [kind for mark, kind in marks.items() if line.startswith(mark)]
             if hit:
@@ -69,11 +73,12 @@ def test_random_diffs(spark):
     pieces = ["diff --git a/f.py b/f.py", "diff --git a/a b/c b/d", "diff --git a/x y", "new file mode 100644", "deleted file mode 1", "rename from f", "index 1..2",
               "--- a/f", "+++ b/f", "@@ -1 +1 @@", "+new", "-old", " same", "", "\\ No newline", "junk", "  ", "x diff --git a/q b/q"]
     texts = ["\n".join(rng.choices(pieces, k=rng.randint(0, 25))) for _ in range(600)]
-    got = {}
-    for n, _, name, status, old, body, _ in parse(spark, *texts):
-        got.setdefault(n, []).append((name, status, old, body))
-    for n, text in enumerate(texts):
-        assert got.get(n, []) == plain(text), text
+    for leading in (None, 10):
+        got = {}
+        for n, _, name, status, old, body, _ in parse(spark, *texts, marker_lines=leading):
+            got.setdefault(n, []).append((name, status, old, body))
+        for n, text in enumerate(texts):
+            assert got.get(n, []) == plain(text, leading), text
 
 
 @pytest.mark.parametrize("status", ["added", "removed", "renamed", "modified"])

@@ -100,3 +100,13 @@ def test_test_file_rules(column):
 
 def test_whitespace_list_is_complete():
     assert set(d.WHITESPACE) == {chr(c) for c in range(0x110000) if chr(c).isspace()}
+
+
+def test_versions_sort_exactly_at_any_length(spark):
+    big = "1" * 40
+    tags = ["v2", "v10", "v2.0", "v2.1", f"v{big}", f"v{big[:-1]}2", "v002.0001", "v9" + "0" * 45, "v1-2_3.4.5"]
+    frame = spark.createDataFrame([(t,) for t in tags], "t string")
+    parts = versions.version_parts(F.col("t"))
+    numbers = lambda tag: [int(n) for n in __import__("re").findall(r"\d+", tag)][:4]
+    got = [r["t"] for r in frame.orderBy(versions.version_order(parts), "t").collect()]
+    assert got == sorted(tags, key=lambda t: (numbers(t), t))

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from taskmine import defaults as d
 from taskmine.operators import pull_requests as pr
 
 FILES = "repo string, pr_number string, pos int, filename string, status string, additions bigint, deletions bigint, changes bigint, patch string"
@@ -42,7 +43,7 @@ def test_eligibility_rules(spark):
 def test_summary_text(spark):
     frame = files(spark, *[("1", i, f"m{i}.py", "modified") for i in range(4)], ("2", 0, "tests/test_a.py", "added"))
     long = frame.withColumn("patch", F.when(F.col("pos") == 1, F.repeat(F.lit("p"), 1000)).when(F.col("pos") == 2, F.repeat(F.lit("q"), 700)).otherwise("@@"))
-    got = {r["pr_number"]: r["files_text"] for r in pr.files_summary(long, max_files=3).collect()}
+    got = {r["pr_number"]: r["files_text"] for r in pr.files_summary(long, **{**d.SUMMARY_LIMITS, "max_files": 3}).collect()}
     assert got["2"] == "No files were modified in this PR."
     assert got["1"] == ("- m0.py (modified): +1/-2\n  @@...\n- m1.py (modified): +1/-2\n- m2.py (modified): +1/-2\n  "
                         + "q" * 600 + "...\n... and 1 more files")

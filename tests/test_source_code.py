@@ -26,6 +26,12 @@ def names(source, code_type):
     return sorted(e["name"] for e in list_elements(source) if e["code_type"] == code_type)
 
 
+def test_text_too_deep_to_parse_is_neither_empty_nor_equal():
+    deep = "x = " + "-" * 100_000 + "1\ndef f(): pass\n"
+    assert list_definitions(deep) is None and list_elements(deep) is None
+    assert list_definitions("def (") == []
+
+
 def test_the_two_extractors_differ_on_purpose():
     assert list_definitions(SOURCE) == ["A", "A.f", "A.f.g"]
     assert names(SOURCE, "class") == ["A"]

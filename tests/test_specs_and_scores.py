@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from taskmine.plans import label, score
 from taskmine.operators import code_changes as cc, labels as lb, scoring as sc, specs as sp
 from taskmine.operators.ranking import numbered_in_blocks
 
@@ -86,6 +87,43 @@ def test_append_keeps_the_first_and_everything_without_id(spark):
     assert seqs() == [0, 1, 3, 4, 5] and seqs(compat=True) == [0, 1, 4, 5]
 
 
+def test_a_stored_result_stays_whatever_its_number(spark):
+    schema = "seq int, agent string, model string, instance_id string"
+    old, new = (spark.createDataFrame([(n, "a", "m", "i")], schema) for n in (5, 0))
+    assert [r["seq"] for r in sc.append_results(old, new, ["seq"]).collect()] == [5]
+    assert [r["seq"] for r in sc.append_results(old, new, ["seq"], compat=True).collect()] == [5]
+
+
+def test_scores_of_failing_unpatched_and_doubly_patched_pairs(spark):
+    key = "agent string, model string, instance_id string"
+    rows = lambda data, more: spark.createDataFrame(data, f"{key}, {more}")
+    todo = rows([("a", "m", i, "t::f", "t::p, t::q") for i in ("1", "2", "3")], "fail_to_pass string, pass_to_pass string")
+    patches = rows([("a", "m", "1", 1, "second"), ("a", "m", "1", 0, "first"), ("a", "m", "2", 0, "only")], "seq int, model_patch string")
+    attempts = rows([("a", "m", i, 0, "x.py", i == "1") for i in "12"], "piece int, filename string, applied boolean")
+    log = lambda *lines: "short test summary info\n" + "\n".join(lines)
+    logs = rows([("a", "m", "1", "FAIL_TO_PASS", log("PASSED t::f")), ("a", "m", "1", "PASS_TO_PASS", log("PASSED t::p", "PASSED t::q")),
+                 ("a", "m", "2", "FAIL_TO_PASS", log("PASSED t::f")), ("a", "m", "2", "PASS_TO_PASS", log("PASSED t::p", "FAILED t::q"))], "label string, log string")
+    agent_logs = rows([("a", "m", "1", 0, "Execution Summary\n│ Total Tokens │ 9 │"), ("a", "m", "1", 1, "x")], "seq int, log string")
+    got = {r["instance_id"]: r for r in score.score_agents(todo, patches, attempts, logs, agent_logs).collect()}
+    assert len(got) == 3 and [got[i]["success"] for i in "123"] == [True, False, False]
+    assert got["1"]["patch_content"] == "first" and got["1"]["total_tokens"] == 9 and got["1"]["applied_files"] == ["x.py"]
+    assert (got["2"]["success_f2p"], got["2"]["success_p2p"]) == (True, False)
+    assert got["2"]["passed_p2p_tests"] == ["t::p"] and got["2"]["expected_p2p_tests"] == ["t::p", "t::q"]
+    assert got["3"]["error"] == sc.NO_PATCH
+
+
+def test_separate_runs_count_for_their_own_label(spark):
+    specs = spark.createDataFrame([("i",)], "instance_id string")
+    tests = spark.createDataFrame([("i", "t.py", "f", "function", "modified")], "instance_id string, path string, name string, code_type string, change_type string")
+    log = lambda *lines: "short test summary info\n" + "\n".join(lines)
+    runs = [("FAIL_TO_PASS", "pre", 0, log("FAILED t.py::f")), ("FAIL_TO_PASS", "post", 0, log("PASSED t.py::f")),
+            ("PASS_TO_PASS", "pre", 0, log("PASSED t.py::f", "PASSED t.py::g")), ("PASS_TO_PASS", "post", 0, log("FAILED t.py::f")),
+            ("PASS_TO_PASS", "post", 1, log("PASSED t.py::g"))]
+    logs = spark.createDataFrame([("i", *run) for run in runs], "instance_id string, label string, phase string, batch int, log string")
+    row = label.label_specs(specs, tests, logs).first()
+    assert (row["fail_to_pass"], row["pass_to_pass"]) == ("t.py::f", "t.py::g")  # f fails in the parallel run
+
+
 def test_first_patch_counts(spark):
     specs = spark.createDataFrame([("a",), ("b",)], "instance_id string")
     patches = spark.createDataFrame([(1, "a", "second"), (0, "a", "first")], "seq int, instance_id string, model_patch string")
