@@ -1,10 +1,11 @@
 """Document fingerprints that tell how far two versions differ, with built-in functions only.
 
-A text is the set of the digests of its paragraphs: lines, and long lines cut where a
-sentence ends and the next one starts with one of a few letters (so that a cut depends on
-the text around it alone). The fingerprint is an invertible Bloom lookup sketch of that
-set: every digest is added to one cell in each of three parts, and a cell keeps a count,
-the exclusive or of its digests and that of their check values.
+A text is the set of the digests of its paragraphs: lines, and lines cut where a sentence
+ends and the next one starts with one of a few letters (so that a cut depends on the text
+around it alone). Of a text under 600 characters every clause is a paragraph. The
+fingerprint is an invertible Bloom lookup sketch of that set: every digest is added to one
+cell in each of three parts, and a cell keeps a count, the exclusive or of its digests and
+that of their check values.
 
 Two sketches of one size are subtracted cell by cell; what both sides have cancels out.
 Cells that hold a single digest (count 1 or -1, check value right) are peeled off until
@@ -28,13 +29,18 @@ from taskmine.sources.stages import staged
 PARTS = 3
 FIRST_SIZE = 36  # cells of the fingerprint
 ROUNDS = 12
-_CUT = r"\n+|(?<=[.?])[ ]+(?=[A-DÀ-Äa-d])"
+_CUT = r"\n+|(?<=[.?!|])[ ]+(?=[A-DÀ-Äa-d])"
 _CELLS = "array<struct<pos:int,n:int,key:bigint,mark:bigint>>"
-_BUCKET_ROWS = 20_000
+_FINE = r"\n+|(?<=[.?!,|])[ ]+"
+_SHORT = 600
+_BUCKET_ROWS = 2_000
+_SEGMENTS = 64
 
 
 def paragraph_digests(text: Column) -> Column:
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), _CUT, -1), lambda p: p != "")
+    text = F.coalesce(text, F.lit(""))
+    pieces = F.when(F.length(text) < _SHORT, F.split(text, _FINE, -1)).otherwise(F.split(text, _CUT, -1))
+    parts = F.filter(pieces, lambda p: p != "")
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
@@ -108,17 +114,22 @@ def with_likeness(pairs: DataFrame, one: str, other: str, one_cells: str, other_
 def followed(docs: DataFrame, doc_id: str, columns: list[str], bucket_rows: int = _BUCKET_ROWS) -> DataFrame:
     """``docs`` with ``next_<column>`` of the next lower id; the lowest is followed by the highest.
 
-    Ids are cut into ranges by their quantiles, so the order needs one shuffle and no task
-    holds more than a range; only the last row of a range looks up the first of the next.
+    Ids are cut into segments by their quantiles and each segment evenly into ranges of
+    about ``bucket_rows`` rows, so the order needs one shuffle and no task holds more than
+    some ranges; only the last row of a range looks up the first of the next.
     """
-    rows, low = docs.agg(F.count("*"), F.min(doc_id)).first()
+    rows, low, high = docs.agg(F.count("*"), F.min(doc_id), F.max(doc_id)).first()
     if not rows:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    count = max(1, -(-rows // bucket_rows))
-    cuts = docs.agg(F.percentile_approx(doc_id, [k / count for k in range(1, count)], max(10_000, 10 * count))).first()[0] if count > 1 else []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-    bucket = F.size(F.filter(bounds, lambda b: b < F.col(doc_id).cast("long"))) if cuts else F.lit(0)
+    cuts = docs.agg(F.percentile_approx(doc_id, [k / _SEGMENTS for k in range(1, _SEGMENTS)], 10_000)).first()[0]
+    edges = sorted({low, high + 1, *cuts})
+    each = -(-rows // (bucket_rows * (len(edges) - 1)))
+    bounds = F.array(*[F.lit(e) for e in edges]).cast("array<bigint>")
+    own = F.col(doc_id).cast("long")
+    segment = F.size(F.filter(bounds, lambda b: b <= own))  # from 1
+    floor, ceiling = F.element_at(bounds, segment), F.element_at(bounds, segment + 1)
+    share = (own.cast("double") - floor.cast("double")) / (ceiling.cast("double") - floor.cast("double"))
+    bucket = segment.cast("long") * each + F.floor(share * each)
     ranged = docs.withColumn("_bucket", bucket)
     order = Window.partitionBy("_bucket").orderBy(F.desc(doc_id))
     ahead = ranged.withColumn("_next", F.lead(F.struct(*[F.col(c) for c in columns])).over(order))
@@ -126,7 +137,8 @@ def followed(docs: DataFrame, doc_id: str, columns: list[str], bucket_rows: int
     heads = ranged.groupBy("_bucket").agg(F.max(doc_id).alias("_head"))
     ring = heads.select((F.col("_bucket")).alias("_bucket"), F.coalesce(
         F.lead("_head").over(Window.orderBy(F.desc("_bucket"))), F.max("_head").over(Window.partitionBy(F.lit(0)))).alias("_head"))
-    edge = docs.join(F.broadcast(ring), docs[doc_id] == F.col("_head")).select("_bucket", F.struct(*[docs[c] for c in columns]).alias("_edge"))
+    ring = staged(ring, "fingerprint-ranges")  # small, and known to be so; Spark decides how to join it
+    edge = docs.join(ring, docs[doc_id] == F.col("_head")).select("_bucket", F.struct(*[docs[c] for c in columns]).alias("_edge"))
     joined = ahead.join(edge, "_bucket", "left")
     return joined.select(*docs.columns, *[F.coalesce(F.col("_next"), F.col("_edge"))[c].alias(f"next_{c}") for c in columns])
 

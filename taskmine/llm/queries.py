@@ -93,7 +93,23 @@ def op7(table) -> DataFrame:
         label_list(base).alias("base_labels"), label_list(F.concat(base, own)).alias("labels"), "score")
 
 
-@query("op8_decontamination")
+_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') as w"""
+OP8 = f"""
+with d as (select doc_id, {_WORDS} from documents), b as (select item_id, {_WORDS} from benchmark),
+item_windows as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') as win
+  from b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(k) where len(w) > 0),
+places as (select doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') as win
+  from d, (select distinct n from item_windows) sizes, unnest(range(1, len(w) - n + 2)) t(k)),
+hits as (select doc_id, k, n, item_id from places join item_windows using (n, win)),
+covered as (select doc_id, count(distinct x) as n_hit from (select distinct doc_id, k, n from hits) h, unnest(range(k, k + n)) u(x) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids
+  from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (doc_id) left join items using (doc_id)"""
+
+
+@query("op8_decontamination", OP8)
 def op8(table) -> DataFrame:
     found = contamination.contaminated(table("documents").select("doc_id", "text"), table("benchmark")).drop("text")
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])

@@ -255,8 +255,8 @@ def test_toxicity_with_one_class_or_none(spark):
 
 def test_fingerprints(spark, texts):
     rows = {r["doc_id"]: r for r in fingerprints.compared(frame(spark, texts)).collect()}
-    cut = re.compile(r"\n+|(?<=[.?])[ ]+(?=[A-DÀ-Äa-d])")
-    units = lambda t: {p for p in cut.split(t) if p}
+    cut, fine = re.compile(r"\n+|(?<=[.?!|])[ ]+(?=[A-DÀ-Äa-d])"), re.compile(r"\n+|(?<=[.?!,|])[ ]+")
+    units = lambda t: {p for p in (fine if len(t) < 600 else cut).split(t) if p}
     ids = sorted(rows, reverse=True)
     by_text = defaultdict(set)
     for k, i in enumerate(ids):
