@@ -36,9 +36,9 @@ from taskmine.sources.stages import staged
 LENGTH, GRAM = 400, 32
 WIDTHS = (128, 16, 1)  # distances from the anchor that share a core, level by level
 MEMBERS = 48
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _SEGMENT = 8 << 20
-_CALL = 1 << 20  # bytes of one call for suffix arrays
+_CALL = 1 << 19  # bytes of one call for suffix arrays
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
