@@ -161,8 +161,11 @@ from log_events group by instance_id, phase""")
 def test_log_store(t):
     logs = t.test_logs.withColumn("repo", F.concat(F.lit("org/"), F.substring_index("instance_id", "-", 1)))
     target = folder(t, "test-logs")
-    landed.write_test_logs(logs.withColumn("run_seq", F.lit(0).cast("bigint")), target)
-    return landed.read_test_logs(t.spark, target).select("repo", "phase", F.md5("log").alias("digest"))
+    run = lambda n, log: logs.withColumn("log", log).withColumn("run_seq", F.lit(n).cast("bigint"))
+    landed.write_test_logs(run(0, F.lit("old")), target)
+    for _ in range(2):  # a repeated write replaces its own run
+        landed.write_test_logs(run(1, F.col("log")), target)
+    return landed.latest_test_logs(landed.read_test_logs(t.spark, target)).select("repo", "phase", F.md5("log").alias("digest"))
 
 
 SELECTED = "select * from (select *, row_number() over (partition by repo order by seq) as n from specs) where n <= 100"

@@ -74,14 +74,16 @@ def test_results(logs: DataFrame, run: list[str]) -> DataFrame:
 def results_of_lines(lines: DataFrame, run: list[str]) -> DataFrame:
     """The same for logs landed line by line (``line_no``, ``line``), for logs too long for a cell.
 
-    The marker position is one number per run; only lines behind it count.
+    The marker position is one number per run; a test counts if its last line is behind
+    it. Lines become tests before the two meet, so a hot run meets it with its tests only.
     """
     clean = lines.select(*run, "line_no", text.without_colours(F.col("line")).alias("line"))
     marked = clean.where(F.col("line").contains(d.SUMMARY_MARKER))
     start = marked.groupBy(*run).agg(F.min("line_no").alias("_start"))
     parsed = parsed_lines(clean.select(*run, "line_no", text.strip(F.col("line")).alias("line")))
-    after = parsed.join(start, run, "left").where(F.col("_start").isNull() | (F.col("line_no") > F.col("_start")))
-    return last_status(after.drop("_start"), run)
+    kept = parsed.groupBy(*run, "test_path").agg(F.max(packed("line_no", "status")).alias("_last"), F.max("line_no").alias("_line"))
+    after = kept.join(start, run, "left").where(F.col("_start").isNull() | (F.col("_line") > F.col("_start")))
+    return after.select(*run, "test_path", unpacked("_last").alias("status"))
 
 
 # Roll-up of parametrised tests: the worst kind decides, and a skip only counts when

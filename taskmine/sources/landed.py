@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taskmine.functions import text
-from taskmine.operators.ranking import keep_one
 from taskmine.sources import schemas
 
 
@@ -124,10 +123,11 @@ def patch_files(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.col("_metadata.file_path").alias("patch_path"), F.col("value").alias("diff"))
 
 
-def final_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Result documents ``{metadata, results: […]}`` as one row per release.
+def final_results(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """Result records as one row per release, as ``write_final_results`` wrote them.
 
-    ``lines`` reads what ``write_final_results`` wrote, which needs no whole document in a task.
+    ``lines=False`` reads whole documents ``{metadata, results: […]}``, each in one task; ``seq``
+    then counts within a document.
     """
     if lines:
         return spark.read.schema(schemas.FINAL_RESULT).json(f"{path}/results")
@@ -153,13 +153,13 @@ def write_final_results(results: DataFrame, totals: DataFrame, path: str) -> Non
 
 
 def write_test_logs(logs: DataFrame, path: str) -> None:
-    """Append test logs; earlier runs stay readable.
+    """Add the test logs of one or more runs; other runs stay, a repeated write replaces its own.
 
     One folder per ``run_seq``, not per repository: a few repositories hold most logs, and
     many hold few. Files are ordered by repository, so a reader of one skips row groups.
     """
     ordered = logs.sortWithinPartitions("run_seq", "repo", "instance_id")
-    ordered.write.mode("append").partitionBy("run_seq").parquet(path)
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_seq").parquet(path)
 
 
 def read_test_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -167,5 +167,7 @@ def read_test_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_test_logs(logs: DataFrame) -> DataFrame:
-    """The newest log of each instance and phase."""
-    return keep_one(logs, ["repo", "instance_id", "phase"], ["run_seq"], "last")
+    """The newest log of each instance and phase; the run is chosen before the logs themselves are read."""
+    keys = ["repo", "instance_id", "phase"]
+    newest = logs.groupBy(*keys).agg(F.max("run_seq").alias("run_seq"))
+    return logs.join(newest, [*keys, "run_seq"], "left_semi")

@@ -81,7 +81,7 @@ class KeyedStore:
         The base is visible only once it is complete, and covers batches up to its
         number; a late replay of such a batch is therefore ignored, not applied twice.
         """
-        _, batches = self._parts()
+        base, batches = self._parts()
         if not batches:
             return
         self.read().write.mode("overwrite").parquet(f"{self.folder}/base={batches[-1]}")
@@ -89,6 +89,8 @@ class KeyedStore:
         fs = path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
         for n in batches:
             fs.delete(path(f"{self.folder}/batch={n}"), True)
+        if base is not None:
+            fs.delete(path(f"{self.folder}/base={base}"), True)
 
     def _parts(self) -> tuple[int | None, list[int]]:
         bases = _committed(self.spark, self.folder, "base")

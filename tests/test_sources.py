@@ -68,7 +68,7 @@ def test_final_document_to_specs(spark, tmp_path):
         {"repository": "o/r", "release": "v2", "enhanced_new_features": [{"pr_analyses": [pr("1", "last")]}]},
         {"repository": "o/r", "release": "v3", "enhanced_new_features": []}]}
     path = write(tmp_path / "final.json", json.dumps(document, indent=2))
-    specs = enrich.build_specs(landed.final_results(spark, path))
+    specs = enrich.build_specs(landed.final_results(spark, path, lines=False))
     rows = specs.orderBy("spec_order").collect()
     assert [(r["instance_id"], r["version"], r["problem_statement"], r["number"], r["org"]) for r in rows] == [
         ("o__r-1", "v2", "last", 1, "o"), ("o__r-2", "v1", "other", 2, "o")]
