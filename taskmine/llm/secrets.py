@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +95,6 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int) -> lis
         k = int(np.searchsorted(cuts, span[0], "right"))
         return max(span[0] - reach, int(cuts[k - 1])), min(span[1] + reach, int(cuts[min(k, len(cuts) - 1)]))
 
-    taken = {(s, e) for s, _, e in base}
     out = set()
     for span in names:
         if by_secret.near(*around(span)):
@@ -104,9 +105,14 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int) -> lis
     for span in endpoints:
         if by_secret.near(*around(span)) and by_name.near(*around(span)):
             out.add((*span, "endpoint"))
-    covered = [(s, e) for s, _, e in base]
-    inside = lambda span: any(s <= span[0] and span[1] <= e for s, e in covered) if len(covered) < 200 else span in taken
-    return sorted(x for x in out if not inside(x[:2]))
+    starts = [s for s, _, _ in base]
+    reached = list(accumulate((e for _, _, e in base), max))
+
+    def inside(span):
+        k = bisect_right(starts, span[0])
+        return k > 0 and reached[k - 1] >= span[1]
+
+    return sorted(x for x in out if not inside(x))
 
 
 SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kind", StringType())])
