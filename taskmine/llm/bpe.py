@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from taskmine.llm.arrays import packed, sized
 
 MAX_RANK_FILE = 64 << 20  # bytes of a rank file that may be sent to every worker
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 
 # code points with the Unicode property White_Space, fixed values
 WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -201,7 +201,7 @@ class _Merges:
         self.ranks, self.known = ranks, {}
 
     def of(self, slices: list[bytes]) -> list[list[int]]:
-        if len(self.known) > 500_000:
+        if len(self.known) > 300_000:
             self.known.clear()
         known, out = self.known, []
         for piece in slices:

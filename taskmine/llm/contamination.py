@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from taskmine.llm.arrays import LOWER, Words, packed, ramp, sized
 
 WINDOW, SHINGLE, BLOCK_BYTES = 10, 3, 8 << 20
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _BITS = 20  # of the first, approximate look at a shingle
 
 
