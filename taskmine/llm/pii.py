@@ -93,14 +93,15 @@ def disclosing_terms(docs: DataFrame, lines: DataFrame, text: str, threshold: fl
     """(term, kind, disclosure) over all documents; every count is an aggregate with partial sums."""
     each = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line"))
     of_term = each.select(F.explode(_words(F.col("line"))).alias("term")).groupBy("term").agg(F.count("*").alias("lines"))
-    total = docs.agg(F.sum(F.size(F.split(F.col(text), "\n"))).alias("all_lines"))
+    all_lines = docs.agg(F.sum(F.size(F.split(F.col(text), "\n")))).scalar()
     of_kind = lines.select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("kind_lines"))
-    masked = F.regexp_replace("line", r"[A-Za-z0-9._%+-]*[@0-9][A-Za-z0-9._%+@-]*", " ")
+    masked = F.regexp_replace("line", r"[\p{L}\p{N}._%+-]*[@0-9][\p{L}\p{N}._%+@-]*", " ")
     joint = (lines.select(F.explode("kinds").alias("kind"), masked.alias("line")).select("kind", F.explode(_words(F.col("line"))).alias("term"))
              .groupBy("term", "kind").agg(F.count("*").alias("both")).where(F.col("both") >= min_lines))
-    rated = joint.join(of_term, "term").join(F.broadcast(of_kind), "kind").join(F.broadcast(total))  # 4 rows and 1 row
-    share = F.col("kind_lines") / F.col("all_lines")
-    disclosure = F.log(F.col("both") / F.col("lines") / share) / -F.log(share)
+    rated = joint.join(of_term, "term").join(F.broadcast(of_kind), "kind")  # 4 rows
+    share = F.col("kind_lines") / all_lines
+    # a kind on every line leaves nothing to disclose
+    disclosure = F.try_divide(F.log(F.col("both") / F.col("lines") / share), -F.log(share))
     return rated.withColumn("disclosure", disclosure).where(F.col("disclosure") >= threshold).select("term", "kind", "disclosure")
 
 

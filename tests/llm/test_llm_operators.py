@@ -366,6 +366,12 @@ def test_disclosing_terms_are_removed_and_clean_texts_stay(spark):
     assert all(clean[i] == out[i] for i in range(40, len(out)))
 
 
+def test_a_kind_on_every_line_discloses_nothing(spark):
+    docs = frame(spark, [f"call me at +1 (555) 123-4{k:03d}" for k in range(12)])
+    assert {s["kind"] for r in pii.spans(docs).collect() for s in r["spans"]} == {"phone"}
+    assert pii.spans(frame(spark, [])).count() == 0
+
+
 # ---------------------------------------------------------------- repeated byte strings
 
 def test_suffix_arrays():
