@@ -4,18 +4,31 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from taskmine.sources.store import work_folder
 
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def staged(frame: DataFrame, name: str) -> DataFrame:
     """Write ``frame`` to the shared folder and read it back.
 
     Later steps start from files: nothing is computed twice, and a lost executor
-    costs a re-read instead of the whole lineage.
+    costs a re-read instead of the whole lineage. Writing is a job that runs now.
+    ``drop_stages`` deletes what is no longer needed.
     """
     spark = frame.sparkSession
     path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the stage tables of this application, once nothing reads them any more; how many there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)

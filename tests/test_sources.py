@@ -198,3 +198,14 @@ def test_streams_equal_their_batch_form(spark, tmp_path):
     first = inc.first_seen(read(), ["k"], "ts", "1 day")
     inc.append_stream(first, str(tmp_path / "out"), str(tmp_path / "ck2")).awaitTermination()
     assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_stage_tables_go_when_they_are_dropped(spark):
+    from taskmine.sources import stages
+
+    stages.drop_stages(spark)
+    table = stages.staged(spark.range(3), "some")
+    assert table.count() == 3 and stages.drop_stages(spark) == 1
+    with pytest.raises(Exception):
+        spark.read.parquet(table.inputFiles()[0]).count()
+    assert stages.drop_stages(spark) == 0
