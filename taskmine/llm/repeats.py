@@ -286,7 +286,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, widths: tuple[int, .
     """(doc_id, first, last): ranges of window starts whose bytes stand elsewhere too. Takes doc_id and text; runs jobs when called."""
     pieces = staged(_all_pieces(docs.where(F.octet_length("text") >= length), widths[0], length), "repeats-pieces")
     often = pieces.groupBy("key").agg(F.count("*").alias("places"), F.min("mark").alias("least"), F.max("mark").alias("most")).where("places > 1")
-    met = staged(pieces.join(often.select("key", (F.col("least") != F.col("most")).alias("mixed")), "key"), "repeats-met")
+    # written, so that the join has a shuffle of its own on both sides and Spark can split a hot key
+    often = staged(often.select("key", (F.col("least") != F.col("most")).alias("mixed")), "repeats-often")
+    met = staged(pieces.join(often, "key"), "repeats-met")
     equal = met.where("not mixed").select("doc_id", "first", (F.col("first") + F.col("width") - 1).alias("last"))
     mixed_ = met.where("mixed")
     different = mixed_.groupBy("key", "mark").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "first", "width", "distance")).alias("p"))
