@@ -1,8 +1,8 @@
 """Document fingerprints that tell how far two versions differ, with built-in functions only.
 
-A text is the set of the digests of its paragraphs: lines, and lines cut where a sentence
-ends and the next one starts with one of a few letters (so that a cut depends on the text
-around it alone). Of a text under 600 characters every clause is a paragraph. The
+A text is the set of the digests of its paragraphs, which are clauses: lines, and lines cut
+at every blank after a stop, comma or bar. The rule is the same at every length and a cut
+depends on the text around it alone. The
 fingerprint is an invertible Bloom lookup sketch of that set: every digest is added to one
 cell in each of three parts, and a cell keeps a count, the exclusive or of its digests and
 that of their check values.
@@ -29,21 +29,23 @@ from taskmine.sources.stages import staged
 PARTS = 3
 FIRST_SIZE = 36  # cells of the fingerprint
 ROUNDS = 12
-_CUT = r"\n+|(?<=[.?!|])[ ]+(?=[A-DÀ-Äa-d])"
+_CUT = r"\n+|(?<=[.?!,|])[ ]+"
 _CELLS = "array<struct<pos:int,n:int,key:bigint,mark:bigint>>"
-_FINE = r"\n+|(?<=[.?!,|])[ ]+"
-_SHORT = 600
 _BUCKET_ROWS = 2_000
 _SEGMENTS = 64
 
 
 def paragraph_digests(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
-    pieces = F.when(F.length(text) < _SHORT, F.split(text, _FINE, -1)).otherwise(F.split(text, _CUT, -1))
-    parts = F.filter(pieces, lambda p: p != "")
+    parts = F.filter(F.split(text, _CUT, -1), lambda p: p != "")
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _entries(keys: Column, count: Column, size: Column, salt: int) -> Column:
     """One entry for each digest and part; ``count``: a function of the digest item."""
     part = F.greatest(F.floor(size / PARTS), F.lit(1)).cast("int")
@@ -69,7 +71,7 @@ def _summed(entries: Column) -> Column:
         joined = F.struct(entry["pos"].alias("pos"), (cell["n"] + entry["n"]).alias("n"), cell["key"].bitwiseXOR(entry["key"]).alias("key"), cell["mark"].bitwiseXOR(entry["mark"]).alias("mark"))
         return F.when(same, F.struct(state["done"].alias("done"), joined.alias("cell"))).otherwise(F.struct(shut(state).alias("done"), entry.alias("cell")))
 
-    return F.aggregate(F.array_sort(entries), start, add, shut)
+    return F.aggregate(F.sort_array(entries), start, add, shut)
 
 
 def sketch(keys: Column, size: Column, salt: int) -> Column:
@@ -82,14 +84,26 @@ def _minus(one: Column, other: Column) -> Column:
     return _summed(F.concat(one, turned))
 
 
+def _difference(one: Column, other: Column, size: Column, salt: int) -> Column:
+    """The sketch of ``one`` less that of ``other``, in one pass."""
+    return _summed(F.concat(_entries(one, lambda key: (key, F.lit(1)), size, salt), _entries(other, lambda key: (key, F.lit(-1)), size, salt)))
+
+
 def _peeled(cells: Column, size: Column, salt: int) -> Column:
     """(cells that are left, recovered: number of differing digests found)."""
+    def keys(pure, n):  # numbers are made distinct by hashing, structs would be pair by pair
+        return F.array_distinct(F.transform(F.filter(pure, lambda c: c["n"] == n), lambda c: c["key"]))
+
+    def less(state, found):
+        known = F.concat(_entries(found["one"], lambda key: (key, F.lit(-1)), size, salt), _entries(found["other"], lambda key: (key, F.lit(1)), size, salt))
+        number = F.size(found["one"]) + F.size(found["other"])
+        return F.when(number == 0, state).otherwise(
+            F.struct(_summed(F.concat(state["cells"], known)).alias("cells"), (state["recovered"] + number).alias("recovered")))
+
     def step(state, _):
         pure = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["mark"] == F.xxhash64(c["key"], F.lit(-1))))
-        keys = F.array_distinct(F.transform(pure, lambda c: F.struct(c["key"].alias("key"), (-c["n"]).alias("n"))))
-        less = _summed(F.concat(state["cells"], _entries(keys, lambda k: (k["key"], k["n"]), size, salt)))
-        return F.when(F.size(state["cells"]) == 0, state).when(F.size(pure) == 0, state).otherwise(
-            F.struct(less.alias("cells"), (state["recovered"] + F.size(keys)).alias("recovered")))
+        found = _with(pure, lambda p: F.struct(keys(p, 1).alias("one"), keys(p, -1).alias("other")))
+        return F.when(F.size(state["cells"]) == 0, state).otherwise(_with(found, lambda f: less(state, f)))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(cells.alias("cells"), F.lit(0).alias("recovered")), step)
 
@@ -104,7 +118,7 @@ def with_likeness(pairs: DataFrame, one: str, other: str, one_cells: str, other_
     sizes = [(F.lit(FIRST_SIZE), 11), (total * 8, 23), (total * 16, 37)]
     out = pairs.withColumn("_peeled", _peeled(_minus(F.col(one_cells), F.col(other_cells)), *sizes[0]))
     for size, salt in sizes[1:]:
-        again = _peeled(_minus(sketch(F.col(one), size, salt), sketch(F.col(other), size, salt)), size, salt)
+        again = _peeled(_difference(F.col(one), F.col(other), size, salt), size, salt)
         out = out.withColumn("_peeled", F.when(F.size("_peeled.cells") == 0, F.col("_peeled")).otherwise(again))
     rest = F.ceil(F.aggregate("_peeled.cells", F.lit(0), lambda t, c: t + F.greatest(F.abs(c["n"]), F.lit(1))) / PARTS)
     differing = F.col("_peeled.recovered") + rest

@@ -286,6 +286,19 @@ def test_fingerprints_of_large_differences(spark):
     assert got == pytest.approx([1 - 20 / 800, 0, 0, 1, 1])
 
 
+def test_fingerprints_across_lengths(spark):
+    """Versions of nearly the same text are alike whatever their lengths (a border at 600 characters made them unlike)."""
+    rng = random.Random(12)
+    clauses = [" ".join("".join(rng.choice("efghinorstu") for _ in range(rng.randint(2, 9))) for _ in range(6)) + rng.choice(".,") for _ in range(40)]
+    text = " ".join(clauses)
+    pairs = [(text[:size], text[:599]) for size in (600, 610, 639)] + [(text[:599], text[:1100])]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    for side in "ab":
+        rows = rows.withColumn(f"{side}d", fingerprints.paragraph_digests(F.col(side))).withColumn(f"{side}c", fingerprints.sketch(F.col(f"{side}d"), F.lit(fingerprints.FIRST_SIZE), 11))
+    got = [r["near"] for r in fingerprints.with_likeness(rows, "ad", "bd", "ac", "bc", "near").orderBy("i").collect()]
+    assert min(got[:3]) > 0.8 and got[3] > 0.5
+
+
 def test_next_documents_over_many_ranges(spark):
     docs = spark.createDataFrame([(i * i, f"t{i}") for i in range(57)], "doc_id long, text string")
     got = {r["doc_id"]: r["next_text"] for r in fingerprints.followed(docs, "doc_id", ["text"], bucket_rows=5).collect()}
