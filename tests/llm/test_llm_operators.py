@@ -299,6 +299,17 @@ def test_fingerprints_across_lengths(spark):
     assert min(got[:3]) > 0.8 and got[3] > 0.5
 
 
+def test_fingerprints_in_every_script(column):
+    """Versions with an unchanged first half share it in every script, digits and texts with few marks too."""
+    rng = random.Random(13)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    made = {"кириллица": ". ", "ελληνικά": ". ", "0123456789": "; ", "漢字文章検索": "。", "देवनागरी": "। ", "efghinorst": " " + "unpunctuated" + " "}
+    for letters, end in made.items():
+        first, one, other = ([" ".join(pick(letters, 5) for _ in range(6)) for _ in range(20)] for _ in range(3))
+        a, b = column(fingerprints.paragraph_digests, [end.join(first + one), end.join(first + other)])
+        assert 1 - len(set(a) ^ set(b)) / (len(a) + len(b)) > 0.4, letters
+
+
 def test_next_documents_over_many_ranges(spark):
     docs = spark.createDataFrame([(i * i, f"t{i}") for i in range(57)], "doc_id long, text string")
     got = {r["doc_id"]: r["next_text"] for r in fingerprints.followed(docs, "doc_id", ["text"], bucket_rows=5).collect()}
