@@ -2,8 +2,9 @@
 
 Hundreds of signatures (families, their versions, the ways to write both) are patterns
 with a label, a priority and a keyword. A text without any keyword is done after one
-scan. Of other texts only the lines with a keyword are looked at, and on a line only the
-rules whose keyword it holds. Of overlapping detections the one of higher priority stands;
+scan. Of other texts the rules whose keyword they hold are matched on the whole text: between
+the words of a name or notice stands whatever is no letter or digit, so line ends and comment
+marks do not part them (but a version never follows the end of a sentence). Of overlapping detections the one of higher priority stands;
 at equal priority one that lies inside another goes.
 
 Besides, base phrases are found as consecutive words, whatever stands between the words
@@ -15,6 +16,8 @@ treated alike. Other columns pass through, except those the operator writes.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from taskmine.llm.native import matches
@@ -26,6 +29,7 @@ PHRASE_GATES = ["license", "license", "nc"]
 _IN = r"0-9A-Za-z\x80-\x{10FFFF}"
 _WORD = rf"[{_IN}]+"
 _GAP = rf"[^{_IN}]+"
+_BETWEEN = r"[^0-9A-Za-z\p{L}]"  # between the words of a rule
 
 # fixed values: label stem, written names (patterns), versions, keyword, priority
 FAMILIES = [
@@ -62,7 +66,7 @@ SINGLE = [
     ("bsd-3-clause", r"\b(?:3|three|new|modified)[ -]?(?:clause )?bsd\b", "bsd", 60), ("bsd-3-clause", r"\bbsd[ -](?:3|three|new|modified)(?:[ -]clause)?\b", "bsd", 60),
     ("bsd-4-clause", r"\b(?:4|four|original)[ -]?(?:clause )?bsd\b", "bsd", 60), ("bsd-4-clause", r"\bbsd[ -](?:4|four|original)(?:[ -]clause)?\b", "bsd", 60),
     ("bsd", r"\bbsd licen[cs]e\b", "bsd", 40), ("bsd", r"redistribution and use in source and binary forms", "redistribution", 40),
-    ("bsd-3-clause", r"neither the name of .{1,80} nor the names of its contributors", "neither the name", 50),
+    ("bsd-3-clause", r"neither the name of (?s:.{1,80}) nor the names of its contributors", "neither the name", 50),
     ("isc", r"\bisc licen[cs]e\b", "isc", 50), ("isc", r"permission to use, copy, modify, and(?:/or)? distribute this software", "permission to use", 50),
     ("zlib", r"\bzlib(?:/libpng)? licen[cs]e\b", "zlib", 50), ("unlicense", r"\bthe unlicense\b|\bunlicense\.org\b", "unlicense", 50),
     ("unlicense", r"free and unencumbered software released into the public domain", "unencumbered", 60),
@@ -74,18 +78,26 @@ SINGLE = [
 ]
 
 
+def _spread(pattern: str) -> str:
+    """The pattern with any gap between words in place of single spaces."""
+    for written, times in (("[ -]?", "*"), ("[ -]", "+"), (" ?", "*"), (" ", "+")):
+        pattern = pattern.replace(written, _BETWEEN + times)
+    return pattern
+
+
 def rules() -> list[tuple[str, int, str, str]]:
     """(label, priority, keyword, pattern), the highest priority first; patterns are for lower-case text."""
-    out = [(label, priority, keyword, pattern) for label, pattern, keyword, priority in SINGLE]
+    out = [(label, priority, keyword, pattern if label == "spdx" else _spread(pattern)) for label, pattern, keyword, priority in SINGLE]
     for stem, names, versions, gate, priority in FAMILIES:
         for keyword in gate.split("|"):
             mine = [n for n in names if keyword in n.replace("[cs]", "c").replace("[ -]", " ").replace("(?:software )?", "")] or names
             for name in mine:
-                out.append((stem, priority, keyword, rf"(?<![\w-]){name}(?![\w])"))
+                out.append((stem, priority, keyword, rf"(?<![\w-]){_spread(name)}(?![\w])"))
                 for version in versions:
                     number = version.removesuffix(".0").replace(".", r"\.") + (r"(?:\.0)?" if version.endswith(".0") else "")
-                    between = r",?[ -]*(?:licen[cs]e,? ?)?(?:version ?|ver\.? ?|v\.? ?)?"
-                    out.append((f"{stem}-{version.removesuffix('.0')}", priority + 5, keyword, rf"(?<![\w-]){name}{between}{number}(?![\w]|\.\d)"))
+                    gap = _BETWEEN.replace("]", ".!?;]") + "*"
+                    between = rf"{gap}(?:licen[cs]e{gap})?(?:version{gap}|ver\.?{gap}|v\.?{gap})?"
+                    out.append((f"{stem}-{version.removesuffix('.0')}", priority + 5, keyword, rf"(?<![\w-]){_spread(name)}{between}{number}(?![\w]|\.\d)"))
     return sorted(set(out), key=lambda r: (-r[1], r))
 
 
@@ -109,28 +121,39 @@ def phrase_places(text: Column) -> Column:
 
 
 _KEYWORDS = sorted({rule[2] for rule in rules()})
-_GATE = "(?i)(?<![0-9A-Za-z])(?:" + "|".join(k.replace("(", r"\(").replace(")", r"\)").replace(".", r"\.") for k in _KEYWORDS if k[0].isalnum()) + r")|\(c\)|©"
+_GATE = "(?i)(?<![0-9A-Za-z])(?:" + "|".join(k.replace(".", r"\.").replace(" ", _BETWEEN + "+") for k in _KEYWORDS if k[0].isalnum()) + r")|\(c\)|©"
 _DETECTIONS = "array<struct<start:int,end:int,label:string,priority:int>>"
 
 
 def _rule_array() -> Column:
-    return F.array(*[F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(keyword).alias("keyword"), F.lit(pattern).alias("pattern"))
+    return F.array(*[F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(re.sub(r"[^0-9a-z]+", " ", keyword).strip()).alias("keyword"), F.lit(pattern).alias("pattern"))
                      for label, priority, keyword, pattern in rules()])
 
 
 def rule_detections(text: Column, table: Column) -> Column:
-    """(line, start, end, label, priority): what the rules find, by line, after suppression; columns of the lower-cased line."""
-    gate = F.lit(_GATE)
-    lines = F.transform(F.split(text, "\n"), lambda line, at: F.struct(at.alias("at"), line.alias("line")))
-    few = F.transform(F.filter(lines, lambda x: F.rlike(x["line"], gate)), lambda x: F.struct(x["at"].alias("at"), F.lower(x["line"]).alias("line")))
+    """(start, end, label, priority): what the rules find in the whole text, after suppression; code points."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")  # of one length with the text
+
+    def found_in(x):
+        hits = F.filter(table, lambda rule: F.contains(x["flat"], rule["keyword"]) & F.rlike(x["low"], rule["pattern"]))
+        return F.flatten(F.transform(hits, lambda rule: F.transform(matches(x["low"], rule["pattern"]), lambda m: F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), rule["label"].alias("label"), rule["priority"].alias("priority")))))
+
+    views = F.transform(F.array(low), lambda t: F.struct(t.alias("low"), F.regexp_replace(t, _BETWEEN + "+", " ").alias("flat")))
+    groups = F.flatten(F.transform(views, lambda x: _groups(F.array_distinct(found_in(x)))))
+    return F.flatten(F.transform(groups, _suppressed))
+
+
+def _groups(found: Column) -> Column:
+    """Arrays of detections that overlap, directly or by others; only these can suppress each other."""
+    start = F.struct(F.array().cast(f"array<{_DETECTIONS}>").alias("done"), F.array().cast(_DETECTIONS).alias("group"), F.lit(0).alias("reach"))
 
-    def on_line(x):
-        hits = F.filter(table, lambda rule: F.contains(x["line"], rule["keyword"]) & F.rlike(x["line"], rule["pattern"]))
-        found = F.flatten(F.transform(hits, lambda rule: F.transform(matches(x["line"], rule["pattern"]), lambda m: F.struct(
-            x["at"].alias("line"), m["start"].alias("start"), m["end"].alias("end"), rule["label"].alias("label"), rule["priority"].alias("priority")))))
-        return _suppressed(F.array_distinct(found))
+    def add(state, one):
+        joined = F.struct(state["done"].alias("done"), F.concat(state["group"], F.array(one)).alias("group"), F.greatest(state["reach"], one["end"]).alias("reach"))
+        opened = F.struct(F.concat(state["done"], F.array(state["group"])).alias("done"), F.array(one).alias("group"), one["end"].alias("reach"))
+        return F.when(one["start"] < state["reach"], joined).otherwise(opened)
 
-    return F.flatten(F.transform(few, on_line))
+    return F.aggregate(F.sort_array(found), start, add, lambda state: F.concat(state["done"], F.array(state["group"])))
 
 
 def _suppressed(found: Column) -> Column:
@@ -152,9 +175,8 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     staged = docs.withColumn("_gated", F.rlike(whole, F.lit(_GATE))).withColumn("n_words", count_words(whole).cast("long"))
-    none = "array<struct<line:int,start:int,end:int,label:string,priority:int>>"
     staged = staged.withColumn("places", F.when(F.col("_gated"), phrase_places(whole)).otherwise(F.array().cast("array<struct<start:int,end:int,label:string>>")))
-    staged = staged.withColumn("detections", F.when(F.col("_gated"), rule_detections(whole, _rule_array())).otherwise(F.array().cast(none)))
+    staged = staged.withColumn("detections", F.when(F.col("_gated"), rule_detections(whole, _rule_array())).otherwise(F.array().cast(_DETECTIONS)))
     first, last = F.col("places")[0]["start"], F.element_at("places", -1)["start"]
     some = F.size("places") > 0
     staged = staged.withColumn("first_word", F.when(some, count_words(F.substr(whole, F.lit(1), first)).cast("long")))

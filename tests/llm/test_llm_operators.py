@@ -357,6 +357,16 @@ def test_licences(spark, texts):
     assert len(licenses.rules()) >= 200
 
 
+def test_licences_across_lines(spark):
+    texts = [" * under the terms of the GNU General Public\n * License as published", "Permission is hereby granted, free of\ncharge, to any person",
+             "Redistribution and use in source and binary\n# forms", "GNU Lesser General\r\n// Public License,\n// version 2.1", "It is not under the gpl.\n2 files", "all rights\nreserved",
+             "mit license " * 300]
+    rows = {r["doc_id"]: r["detections"] for r in licenses.scanned(frame(spark, texts)).collect()}
+    labels = [{d["label"] for d in rows[i]} for i in range(len(texts))]
+    assert labels == [{"gpl"}, {"mit"}, {"bsd"}, {"lgpl-2.1"}, {"gpl"}, {"proprietary"}, {"mit"}]
+    assert texts[0][rows[0][0]["start"]:rows[0][0]["end"]] == "GNU General Public\n * License" and len(rows[6]) == 300
+
+
 def luhn(digits):
     return sum((int(c) * 2 - 9 * (int(c) > 4)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
 
