@@ -6,9 +6,9 @@ number of tags seen for it and the characters inside links. The ratio of a line
 text outside links over its tags. Ratios are smoothed by a Gaussian over neighbouring
 lines; lines at or above the threshold (a share of the mean smoothed ratio, the mean
 weighted by text) form clusters, which pick the content regions: the articles that hold a
-cluster, or where the page marks none, the stretch from the first to the last clustered
-line of the element with most clustered text. Inside a region every line counts, however
-short, except those of menus, headers, footers, sidebars, notices, adverts, forms,
+cluster (all articles if none does), or where the page marks none, the stretch from the first
+to the last clustered line, over all elements. Clustered lines that are mostly links begin and
+end no stretch, and none are kept in it. Inside a region every other line counts, however short, except those of menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments, by element or by class, id and role words.
 
 Character references are decoded, white space inside a line is one space, lines are joined
@@ -200,13 +200,12 @@ def main_text(page: str | None, sigma: float = SIGMA, share: float = SHARE) -> s
         held = np.unique(article[chosen & (article >= 0)])
         keep = np.isin(article, held if len(held) else np.unique(article[article >= 0])) & (article >= 0)
     else:
-        element = np.array([line[4] for line in lines])
-        text = np.bincount(element[chosen] + 1, (size - linked)[chosen])
-        best = int(text.argmax()) - 1
-        own = np.flatnonzero(chosen & (element == best))
-        keep = np.zeros(len(lines), bool)
-        keep[own[0]:own[-1] + 1] = True
-        keep &= (element == best) | chosen
+        running = 2 * linked < size  # not mostly links, as menus are
+        core = np.flatnonzero(chosen & running)
+        if not len(core):
+            core = np.flatnonzero(chosen)
+        at = np.arange(len(lines))
+        keep = (at >= core[0]) & (at <= core[-1]) & (running | np.isin(at, core))
     return "\n\n".join(line[0] for line, wanted in zip(lines, keep) if wanted)
 
 

@@ -223,6 +223,16 @@ def test_page_without_article_takes_the_densest_stretch():
     assert html_text.main_text(page) == f"{long.strip()}\n\nShort.\n\n{long.strip()}"
 
 
+def test_page_without_article_keeps_all_sections():
+    long = "A long paragraph of running text that holds many words and hardly any tags, as articles do. " * 3
+    menu = f"<ul>{'<li><a href=q>menu</a></li>' * 20}</ul>"
+    for tag in ("div", "section"):
+        parts = "".join(f"<{tag}><h2>Part {k}</h2><p>{k} {long}</p><p>Short.</p></{tag}>{menu if k == 1 else ''}" for k in range(4))
+        text = html_text.main_text(f"<body>{menu}<div>{parts}</div>{menu}</body>")
+        assert [line for line in text.split("\n\n") if len(line) > 99] == [f"{k} {long}".strip() for k in range(4)]
+        assert all(f"Part {k}" in text for k in range(1, 4)) and text.count("Short.") >= 3 and "menu" not in text
+
+
 # ---------------------------------------------------------------- toxicity
 
 def test_toxicity_learns_from_text_alone(spark):
