@@ -30,7 +30,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * U(_ODD))[LOWER]
+_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * U(_ODD))
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[9:14] = IS_SPACE[32] = True
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,10 +69,12 @@ def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of packed texts: start and end byte, the text they are in, hash; first[t]:first[t + 1] are those of text t."""
 
+    inside, value = IS_WORD, _VALUE[LOWER]
+
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets = data, offsets
         n, count = len(data), len(offsets) - 1
-        inside = IS_WORD[data]
+        inside = self.inside[data]
         starts = inside.copy()
         starts[1:] &= ~inside[:-1]
         ends = inside.copy()
@@ -85,7 +89,7 @@ class Words:
         self.text = np.repeat(np.arange(count), np.diff(self.first))
         up, down = powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUE[data] * up[:n], out=sums[1:])
+        np.cumsum(self.value[data] * up[:n], out=sums[1:])
         self.hash = mixed((sums[self.end] - sums[self.start]) * down[self.start])
 
     def runs(self, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +104,26 @@ class Words:
         return at, mixed(total[at])
 
 
+class SpacedWords(Words):
+    """Words as they stand between ASCII blanks (space, tab to carriage return)."""
+
+    inside, value = ~IS_SPACE, _VALUE
+
+    def joined(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The kept words of each text joined by one space, as packed texts."""
+        step = np.zeros(len(self.data) + 1, np.int8)
+        step[self.start[kept]] += 1
+        step[self.end[kept]] -= 1
+        stays = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+        out = self.data.copy()
+        word = np.flatnonzero(kept)
+        gap = self.end[word[:-1][self.text[word[:-1]] == self.text[word[1:]]]]
+        stays[gap] = True
+        out[gap] = 32
+        before = np.concatenate([[0], np.cumsum(stays)])
+        return out[stays], before[self.offsets]
+
+
 def ramp(lengths: np.ndarray) -> np.ndarray:
     """0, 1, … inside each of the groups with these lengths."""
     ends = np.cumsum(lengths)

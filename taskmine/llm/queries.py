@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import taskmine
-from taskmine.llm import bpe, contamination, fingerprints, html_text, licenses, near, pii, repeats, secrets, toxicity
+from taskmine.llm import bpe, contamination, fingerprints, html_text, licenses, near, pii, prefixes, repeats, runs, secrets, toxicity
 from taskmine.llm.native import described
+from taskmine.sources.stages import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +131,47 @@ def op10(table) -> DataFrame:
     found = repeats.without_repeats(table("documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), _sha("kept").alias("kept_sha256"))
+
+
+_CRC = """list_reduce(flatten([[4294967295], flatten(list_transform(range(1, length(cast(conv_id as varchar)) + 1),
+  lambda i: [-cast(ascii(cast(conv_id as varchar)[i]) as bigint), 0, 0, 0, 0, 0, 0, 0, 0]))]),
+  lambda s, x: case when x < 0 then xor(s, -x) when s % 2 = 1 then xor(s >> 1, 3988292384) else s >> 1 end)"""
+OP11 = f"""
+with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as pos, role, text
+  from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)),
+c as (select conv_id, conv_id - conv_id % 20 as base, xor({_CRC}, 4294967295) % 4 as h from (select distinct conv_id from t)),
+n as (select conv_id, count(*) as n from t group by conv_id),
+r as (select c.conv_id, t.pos + 1 as d, role, text from c join t on t.conv_id = base where t.pos < h
+  union all select c.conv_id, t.pos - h + least(h, coalesce(n, 0)) + 1, role, text from c join t using (conv_id) left join n on n.conv_id = base where t.pos >= h),
+p as (select conv_id, d, list(struct_pack(role, text)) over (partition by conv_id order by d) as k,
+    len(regexp_extract_all(text, '[^ \x09-\x0D]+')) as w from r
+  union all select conv_id, 0, [], 0 from c),
+node as (select d, k, min(conv_id) as id, count(*) as n, max(w) as w from p group by d, k),
+stand as (select p.conv_id, d, node.id from p join node using (d, k)),
+last as (select conv_id, max(d) as d from p group by conv_id),
+ends as (select d, id, sha256(string_agg(cast(conv_id as varchar), ',' order by conv_id)) as e from last join stand using (conv_id, d) group by d, id),
+above as (select node.d, node.id, stand.id as parent from node join stand on stand.conv_id = node.id and stand.d = node.d - 1),
+children as (select d - 1 as d, parent as id, count(*) as n_children from above group by all),
+sums as (select stand.d, stand.id, cast(sum((n - 1) * w) as bigint) as saved, count(*) filter (n_children is null) as leaves
+  from node left join children using (d, id) join stand on stand.conv_id = node.id and stand.d <= node.d group by all)
+select id as conv_id, cast(d as bigint) as depth, parent as parent_conv_id, n as n_convs, coalesce(n_children, 0) as n_children, leaves as n_leaves,
+  saved as saved_tokens, coalesce(e, sha256('')) as ends_sha256
+from node join sums using (d, id) left join above using (d, id) left join children using (d, id) left join ends using (d, id)"""
+
+
+@query("op11_prefix_trie", OP11)
+def op11(table) -> DataFrame:
+    turns = staged(prefixes.numbered(table("conversations")), "conversation-turns")
+    convs = turns.select("conv_id").distinct()
+    return prefixes.trie(prefixes.with_shared_start(turns, convs), convs)
+
+
+@query("op12_periodic_runs")
+def op12(table) -> DataFrame:
+    found = runs.collapsed(runs.with_repeated_end(table("documents").select("doc_id", "text")))
+    one = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    every = F.concat_ws("", F.transform("runs", lambda r: F.concat(one(r), F.lit("\n"))))
+    milli = F.expr("1000 * best.length div best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"),
+        _sha(every).alias("runs_sha256"), _sha("collapsed").alias("collapsed_sha256"))
