@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import taskmine
-from taskmine.llm import bpe, contamination, fingerprints, html_text, licenses, near, pii, prefixes, repeats, runs, secrets, toxicity
+from taskmine.llm import bpe, contamination, fingerprints, html_text, licenses, near, pii, prefixes, repeats, runs, secrets, substrings, toxicity
 from taskmine.llm.native import described
 from taskmine.sources.stages import staged
 
@@ -133,13 +133,18 @@ def op10(table) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), _sha("kept").alias("kept_sha256"))
 
 
-_CRC = """list_reduce(flatten([[4294967295], flatten(list_transform(range(1, length(cast(conv_id as varchar)) + 1),
-  lambda i: [-cast(ascii(cast(conv_id as varchar)[i]) as bigint), 0, 0, 0, 0, 0, 0, 0, 0]))]),
-  lambda s, x: case when x < 0 then xor(s, -x) when s % 2 = 1 then xor(s >> 1, 3988292384) else s >> 1 end)"""
+def _crc_sql(column: str) -> str:
+    """CRC-32 of a number's digits, bit by bit."""
+    digits = f"cast({column} as varchar)"
+    steps = f"flatten(list_transform(range(1, length({digits}) + 1), lambda i: [-cast(ascii({digits}[i]) as bigint), 0, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295], {steps}),
+  lambda s, x: case when x < 0 then xor(s, -x) when s % 2 = 1 then xor(s >> 1, 3988292384) else s >> 1 end))"""
+
+
 OP11 = f"""
 with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as pos, role, text
   from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)),
-c as (select conv_id, conv_id - conv_id % 20 as base, xor({_CRC}, 4294967295) % 4 as h from (select distinct conv_id from t)),
+c as (select conv_id, conv_id - conv_id % 20 as base, {_crc_sql('conv_id')} % 4 as h from (select distinct conv_id from t)),
 n as (select conv_id, count(*) as n from t group by conv_id),
 r as (select c.conv_id, t.pos + 1 as d, role, text from c join t on t.conv_id = base where t.pos < h
   union all select c.conv_id, t.pos - h + least(h, coalesce(n, 0)) + 1, role, text from c join t using (conv_id) left join n on n.conv_id = base where t.pos >= h),
@@ -166,7 +171,28 @@ def op11(table) -> DataFrame:
     return prefixes.trie(prefixes.with_shared_start(turns, convs), convs)
 
 
-@query("op12_periodic_runs")
+OP12 = f"""
+with o as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') as w, {_crc_sql('doc_id')} as h from documents),
+e as (select *, len(w) as n, h // 10 as g, h % 10 = 0 and len(w) > 0 as edited from o),
+f as (select *, case when edited then g % n end as a from e),
+d as (select doc_id, n, case when edited then
+    list_concat(w[1:a], list_transform(range(0, n - a), lambda i: w[a + 1 + i % (1 + (n - a) // (3 + g % 8))])) else w end as w from f),
+grams as (select doc_id, k, case when k > 1 then w[k - 1] end as before, array_to_string(w[k:k + 15], ' ') as gram
+  from d, unnest(range(1, n - 14)) t(k) where n >= 24),
+pairs as (select x.doc_id, x.k, y.k - x.k as q from grams x join grams y on x.doc_id = y.doc_id and x.gram = y.gram and x.k < y.k
+  where x.before is distinct from y.before),
+shared as (select doc_id, k, q, coalesce(list_position(list_transform(range(k, n - q + 1), lambda i: w[i] = w[i + q]), false) - 1, n - q - k + 1) as s
+  from pairs join d using (doc_id) where 3 * q <= n),
+runs as (select doc_id, k - 1 as start, s + q as length, min(q) as period from shared where s >= 2 * q and s + q >= 24 group by all),
+gone as (select doc_id, list(distinct x) as gone from runs, unnest(range(start + period + 1, start + length + 1)) u(x) group by doc_id),
+each as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from runs group by doc_id),
+best as (select * from runs qualify row_number() over (partition by doc_id order by length / period desc, start, period) = 1)
+select doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * length // period as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256,
+  sha256(array_to_string(case when gone is null then w else list_filter(w, lambda x, i: not list_contains(gone, i)) end, ' ')) as collapsed_sha256
+from d left join each using (doc_id) left join best using (doc_id) left join gone using (doc_id)"""
+
+
+@query("op12_periodic_runs", OP12)
 def op12(table) -> DataFrame:
     found = runs.collapsed(runs.with_repeated_end(table("documents").select("doc_id", "text")))
     one = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
@@ -175,3 +201,28 @@ def op12(table) -> DataFrame:
     return found.select(
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"),
         _sha(every).alias("runs_sha256"), _sha("collapsed").alias("collapsed_sha256"))
+
+
+OP13 = """
+with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') as w from documents),
+windows(g, doc_id, k, h, first_id) as (
+  select * from (select 50 as g, doc_id, k, h, min(doc_id) over (partition by h) as first_id
+    from (select doc_id, k, sha256(array_to_string(w[k:k + 49], ' ')) as h from d, unnest(range(1, len(w) - 48)) t(k)))
+  qualify first_id < max(doc_id) over (partition by h)
+  union all
+  select g, doc_id, k, h, first_id from (select *, min(doc_id) over (partition by h) as first_id
+    from (select 2 * a.g as g, a.doc_id, a.k, sha256(a.h || b.h) as h from windows a join windows b on b.doc_id = a.doc_id and b.k = a.k + a.g))
+  qualify first_id < max(doc_id) over (partition by h)),
+gone as (select doc_id, list(distinct x) as gone from windows, unnest(range(k, k + 50)) u(x) where g = 50 and first_id < doc_id group by doc_id),
+twice as (select doc_id, max(g) as longest from windows where first_id < doc_id group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(gone), 0) as bigint) as n_removed,
+  sha256(array_to_string(case when gone is null then w else list_filter(w, lambda x, i: not list_contains(gone, i)) end, ' ')) as kept_sha256,
+  cast(longest as bigint) as longest
+from d left join gone using (doc_id) left join twice using (doc_id)"""
+
+
+@query("op13_substrings", OP13)
+def op13(table) -> DataFrame:
+    found = substrings.without_repeated_windows(table("documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), _sha("kept").alias("kept_sha256"), "longest")
