@@ -261,11 +261,12 @@ def with_repeated_end(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     h = F.crc32(F.col(doc_id).cast("string"))
     chosen = h % 10 == 0
     words = F.when(chosen, F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    read = docs.withColumns({"_words": words, "_g": F.floor(h / 10)}).withColumn("_n", F.size("_words"))
-    n, g = F.col("_n"), F.col("_g")
-    read = read.withColumn("_a", F.when(n > 0, g % n).cast("int"))
-    a = F.col("_a")
+    read = docs.select(F.struct(*docs.columns).alias("row"), words.alias("words"), F.floor(h / 10).alias("g")).withColumn("n", F.size("words"))
+    n, g = F.col("n"), F.col("g")
+    read = read.withColumn("a", F.when(n > 0, g % n).cast("int"))
+    a = F.col("a")
     p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    again = F.slice(F.flatten(F.array_repeat(F.slice("_words", a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
-    edited = F.concat_ws(" ", F.slice("_words", F.lit(1), a), again)
-    return read.withColumn(text, F.when(n > 0, edited).otherwise(F.col(text))).drop("_words", "_g", "_n", "_a")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    edited = F.concat_ws(" ", F.slice("words", F.lit(1), a), again)
+    value = F.when(n > 0, edited).otherwise(F.col("row")[text])
+    return read.select(*[(value if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
