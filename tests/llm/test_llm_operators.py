@@ -391,7 +391,9 @@ def test_personal_data(spark, texts):
     rng = random.Random(8)
     planted = ["a@b.c@d.e f@g", "a@b.cX_y@d.e", "1.2.3.4.5.6.7.8 999.1.1.1 0001.02.003.255", "4111 1111 1111 1111, 4111-1111-1111-1112 " + "4" * 30, "+1 (555) 123-4567 +12 +1 (555) 12",
                "日本 x.y@z.example.com 日本", "@" * 50, "1" * 20000, "a" * 20000 + "@x.y", "+1" * 3000]
-    planted += ["".join(rng.choice("a1@. +-()4\n") for _ in range(120)) for _ in range(150)]
+    planted += ["10.0.0.1 0.0.0.0 192.168.0.10 010.020.1.2 8.8.8.8 00.1.1.1 1.2.3.000 256.0.0.1 1.0256.1.1"]
+    planted += ["".join(rng.choice("a01@. +-()4\n") for _ in range(120)) for _ in range(150)]
+    planted += ["".join(rng.choice("0125..") for _ in range(60)) for _ in range(150)]
     rows = {r["doc_id"]: r for r in pii.spans(frame(spark, texts + planted)).collect()}
     for i, text in enumerate(texts + planted):
         want = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(PII) for m in re.finditer(p, text or "") if ok(m[0]))

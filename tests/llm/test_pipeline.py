@@ -38,7 +38,7 @@ def folder(spark, tmp_path_factory):
     for i in clean[20:26]:
         texts[i] += ". " + items[i % 4]
     for i in clean[30:40]:
-        texts[i] += f" write to person{i}@example.org or +1 (555) 123-4567"
+        texts[i] += f" write to person{i}@example.org or +1 (555) 123-4567 from 10.0.0.{i}"
     texts += [None, "", "?!", "x"]
     rows = [(i, t, "en", None, len(t) if t is not None else None) for i, t in enumerate(texts)]
     path = str(tmp_path_factory.mktemp("tables"))
