@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import query
@@ -9,7 +11,8 @@ from taskmine import defaults as d
 from taskmine.functions import text
 from taskmine.operators import changes as ch, pull_requests as pr, repos as rep, specs as sp
 from taskmine.plans import collect, enrich
-from taskmine.sources import landed
+from taskmine.sources import json_arrays, landed, schemas
+from taskmine.sources.folders import work_folder
 from taskmine.sources.stages import staged
 
 # the change rows of a generated answer, from the order key it was built of
@@ -314,3 +317,12 @@ def spec_patch_split(t):
     names = lambda column: F.array_join(F.transform(column, lambda one: one["filename"]), ", ")
     split = gathered.join(pr.file_lists(t.pr_files), ["repo", "pr_number"])
     return split.select("repo", "pr_number", names(source).alias("patch"), names(tests).alias("test_patch"))
+
+
+@query("specs_json_array", f"select seq, {SPEC_COLUMNS} from ({SPEC_ROWS}) s join ({PATCHES}) p on p.repo = s.repo and p.pr_number = s.pr_number")
+def specs_json_array(t):
+    """The specs of ``specs_build``, written as JSON arrays and read back in parallel."""
+    target = f"{work_folder(t.spark)}/specs-{uuid.uuid4().hex}"
+    json_arrays.write(sp.build_specs(results(t)), target)
+    place = "spec_order struct<seq:bigint,feature_pos:int,pr_pos:int>"
+    return flat(json_arrays.read(t.spark, target, f"{schemas.TASK_SPEC}, {place}"), F.col("spec_order.seq").alias("seq"))

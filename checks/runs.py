@@ -293,29 +293,52 @@ def cache_hits(t):
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def event_stream(t):
-    reader = t.spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet")
-    return reader.parquet(t.folder)
+def land_events(t, target: str, parts: list[int]) -> None:
+    """Append some quarters of the events to a folder, one after the other, in the order given."""
+    events = t.spark.read.parquet(f"{t.folder}/events.parquet").select(*[part.split(" ")[0] for part in EVENTS.split(", ")])
+    for part in parts:
+        events.where(F.col("user_id") * 7 % 4 == part if part % 2 else F.col("event_id") % 2 == part // 2).write.mode("append").parquet(target)
+
+
+def event_stream(t, source: str):
+    return t.spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+def forget_last_commit(t, checkpoint: str) -> None:
+    """What a failure between a batch's write and its commit leaves: the batch runs again."""
+    path = t.spark._jvm.org.apache.hadoop.fs.Path
+    commits = path(f"{checkpoint}/commits")
+    fs = commits.getFileSystem(t.spark._jsc.hadoopConfiguration())
+    numbers = [int(name) for name in (status.getPath().getName() for status in fs.listStatus(commits)) if name.isdigit()]
+    fs.delete(path(f"{checkpoint}/commits/{max(numbers)}"), False)
+
+
+def streamed(t, store: KeyedStore, start, name: str):
+    """Run a stream over events that come in several files, overlapping and out of order, with a batch repeated in the middle."""
+    source, checkpoint = folder(t, f"{name}-in"), folder(t, f"{name}-checkpoint")
+    land_events(t, source, [3, 2])
+    start(event_stream(t, source), store, checkpoint).awaitTermination()
+    forget_last_commit(t, checkpoint)
+    land_events(t, source, [0, 1])
+    start(event_stream(t, source), store, checkpoint).awaitTermination()
+    return store.read()
 
 
 @query("stream_upsert", """
 select user_id, arg_max(event_id, event_id) as event_id, arg_max(event_type, event_id) as event_type from {events} group by user_id""")
 def stream_upsert(t):
     schema = "user_id bigint, event_id bigint, event_type string"
-    store = KeyedStore(t.spark, folder(t, "upsert"), schema, ["user_id"])
-    inc.upsert_stream(event_stream(t), store, ["event_id"], folder(t, "upsert-checkpoint")).awaitTermination()
-    return store.read()
+    store = KeyedStore(t.spark, folder(t, "upsert"), schema, ["user_id"], order=["event_id"])
+    return streamed(t, store, lambda rows, s, checkpoint: inc.upsert_stream(rows, s, ["event_id"], checkpoint), "upsert")
 
 
 @query("stream_dedup", """
 select user_id, event_type, event_id, value from (
   select *, row_number() over (partition by user_id, event_type order by event_id) as n from {events}) where n = 1""")
 def stream_dedup(t):
-    # the watermark covers the whole month of events, so nothing is seen twice
-    first = inc.first_seen(event_stream(t), ["user_id", "event_type"], "ts", "3650 days")
-    target = folder(t, "dedup")
-    inc.append_stream(first, target, folder(t, "dedup-checkpoint")).awaitTermination()
-    return t.spark.read.schema(EVENTS).parquet(target).select("user_id", "event_type", "event_id", "value")
+    schema = "user_id bigint, event_type string, event_id bigint, value double"
+    store = KeyedStore(t.spark, folder(t, "dedup"), schema, ["user_id", "event_type"], "first", ["event_id"])
+    return streamed(t, store, inc.first_by_order, "dedup")
 
 
 # --- whole jobs -----------------------------------------------------------------

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from taskmine.sources.stages import staged
+
 
 def first_n(rows: DataFrame, keys: list[str], order: list[Column], n: int | None, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows per key (None: all), numbered from 1 in ``rank`` when that is named.
@@ -59,3 +61,21 @@ def numbered_in_blocks(
     numbered = joined.withColumn(number, F.col("_offset") + F.col("_local")).drop("_offset", "_local", "_block")
     return numbered if weight is not None else numbered.drop(f"{number}_total")
 
+
+
+def ranked(rows: DataFrame, order: list[Column], number: str, ranges: int | None = None) -> DataFrame:
+    """Rank (from 1) in one order over all rows, without a task that sees them all.
+
+    Rows are dealt out by ranges of the sort key and written; each range is numbered by
+    itself and begins after the rows of the ranges before it, one small row for each. Rows of
+    equal keys share a range: add columns to ``order`` until ties are few. Runs a job when called.
+    """
+    session = rows.sparkSession
+    ranges = ranges or int(session.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    later = sizes.select(F.explode(F.sequence(F.col("_range") + 1, F.lit(ranges))).alias("_range"), "_n")
+    begun = later.groupBy("_range").agg(F.sum("_n").alias("_begun"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    placed = dealt.withColumn("_inside", inside).join(begun, "_range", "left")
+    return placed.withColumn(number, F.col("_inside") + F.coalesce("_begun", F.lit(0))).drop("_range", "_inside", "_begun")

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from taskmine import defaults as d
 from taskmine.functions import paths, text
+from taskmine.operators.ranking import ranked
+
+ONE_TASK_RANKS = 1_000
 
 
 def rank_candidates(
@@ -16,12 +19,17 @@ def rank_candidates(
 ) -> DataFrame:
     """Repositories ranked by stars (ties in listing order), from rank to rank.
 
-    The one-task window runs on the ``rank_end`` rows that the distributed top-k leaves.
+    Up to ``ONE_TASK_RANKS`` ranks a window in one task runs on what a distributed top-k
+    leaves; beyond that rows are ranked by ranges (``ranking.ranked``).
     """
     order = [F.desc("stargazers_count"), F.asc("api_pos")]
-    head = listing.where(F.col("stargazers_count") >= min_stars).orderBy(*order).limit(rank_end)
-    ranked = head.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    return ranked.where(F.col("rank").between(rank_start, rank_end))
+    known = listing.where(F.col("stargazers_count") >= min_stars)
+    if rank_end <= ONE_TASK_RANKS:
+        head = known.orderBy(*order).limit(rank_end)
+        numbered = head.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    else:
+        numbered = ranked(known, order, "rank").withColumn("rank", F.col("rank").cast("int"))
+    return numbered.where(F.col("rank").between(rank_start, rank_end))
 
 
 def detail_lookup(names: DataFrame, details: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taskmine.functions import text
-from taskmine.sources import schemas
+from taskmine.sources import json_arrays, schemas
 
 
 def search_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -126,18 +126,17 @@ def patch_files(spark: SparkSession, path: str) -> DataFrame:
 def final_results(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     """Result records as one row per release, as ``write_final_results`` wrote them.
 
-    ``lines=False`` reads whole documents ``{metadata, results: […]}``, each in one task; ``seq``
+    ``lines=False`` reads whole documents ``{metadata, results: […]}``, in parallel too; ``seq``
     then counts within a document.
     """
     if lines:
         return spark.read.schema(schemas.FINAL_RESULT).json(f"{path}/results")
-    read = spark.read.schema(schemas.FINAL_DOCUMENT).option("multiLine", True).json(path)
-    return read.select(F.posexplode("results").alias("seq", "_result")).select("seq", "_result.*")
+    return json_arrays.read(spark, path, schemas.RESULT_RECORD, "results", "seq")
 
 
 def task_specs(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
-    """Task specs as JSON lines (splittable, what ``write_json`` writes), or as one JSON array."""
-    return spark.read.schema(schemas.TASK_SPEC).option("multiLine", not lines).json(path)
+    """Task specs as JSON lines (what ``write_json`` writes), or as JSON arrays, which are read in parallel too."""
+    return spark.read.schema(schemas.TASK_SPEC).json(path) if lines else json_arrays.read(spark, path, schemas.TASK_SPEC)
 
 
 def write_json(frame: DataFrame, path: str, partition_by: str | None = None) -> None:

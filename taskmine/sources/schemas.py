@@ -63,8 +63,8 @@ _RESULT_FIELDS = {
     "repository": "string", "release": "string", "analyzed_at": "string",
     "enhanced_new_features": f"array<{ENHANCED_FEATURE}>", "original_analysis": RELEASE_ANALYSIS,
 }
-FINAL_RESULT = "seq bigint, " + ", ".join(f"{name} {kind}" for name, kind in _RESULT_FIELDS.items())
-FINAL_DOCUMENT = "results array<struct<" + ",".join(f"{name}:{kind}" for name, kind in _RESULT_FIELDS.items()) + ">>"
+RESULT_RECORD = ", ".join(f"{name} {kind}" for name, kind in _RESULT_FIELDS.items())
+FINAL_RESULT = f"seq bigint, {RESULT_RECORD}"
 
 TASK_SPEC = (
     "repo string, instance_id string, base_commit string, "

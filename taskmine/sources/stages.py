@@ -9,7 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taskmine.sources.store import work_folder
+from taskmine.sources.folders import work_folder
 
 _WRITTEN: dict[str, list[str]] = {}
 _PATHS: dict[int, str] = {}  # of a table while its DataFrame lives

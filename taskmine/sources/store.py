@@ -8,28 +8,11 @@ once. Readers merge to one row per key, and ``compact`` folds batches into a bas
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from taskmine.operators.ranking import keep_one
-
-_FALLBACK: dict[str, str] = {}
-
-
-def work_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh local one only for a local session without it."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="taskmine-")
-    return _FALLBACK[app]
-
+from taskmine.sources.folders import work_folder  # noqa: F401  (callers find it here too)
 
 def _committed(spark: SparkSession, folder: str, kind: str) -> list[int]:
     """Numbers of the finished ``<kind>=<number>`` folders."""
@@ -43,12 +26,17 @@ def _committed(spark: SparkSession, folder: str, kind: str) -> list[int]:
 
 
 class KeyedStore:
-    """One row per key; ``keep`` says whether the first or the last one counts. ``schema`` is DDL."""
+    """One row per key; ``keep`` says whether the first or the last one counts. ``schema`` is DDL.
+
+    Batches count in the order of their numbers, or, with ``order``, rows count in the order of
+    these columns whatever batch they came in.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: list[str], keep: str = "last"):
+    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: list[str], keep: str = "last", order: list[str] | None = None):
         if keep not in ("first", "last"):
             raise ValueError(keep)
         self.spark, self.folder, self.keys, self.keep = spark, folder, keys, keep
+        self.order = order or ["batch"]
         self.schema = StructType.fromDDL(schema)
 
     def add(self, rows: DataFrame, batch: int, order: list[str]) -> None:
@@ -72,7 +60,7 @@ class KeyedStore:
             return self.spark.createDataFrame([], self.schema)
         stored = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         single = (base is not None) + len(batches) == 1
-        merged = stored if single else self._merge(stored, ["batch"])
+        merged = stored if single else self._merge(stored, self.order)
         return merged.select(*self.schema.fieldNames())
 
     def compact(self) -> None:

@@ -29,6 +29,18 @@ def first_seen(rows: DataFrame, keys: list[str], event_time: str, late: str) ->
     return typed.withWatermark(event_time, late).dropDuplicatesWithinWatermark(keys)
 
 
+def first_by_order(rows: DataFrame, store: KeyedStore, checkpoint: str) -> StreamingQuery:
+    """Keep the first row per key by the store's own order, in whatever order rows arrive.
+
+    Nothing is remembered between micro-batches but the store's files, so no watermark
+    bounds how late a repeat may come, and memory is that of one micro-batch. A row that is
+    ordered before the one kept so far takes its place.
+    """
+    if store.keep != "first" or store.order == ["batch"]:
+        raise ValueError("the store must keep the first row by an order")
+    return upsert_stream(rows, store, store.order, checkpoint)
+
+
 def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream to a parquet folder."""
     writer = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path)
