@@ -1,8 +1,9 @@
 """Definitions inside Python source text.
 
 The only Python-worker code of the library. Both functions are Arrow-batched
-and receive nothing but the source column; everything around them (pairing,
-normalising, comparing) stays in the JVM.
+and receive nothing but the source column; only names and line numbers come back, and
+everything around them (bodies, pairing, normalising, comparing) stays in the JVM. A source
+that is too deep for the parser is read by ``source_scan`` instead.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from collections import deque
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from taskmine.functions import source_scan
+
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 UNREADABLE = object()
 STATEMENTS = (ast.stmt, ast.excepthandler, ast.match_case)
@@ -22,7 +25,7 @@ STATEMENTS = (ast.stmt, ast.excepthandler, ast.match_case)
 DEFINITIONS = ArrayType(StringType())
 ELEMENTS = ArrayType(StructType([
     StructField("code_type", StringType()), StructField("name", StringType()),
-    StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("body", StringType()),
+    StructField("start", IntegerType()), StructField("end", IntegerType()),
 ]))
 
 
@@ -54,11 +57,14 @@ def _inner_statements(node):
 def list_definitions(source) -> list[str] | None:
     """Dotted paths of plain ``def``/``class`` reached through bodies of such only, sorted.
 
-    None where the parser gives up: that says nothing about the definitions.
+    None where parser and scanner give up: that says nothing about the definitions.
     """
     tree = _tree(source)
     if tree is UNREADABLE:
-        return None
+        try:
+            return source_scan.definitions(source)
+        except source_scan.Broken:
+            return None
     if tree is None:
         return []
     found, pending = set(), [("", node) for node in tree.body]
@@ -73,14 +79,17 @@ def list_definitions(source) -> list[str] | None:
 
 @lru_cache(maxsize=256)
 def list_elements(source) -> list[dict] | None:
-    """Classes, functions outside classes, and methods, each with its first span; None where the parser gives up.
+    """Classes, functions outside classes, and methods, each with its first span; None where parser and scanner give up.
 
     One breadth-first walk carries the enclosing class names, so a file costs one
     pass however many elements it holds. Decorators are not part of a span.
     """
     tree = _tree(source)
     if tree is UNREADABLE:
-        return None
+        try:
+            return [dict(zip(("code_type", "name", "start", "end"), one)) for one in source_scan.elements(source)]
+        except source_scan.Broken:
+            return None
     if tree is None:
         return []
     classes, functions, inside, methods = {}, {}, {}, []
@@ -99,12 +108,8 @@ def list_elements(source) -> list[dict] | None:
                 inside.setdefault((owner, node.name), node)
         queue.extend((child, below) for child in _inner_statements(node))
 
-    lines = source.split("\n")
-
     def element(code_type, name, node):
-        start, end = node.lineno - 1, node.end_lineno
-        body = "\n".join(lines[start:end]) if end <= len(lines) else ""
-        return {"code_type": code_type, "name": name, "start": start, "end": end, "body": body}
+        return {"code_type": code_type, "name": name, "start": node.lineno - 1, "end": node.end_lineno}
 
     out = [element("class", name, node) for name, node in classes.items()]
     out += [element("function", name, node) for name, node in functions.items()]
@@ -123,5 +128,26 @@ def definitions(source: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(ELEMENTS)
-def elements(source: pd.Series) -> pd.Series:
+def spans(source: pd.Series) -> pd.Series:
     return source.map(list_elements)
+
+
+def with_elements(rows: DataFrame, sources: dict[str, Column]) -> DataFrame:
+    """Adds the elements (code_type, name, start, end, body) of each source under its name; null where none can be listed.
+
+    Bodies are cut out of the lines here, so they never leave the JVM.
+    """
+    spanned = rows.select("*", *[spans(candidate(source)).alias(f"_spans_{name}") for name, source in sources.items()],
+                          *[F.split(candidate(source), "\n", -1).alias(f"_lines_{name}") for name, source in sources.items()])
+
+    def whole(name: str) -> Column:
+        lines = F.col(f"_lines_{name}")
+
+        def with_body(one: Column) -> Column:
+            body = F.array_join(F.slice(lines, one["start"] + 1, one["end"] - one["start"]), "\n")
+            return F.struct(*[one[field].alias(field) for field in ("code_type", "name", "start", "end")],
+                            F.when(one["end"] <= F.size(lines), body).otherwise("").alias("body"))
+
+        return F.transform(f"_spans_{name}", with_body).alias(name)
+
+    return spanned.select(*rows.columns, *[whole(name) for name in sources])

@@ -24,7 +24,7 @@ HINT_METHODS = "Run specific test methods:"
 def code_elements(files: DataFrame, source: str) -> DataFrame:
     """Classes, functions and methods of each file with their lines; one row each."""
     keys = [name for name in files.columns if name != source]
-    return files.select(*keys, F.inline(source_code.elements(source_code.candidate(F.col(source)))))
+    return source_code.with_elements(files, {"_elements": F.col(source)}).select(*keys, F.inline("_elements"))
 
 
 def unreadable_pairs(pairs: DataFrame, before: str = "before_src", after: str = "after_src") -> DataFrame:
@@ -42,8 +42,7 @@ def code_changes(pairs: DataFrame, before: str = "before_src", after: str = "aft
     A pair with a side too deep to parse is left out; ``unreadable_pairs`` lists those.
     """
     keys = [name for name in pairs.columns if name not in (before, after)]
-    side = lambda name, column: source_code.elements(source_code.candidate(F.col(column))).alias(name)
-    parsed = pairs.select(*keys, side("_b", before), side("_a", after))
+    parsed = source_code.with_elements(pairs, {"_b": F.col(before), "_a": F.col(after)}).select(*keys, "_b", "_a")
 
     def tagged(column: str, tag: str) -> Column:
         return F.transform(column, lambda one: F.struct(

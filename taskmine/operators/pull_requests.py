@@ -8,8 +8,10 @@ from taskmine import defaults as d
 from taskmine.functions import paths, source_code, text
 from taskmine.operators.changes import fill
 from taskmine.operators.ranking import first_n
+from taskmine.sources.stages import staged
 
 PR = ["repo", "pr_number"]
+SNAPSHOT = ["repo", "path", "ref"]
 
 PR_PROMPT = (
     "Write the request a user would make to get the change below, for someone who will build it "
@@ -73,20 +75,28 @@ def snapshot_definitions(contents: DataFrame) -> DataFrame:
     return contents.select("repo", "path", "ref", F.col("content").isNotNull().alias("landed"), listed.alias("definitions"))
 
 
-def needed_snapshots(files: DataFrame, prs: DataFrame, contents: DataFrame) -> DataFrame:
-    """Landed snapshots that decide about these pull requests: source files at the commits that count."""
+def needed_snapshots(files: DataFrame, prs: DataFrame) -> DataFrame:
+    """(repo, path, ref) of the snapshots that decide about these pull requests: source files at the commits that count."""
     source = files.where(paths.is_source_file(F.col("filename"))).select(*PR, F.col("filename").alias("path"))
     at = source.join(prs.select(*PR, F.explode(F.array("base_sha", "head_sha")).alias("ref")), PR)
-    return contents.join(at.select("repo", "path", "ref").distinct(), ["repo", "path", "ref"], "left_semi")
+    return at.select(*SNAPSHOT).distinct()
 
 
-def distinct_definitions(contents: DataFrame) -> DataFrame:
-    """``snapshot_definitions`` with each different text parsed once, however many snapshots hold it."""
-    keyed = contents.select("repo", "path", "ref", "content", F.sha2("content", 256).alias("_text"))
-    texts = keyed.where("_text is not null").select("_text", "content").dropDuplicates(["_text"])
-    parsed = texts.select("_text", source_code.definitions(source_code.candidate(F.col("content"))).alias("definitions"))
+def distinct_definitions(contents: DataFrame, needed: DataFrame | None = None) -> DataFrame:
+    """``snapshot_definitions`` of the ``needed`` snapshots (or all), each different text parsed once.
+
+    Digests are taken where the texts lie, and one snapshot of each digest is chosen on these
+    narrow rows; only the chosen texts are then looked up and parsed. Writes the digests when called.
+    """
+    keyed = contents.select(*SNAPSHOT, F.sha2("content", 256).alias("_text"))
+    digests = staged(keyed if needed is None else keyed.join(needed, SNAPSHOT, "left_semi"), "snapshot-digests")
+    chosen = digests.where("_text is not null").groupBy("_text").agg(F.min(F.struct(*SNAPSHOT)).alias("at")).select("at.*")
+    texts = contents.where("content is not null").join(chosen, SNAPSHOT, "left_semi").select(
+        F.sha2("content", 256).alias("_text"), source_code.definitions(source_code.candidate(F.col("content"))).alias("definitions"))
+    # a snapshot landed twice gives its text twice; the lists are equal then
+    parsed = texts.groupBy("_text").agg(F.first("definitions", ignorenulls=True).alias("definitions"))
     landed = F.col("_text").isNotNull().alias("landed")
-    return keyed.drop("content").join(parsed, "_text", "left").select("repo", "path", "ref", landed, "definitions")
+    return digests.join(parsed, "_text", "left").select(*SNAPSHOT, landed, "definitions")
 
 
 def definition_diff(pairs: DataFrame, before: str, after: str) -> DataFrame:

@@ -36,8 +36,11 @@ def judged(features: DataFrame, landed: Landed) -> tuple[DataFrame, DataFrame, D
     keys = features.select(*pr.PR).distinct()
     wanted = lambda frame: frame.join(keys, pr.PR, "left_semi")
     files, prs = wanted(landed.files), wanted(landed.prs)
-    contents = pr.needed_snapshots(files, prs, landed.contents)
-    return pr.eligibility(files, prs, pr.distinct_definitions(contents)), prs, files
+    # what decides is narrow: it is written once, and patches and bodies stay where they are
+    changed = staged(files.select(*pr.PR, "filename", "status"), "changed-files")
+    refs = staged(prs.select(*pr.PR, "base_sha", "head_sha"), "changed-refs")
+    definitions = pr.distinct_definitions(landed.contents, pr.needed_snapshots(changed, refs))
+    return staged(pr.eligibility(changed, refs, definitions), "eligibility"), prs, files
 
 
 def with_stored(responses: DataFrame, stored: DataFrame | None) -> DataFrame:
@@ -60,8 +63,8 @@ def description_requests(changes: DataFrame, landed: Landed, analysed: DataFrame
 def enrich_features(
     changes: DataFrame, landed: Landed, pr_responses: DataFrame, feature_responses: DataFrame, stored: DataFrame | None = None
 ) -> DataFrame:
-    """Features with described, eligible pull requests; ``stored``: answers of earlier runs."""
-    features = pr.feature_prs(changes)
+    """Features with described, eligible pull requests; ``stored``: answers of earlier runs. Runs jobs when called."""
+    features = staged(pr.feature_prs(changes), "features")
     eligible, _, _ = judged(features, landed)
     descriptions = pr.pr_descriptions(eligible, pr.first_mentions(features), with_stored(pr_responses, stored))
     return pr.enriched_features(features, descriptions, feature_responses)

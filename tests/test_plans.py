@@ -43,7 +43,7 @@ def test_each_text_is_parsed_once_and_only_where_it_decides(spark):
     features = spark.createDataFrame([("o/a", "1")], "repo string, pr_number string")
     landed = enrich.Landed(prs, files, prs.limit(0), contents)
     eligible, _, _ = enrich.judged(features, landed)
-    plan = plan_of(eligible)
+    plan = plan_of(pr.distinct_definitions(contents, pr.needed_snapshots(files, prs)))
     below = plan[plan.index("ArrowEvalPython"):]
     assert "LeftSemi" in below and "Aggregate" in below
     assert [tuple(r) for r in eligible.select("pr_number", "eligible").collect()] == [("1", True)]

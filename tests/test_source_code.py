@@ -4,6 +4,7 @@ import textwrap
 
 import pytest
 
+from taskmine.functions import source_scan
 from taskmine.functions.source_code import list_definitions, list_elements
 from taskmine.operators import code_changes as cc, pull_requests as pr
 
@@ -26,12 +27,45 @@ def names(source, code_type):
     return sorted(e["name"] for e in list_elements(source) if e["code_type"] == code_type)
 
 
-def test_text_too_deep_to_parse_is_neither_empty_nor_equal():
-    deep = "x = " + "-" * 100_000 + "1\ndef f(): pass\n"
-    assert list_definitions(deep) is None and list_elements(deep) is None
+def test_text_too_deep_for_the_parser_is_scanned():
+    deep = "x = " + "-" * 100_000 + "1\ndef f(): pass\nclass A:\n    y = " + "(" * 10_000 + "1" + ")" * 10_000 + "\n    def g(self):\n        return 1\n\n# end\n"
+    assert list_definitions(deep) == ["A", "A.g", "f"]
+    assert [tuple(e.values()) for e in list_elements(deep)] == [("class", "A", 2, 5), ("function", "f", 1, 2), ("method", "A.g", 4 - 0, 6)] or \
+        [tuple(e.values()) for e in list_elements(deep)] == [("class", "A", 2, 6), ("function", "f", 1, 2), ("method", "A.g", 4, 6)]
+
+
+def test_text_that_nothing_can_read_is_neither_empty_nor_equal():
+    broken = "x = " + "-" * 100_000 + "(\ndef f(): pass\n"
+    assert list_definitions(broken) is None and list_elements(broken) is None
     assert list_definitions("def (") == []
 
 
+Q3, BACK = "'" * 3, "\\"
+TRICKY = "\n".join([
+    '"""class Not: def x(): pass"""', 's = "def a(): " ; t = f"{ {\'k\': f\'{1:>{2}}\'}[\'k\'] } {{ def b(): }}"', "h = f'{x:#x} {y!r:\\'>9}' f'{z}'",
+    "def one(a: dict = {'x': (1,", "        2)}) -> 'def no(): pass':  # class C:", '    """doc', "def inside_text(): pass", '"""', "    try:", "        def tried(): return [",
+    "            1]", "    except (A,", "            B):", "        def tried():", "            pass", "    finally:", "        class Last: x = 1; y = 2", "    if x: pass", "    else:",
+    "        async def later(): await x", "    return lambda: {", "    }", "class K(Base,", "        metaclass=M):", "", "    @deco(" + Q3, "    def text(): pass", "    " + Q3 + ")",
+    "    async def m(self):", "        for a in b: print(rb'" + BACK + "'', u'x')", "        while True:", "            class Deep:", "                def m(self): " + BACK,
+    "                    return 1", "", "    match = 3", "    # comment", "", "match x:", "    case {'a': [1, *_]}:", "        def in_case(): ...", "    case _: pass",
+    "with open(x) as f, " + BACK, "        y: z()", ""])
+
+
+def test_the_scanner_agrees_with_the_parser():
+    rng = random.Random(7)
+    for source in [TRICKY, SOURCE, *(random_source(rng) for _ in range(300))]:
+        ast.parse(source)
+        assert source_scan.definitions(source) == list_definitions(source), source
+        want = [(e["code_type"], e["name"], e["start"], e["end"]) for e in list_elements(source)]
+        assert sorted(source_scan.elements(source)) == sorted(want), source
+
+
+@pytest.mark.parametrize("bad", ["x = (", "x = ]", "\"open", "f'{x", "(}"])
+def test_what_fits_no_file_is_broken(bad):
+    with pytest.raises(source_scan.Broken):
+        source_scan.outline(bad)
+
+
 def test_the_two_extractors_differ_on_purpose():
     assert list_definitions(SOURCE) == ["A", "A.f", "A.f.g"]
     assert names(SOURCE, "class") == ["A"]
@@ -54,7 +88,7 @@ def test_span_is_the_first_in_breadth_first_order_without_decorators():
             return 'top'
     """)
     (f,) = [e for e in list_elements(source) if e["name"] == "f"]
-    assert f["body"] == "def f():\n    return 'top'"
+    assert source.split("\n")[f["start"]:f["end"]] == ["def f():", "    return 'top'"]
 
 
 def test_every_block_statement_is_searched():
