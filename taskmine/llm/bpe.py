@@ -27,6 +27,7 @@ from taskmine.llm.arrays import packed, sized
 
 MAX_RANK_FILE = 64 << 20  # bytes of a rank file that may be sent to every worker
 _CHUNK = 1 << 20
+_CACHE, _ENTRY = 48 << 20, 250  # bytes of a worker's known slices; of one besides its text and ids
 
 # code points with the Unicode property White_Space, fixed values
 WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -195,19 +196,21 @@ def _merged_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Merges:
-    """Ids of slices, kept per worker; forgotten when there are many."""
+    """Ids of slices, kept per worker; forgotten when they take much memory."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.known = ranks, {}
+        self.ranks, self.known, self.size = ranks, {}, 0
 
     def of(self, slices: list[bytes]) -> list[list[int]]:
-        if len(self.known) > 300_000:
+        if self.size > _CACHE:
             self.known.clear()
+            self.size = 0
         known, out = self.known, []
         for piece in slices:
             ids = known.get(piece)
             if ids is None:
                 ids = known[piece] = merged(piece, self.ranks)
+                self.size += len(piece) + 8 * len(ids) + _ENTRY
             out.append(ids)
         return out
 
@@ -253,20 +256,37 @@ def _vocabulary(ranks: dict[bytes, int]) -> list[bytes]:
     return out
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", offsets: bool = True) -> DataFrame:
-    """``docs`` with ``ids`` and, if asked for, ``ends``: the byte of the text at which each token ends."""
+def _decoded(ids: pa.Array, ends: pa.Array | None, words: pa.Array) -> pa.Array:
+    """The bytes of each list of ids, put down token by token; with ``ends`` each token must end where that says."""
+    ids = pc.fill_null(ids, [])
+    values = words.take(ids.flatten())
+    _, stops, data = values.buffers()
+    stops = np.frombuffer(stops, np.int32)[:len(values) + 1] if len(values) else np.zeros(1, np.int32)
+    at = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    if ends is not None:
+        own = stops[1:] - np.repeat(stops[at[:-1]], np.diff(at))
+        if not np.array_equal(own, np.asarray(pc.fill_null(ends, []).flatten())):
+            raise ValueError("a token does not end at its offset")
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(stops[at].astype(np.int32)), data if data is not None else pa.py_buffer(b"")])
+
+
+def _encoding(docs: DataFrame, ranks: dict[bytes, int], text: str, added: list[StructField], decoding: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    added = ["ids", "ends"][:1 + offsets]
-    kept = [f for f in docs.schema.fields if f.name not in added]
-    schema = StructType(kept + [StructField(name, ArrayType(IntegerType())) for name in added])
+    new = [f.name for f in added]
+    kept = [f for f in docs.schema.fields if f.name not in new]
+    schema = StructType([*kept, *added])
 
     def run(batches):
         merges = _Merges(shared.value)
+        offsets = "ends" in new
         merges.vocabulary = _vocabulary(shared.value) if offsets else []
+        words = pa.array(merges.vocabulary, pa.binary()) if decoding else None
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             for lo, to in sized(column, _CHUNK):
                 lists = _encoded(column.slice(lo, to - lo), merges, offsets)
+                if decoding:
+                    lists.append(_decoded(*lists, words))
                 part = batch.slice(lo, to - lo)
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(f.name)) for f in kept] + lists,
                                                  names=schema.names)
@@ -274,23 +294,38 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", offsets
     return docs.mapInArrow(run, schema)
 
 
+_IDS, _ENDS, _DECODED = StructField("ids", ArrayType(IntegerType())), StructField("ends", ArrayType(IntegerType())), StructField("decoded", BinaryType())
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", offsets: bool = True) -> DataFrame:
+    """``docs`` with ``ids`` and, if asked for, ``ends``: the byte of the text at which each token ends."""
+    return _encoding(docs, ranks, text, [_IDS, _ENDS] if offsets else [_IDS], False)
+
+
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], text: str = "text") -> DataFrame:
+    """``docs`` with ``ids``, ``ends`` and ``decoded``: encoding and decoding in one pass, with one copy of the ranks a worker."""
+    return _encoding(docs, ranks, text, [_IDS, _ENDS, _DECODED], True)
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``encoded`` with ``decoded``: the bytes of its ``ids`` (null and empty lists: no bytes)."""
+    """``encoded`` with ``decoded``: the bytes of its ``ids`` (null and empty lists: no bytes).
+
+    Where there are ``ends``, every token is held against its own; one that differs is an error.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
     kept = [f for f in encoded.schema.fields if f.name != "decoded"]
-    schema = StructType(kept + [StructField("decoded", BinaryType())])
+    schema = StructType([*kept, _DECODED])
+    checked = "ends" in encoded.columns and encoded.schema["ends"].dataType == _ENDS.dataType
 
     def run(batches):
         words = pa.array(_vocabulary(shared.value), pa.binary())
         for batch in batches:
-            ids = pc.fill_null(batch.column(batch.schema.get_field_index("ids")), [])
+            ids = batch.column(batch.schema.get_field_index("ids"))
             size = max(1, len(ids) and (1 << 20) * len(ids) // max(1, len(ids.flatten())))
             for lo in range(0, len(ids), size):
-                part = ids.slice(lo, size)
-                values = words.take(part.flatten())
-                at = np.concatenate([[0], np.cumsum(pc.list_value_length(part).to_numpy(zero_copy_only=False))]).astype(np.int32)
-                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(at), values), b"")
                 rows = batch.slice(lo, size)
+                ends = rows.column(rows.schema.get_field_index("ends")) if checked else None
+                joined = _decoded(ids.slice(lo, size), ends, words)
                 yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(f.name)) for f in kept] + [joined],
                                                  names=schema.names)
 

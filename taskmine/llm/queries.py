@@ -69,8 +69,7 @@ def op4(table) -> DataFrame:
 
 @query("op5_bpe")
 def op5(table) -> DataFrame:
-    ranks = default_ranks()
-    coded = bpe.decode(bpe.encode(table("documents").select("doc_id", "text"), ranks, offsets=False).drop("text"), ranks)
+    coded = bpe.round_trip(table("documents").select("doc_id", "text"), default_ranks()).drop("text")
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         _sha(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"), _sha("decoded").alias("decoded_sha256"))

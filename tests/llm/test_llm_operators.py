@@ -72,6 +72,13 @@ def test_bpe_agrees_with_the_library(spark, ranks, texts):
     assert set(coded.columns) == set(docs.columns)  # ids and ends are replaced
     rows = bpe.decode(coded, ranks).collect()
     assert len(rows) == len(texts) + len(hard)
+    once = bpe.round_trip(docs, ranks)
+    assert set(once.columns) == set(docs.columns) | {"decoded"}
+    key = lambda r: (r["doc_id"], tuple(r["ids"]), tuple(r["ends"]), bytes(r["decoded"]))
+    assert sorted(map(key, once.collect())) == sorted(map(key, rows))
+    with pytest.raises(Exception, match="does not end at its offset"):
+        bpe.decode(coded.withColumn("ends", F.transform("ends", lambda e: e + 1)), ranks).collect()
+    assert all(r["decoded"] == b"" for r in bpe.decode(coded.select(F.lit(None).cast("array<int>").alias("ids")), ranks).collect())
     for row in rows:
         want = library.encode_ordinary(row["text"] or "")
         assert row["ids"] == want
