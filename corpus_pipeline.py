@@ -48,8 +48,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, folder: str) ->
 def as_tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """doc_id, token ids, the byte at which each token ends, and the text decoded from the ids."""
     taskmine.ship(spark)
-    ranks = default_ranks()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks).drop("text"), ranks)
+    coded = bpe.round_trip(docs.select("doc_id", "text"), default_ranks())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "ends", F.col("decoded").cast("string").alias("text"))
 
 
