@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from checks.registry import query
 from taskmine import defaults as d
 from taskmine.functions import text
-from taskmine.operators import changes as ch, pull_requests as pr, repos as rep, specs as sp
+from taskmine.operators import changes as ch, pull_requests as pr, repos as rep, requests as rq, specs as sp
+from taskmine.operators.ranking import landed_once
 from taskmine.plans import collect, enrich
 from taskmine.sources import json_arrays, landed, schemas
 from taskmine.sources.folders import work_folder
@@ -25,7 +26,10 @@ union all
 select repo, release_pos, tag_name, 'new_feature', 1, '', '' from release_answers where release_pos % 29 <> 0 and release_pos % 3 = 0
 union all
 select repo, release_pos, tag_name, 'improvement', 0, 'i', concat('https://github.com/', repo, '/pull/7')
-from release_answers where release_pos % 29 <> 0 and release_pos % 2 = 0"""
+from release_answers where release_pos % 29 <> 0 and release_pos % 2 = 0
+union all
+select repo, release_pos, tag_name, 'bug_fix', pos, concat('b', pos + 1), case pos when 0 then '' else concat('https://github.com/', repo, '/pull/8') end
+from release_answers, (select unnest([0, 1]) as pos) where release_pos % 29 <> 0 and release_pos % 5 = 0"""
 
 FEATURE_PRS = """
 select repo, release_pos, tag_name, feature_pos, description, pr_pos, pr_number from (
@@ -47,7 +51,7 @@ def release_changes_parse(t):
 select case when grouping(repo) = 1 then null else repo end as repo, count(*) as releases,
   cast(sum(case when release_pos % 29 = 0 then 0 when release_pos % 3 = 0 then 2 else 1 end) as bigint) as new_features,
   cast(sum(case when release_pos % 29 <> 0 and release_pos % 2 = 0 then 1 else 0 end) as bigint) as improvements,
-  cast(0 as bigint) as bug_fixes
+  cast(sum(case when release_pos % 29 <> 0 and release_pos % 5 = 0 then 2 else 0 end) as bigint) as bug_fixes
 from release_answers group by rollup(repo)""")
 def change_counts(t):
     return ch.change_counts(ch.parsed_answers(t.release_answers))
@@ -115,6 +119,17 @@ def pr_commits(t):
     )
 
 
+@query("pr_commits_landed_twice", """
+select p.repo, p.pr_number, coalesce(b.message, '') as base_message, case when b.message is null then '' else '2' end as base_author
+from pull_requests p left join commits b on b.repo = p.repo and b.sha = base_sha""")
+def pr_commits_landed_twice(t):
+    """A commit that landed again counts once, as it landed last; a pull request stays one row."""
+    land = lambda n: t.commits.where("message = 'base'").withColumn("author", F.lit(str(n))).withColumn("landed_seq", F.lit(n))
+    commits = landed_once(land(1).unionByName(land(2)), ["repo", "sha"], ["landed_seq"])
+    joined = pr.with_commits(landed_prs(t), commits)
+    return joined.select("repo", "pr_number", F.col("base_commit.message").alias("base_message"), F.col("base_commit.author").alias("base_author"))
+
+
 def landed_prs(t):
     return t.pull_requests.select(
         "repo", "pr_number", "title", text.or_empty(F.col("body")).alias("body"), "state", "merged", "base_sha", "head_sha"
@@ -183,6 +198,58 @@ def feature_prompt(t):
     return pr.pr_requests(eligible(t), landed_prs(t), summaries, mentions, "Feature {feature}\n{title}\n{body}\n{files}")
 
 
+ALL_SUMMARY = SUMMARY.replace(" and shown <= 2", "").replace("max(others) > 2", "false")
+SHORT = "Feature {feature}\n{title}\n{body}\n{files}"
+PR_REQUESTS = f"""
+select e.repo, e.pr_number, sha256(concat('Feature ', feature_description, chr(10), title, chr(10), coalesce(body, ''), chr(10), files_text)) as prompt_key
+from ({ELIGIBLE}) e join pull_requests p on p.repo = e.repo and p.pr_number = e.pr_number
+join ({ALL_SUMMARY}) s on s.repo = e.repo and s.pr_number = e.pr_number
+join ({MENTIONS}) m on m.repo = e.repo and cast(m.pr_number as string) = e.pr_number
+where has_tests and has_source and only_modified_existing_functions and cast(e.pr_number as bigint) % 5 <> 0"""
+
+
+def pr_requests(t):
+    analysed = t.pull_requests.where("cast(pr_number as bigint) % 5 = 0").select("repo", "pr_number")
+    limits = {name: d.SUMMARY_LIMITS[name] for name in ("max_patch", "max_preview")}
+    return enrich.description_requests(change_rows(t), landed_tables(t), analysed, SHORT, **limits).prs
+
+
+@query("description_requests", PR_REQUESTS)
+def description_requests(t):
+    return pr_requests(t).drop("prompt")
+
+
+@query("requests_answered", f"""
+select repo, pr_number, case when cast(pr_number as bigint) % 3 > 0 then concat('I want to ', pr_number) end as response,
+  cast(pr_number as bigint) % 3 = 0 as to_ask from ({PR_REQUESTS})""")
+def requests_answered(t):
+    """Answers to prompts of an older wording (every third) are not taken for those of today."""
+    asked = staged(pr_requests(t), "pr-requests")
+    old = F.col("pr_number").cast("bigint") % 3 == 0
+    answers = asked.select(F.when(old, F.sha2(F.concat(F.lit("old "), "prompt"), 256)).otherwise(F.col("prompt_key")).alias("prompt_key"),
+                           F.concat(F.lit("I want to "), "pr_number").alias("response"))
+    answers = answers.unionByName(answers.withColumn("response", F.lit(None).cast("string")))
+    known = rq.answered(asked, answers).select("repo", "pr_number", "response")
+    todo = asked.join(rq.to_ask(asked, answers).select("prompt_key", F.lit(True).alias("to_ask")), "prompt_key", "left")
+    return todo.join(known, ["repo", "pr_number"], "left").select("repo", "pr_number", "response", F.coalesce("to_ask", F.lit(False)).alias("to_ask"))
+
+
+@query("release_requests", """
+with readme as (select repo, arg_min(content, pos) as content from repo_files
+  where lower(path) in ('readme.md', 'readme.rst', 'readme.txt', 'readme') and download_url <> '' group by repo)
+select distinct r.repo, r.tag_name, sha256(concat(case when content is null then '' else concat('Context: ', content, chr(10)) end,
+  'Release {', r.tag_name, '}: ', r.body)) as prompt_key
+from releases r left join readme using (repo) where r.author_login is distinct from 'dev' and not exists (
+  select 1 from releases c where c.repo = r.repo and c.tag_name = r.tag_name and c.author_login = 'dev')""")
+def release_requests(t):
+    listed = t.releases.groupBy(F.col("repo").alias("full_name")).agg(F.collect_list(F.struct("tag_name", "body")).alias("major_releases"))
+    records = listed.join(rep.readmes(t.repo_files).withColumnRenamed("repo", "full_name"), "full_name", "left")
+    twice = records.unionByName(records)  # a repository may be named twice
+    analysed = t.releases.where("author_login = 'dev'").select("repo", "tag_name")
+    wording = {"template": "{readme_section}Release {{tag_name}}: {body}", "readme_section": "Context: {readme}\n"}
+    return collect.release_requests(twice, analysed, **wording).drop("prompt").distinct()
+
+
 def pr_responses(t):
     return t.pull_requests.where("priority <> '5-LOW'").select(
         "repo", "pr_number", F.concat(F.lit("I want to "), "pr_number").alias("response")
@@ -210,6 +277,23 @@ enriched as (select repo, tag_name, feature_pos, 'new_feature' as feature_type,
 from described group by repo, tag_name, feature_pos, description, release_pos, release_priority)"""
 
 
+@query("feature_requests", f"""
+with described as (
+  select f.repo, f.tag_name, f.feature_pos, f.description, f.pr_pos, f.pr_number, p.title, p.state, p.merged, n_files,
+    case when p.priority <> '5-LOW' then concat('I want to ', e.pr_number) else feature_description end as text
+  from ({FEATURE_PRS}) f join ({ELIGIBLE}) e on e.repo = f.repo and e.pr_number = cast(f.pr_number as string)
+  join pull_requests p on p.repo = e.repo and p.pr_number = e.pr_number
+  join ({MENTIONS}) m on m.repo = f.repo and m.pr_number = f.pr_number
+  join (select repo, pr_number, count(*) as n_files from pr_files group by repo, pr_number) c on c.repo = e.repo and c.pr_number = e.pr_number
+  where has_tests and has_source and only_modified_existing_functions)
+select repo, tag_name, feature_pos, sha256(concat('new_feature ', description, ':', string_agg(concat(chr(10), 'PR #', pr_number, ': ', title, chr(10), '- Status: ', state,
+    ' (merged: ', case when merged then 'True' else 'False' end, ')', chr(10), '- Files changed: ', n_files, chr(10), '- User benefits: ', text, chr(10)), chr(10) order by pr_pos))) as prompt_key
+from described group by repo, tag_name, feature_pos, description having count(*) > 1""")
+def feature_requests(t):
+    wording = "{feature_type} {feature}:{pull_requests}"
+    return enrich.feature_requests(change_rows(t), landed_tables(t), pr_responses(t), template=wording).drop("prompt")
+
+
 def enriched(t):
     return enrich.enrich_features(change_rows(t), landed_tables(t), pr_responses(t), feature_responses(t))
 
@@ -220,6 +304,30 @@ def feature_enrich(t):
     return enriched(t)
 
 
+ORDERED = """
+select repo, pr_number, pr_id, title, case when pr_id % 3 = 0 then [2, 0, 1] when pr_id % 3 = 1 then [1, 0] else [0] end as places from (
+  select *, cast(pr_number as bigint) as pr_id from pull_requests)"""
+
+
+@query("feature_order", f"""
+select repo, concat('v', pr_number) as release, string_agg(concat('f', place, ': ', pr_number, '=', title), ', ' order by place) as features
+from (select *, unnest(places) as place from ({ORDERED})) group by repo, pr_number""")
+def feature_order(t):
+    """Several features of one release, which arrive in any order, stand in it in theirs."""
+    places = F.expr("case cast(pr_number as bigint) % 3 when 0 then array(2, 0, 1) when 1 then array(1, 0) else array(0) end")
+    prs = landed_prs(t).withColumns({"base_commit": F.lit("b"), "head_commit": F.lit("h")})
+    rows = prs.select(*pr.PR, "title", F.concat(F.lit("v"), "pr_number").alias("tag_name"), F.explode(places).alias("feature_pos"))
+    features = rows.select("*", F.lit("new_feature").alias("feature_type"), F.concat(F.lit("f"), "feature_pos").alias("description"), F.lit(0).alias("pr_pos"))
+    descriptions = prs.select(*pr.PR, F.col("title").alias("detailed_description"))
+    enriched = pr.enriched_features(features, descriptions, feature_responses(t).where("false"))
+    analyses = prs.select(*pr.PR, F.struct("pr_number", F.col("title").alias("detailed_description")).alias("pr_analysis"))
+    records = prs.select("repo", F.concat(F.lit("v"), "pr_number").alias("tag_name"), F.lit(0).alias("release_pos"),
+                         F.struct(F.lit("now").alias("analyzed_at")).alias("original_analysis"))
+    nested = pr.nested_results(features, enriched, analyses, records)
+    shown = lambda one: F.concat(one["description"], F.lit(": "), one["pr_analyses"][0]["pr_number"], F.lit("="), one["feature_detailed_description"])
+    return nested.select(F.col("repository").alias("repo"), "release", F.array_join(F.transform("enhanced_new_features", shown), ", ").alias("features"))
+
+
 @query("final_metadata", f"""{ENRICHED}
 select count(distinct repo) as total_repositories, count(distinct (repo, tag_name)) as total_releases,
   count(*) as total_enhanced_features from enriched where feature_detailed_description is not null""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import query
@@ -9,6 +11,8 @@ from taskmine import defaults as d
 from taskmine.functions import paths, text
 from taskmine.operators import code_changes as cc, diffs as df, pull_requests as pr, specs as sp
 from taskmine.plans import label
+from taskmine.sources import landed
+from taskmine.sources.folders import work_folder
 
 SPECS = """select instance_id, path from test_sources"""
 
@@ -67,6 +71,18 @@ def code_elements(t):
     return rows.select("file_id", "code_type", "name", "start", "end", F.md5("body").alias("digest"))
 
 
+# sources behind an expression that is nested too deeply for any parser: the scanner lists them
+@query("definitions_too_deep", r"""
+select file_id, unnest(case when file_id % 3 = 0 then ['TestA', 'TestA.test_m', 'test_f', 'test_gone'] else ['TestA', 'TestA.test_m', 'test_f'] end) as path
+from test_sources where file_id % 50 <> 0""")
+def definitions_too_deep(t):
+    from taskmine.functions.source_code import definitions as listed
+
+    deep = F.concat(F.lit("x = "), F.repeat(F.lit("("), 10_000), F.lit("1"), F.repeat(F.lit(")"), 10_000), F.lit("\n"), "before_src")
+    # a header without an end stays unreadable: neither definitions nor the lack of them are known
+    return t.test_sources.select("file_id", F.explode(listed(deep)).alias("path"))
+
+
 @query("code_normalize", r"""
 select doc_id, coalesce((select string_agg(line, chr(10) order by pos) from (
     select trim(unnest(string_split(text, chr(10))), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(28), chr(29), chr(30), chr(31),
@@ -203,6 +219,35 @@ def diff_rebuild(t):
     return df.rebuild(parsed(t)).select("repo", "pr_number", "piece", "diff")
 
 
+RENAMED = """
+select repo, pr_number, cast(row_number() over (partition by repo, pr_number order by pos) - 1 as int) as piece, filename, 'renamed' as status, old_filename,
+  case when pure then '' else concat('@@ -1,2 +1,2 @@', chr(10), ' same', chr(10), '-one', chr(10), '+two', chr(10), '@@ -9 +9 @@ def f():', chr(10), '-x', chr(10),
+    '+', additions, chr(10), chr(92), ' No newline at end of file') end as patch_content, filename like 'tests/%' as is_test_file from renames"""
+
+
+@query("diff_parse_renames", RENAMED)
+def diff_parse_renames(t):
+    return df.parse_diffs(t.rename_diffs)
+
+
+@query("diff_rebuild_renames", f"""
+select repo, pr_number, piece, concat('diff --git a/', old_filename, ' b/', filename, chr(10), 'similarity index 100%', chr(10), 'rename from ', old_filename, chr(10),
+  'rename to ', filename, chr(10), patch_content, chr(10)) as diff from ({RENAMED})""")
+def diff_rebuild_renames(t):
+    return df.rebuild(df.parse_diffs(t.rename_diffs)).select("repo", "pr_number", "piece", "diff")
+
+
+@query("patch_files_read", f"""
+select cast(pr_number as bigint) % 50 as part, filename, status, patch_content, count(*) as files from ({FILES}) group by all""")
+def patch_files_read(t):
+    """Diffs written to patch files, one after the other, and whole files read back."""
+    target = f"{work_folder(t.spark)}/patches-{uuid.uuid4().hex}"
+    t.diffs.select((F.col("pr_number").cast("bigint") % 50).alias("part"), "diff").repartition("part").write.partitionBy("part").text(target)
+    read = landed.patch_files(t.spark, f"{target}/*/*.txt")
+    parts = df.parse_diffs(read.select(F.regexp_extract("patch_path", r"/part=(\d+)/", 1).cast("bigint").alias("part"), "diff"))
+    return parts.groupBy("part", "filename", "status", "patch_content").agg(F.count("*").alias("files"))
+
+
 @query("is_test_patch", r"""
 select repo, pos, path, regexp_matches(lower(path), 'test.*\.py$|.*test\.py$|.*_test\.py$|.*/test[s]?/.*\.py$|.*/testing/.*\.py$') as is_test
 from repo_files""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import query
@@ -11,6 +13,7 @@ from taskmine.functions import paths, text
 from taskmine.operators import releases as rel, repos as rep
 from taskmine.plans import collect
 from taskmine.sources import landed
+from taskmine.sources.folders import work_folder
 
 DATE = "1998-06-01"  # the given orders span 1995 to 2001
 
@@ -100,6 +103,16 @@ def repo_has_tests(t):
     return rep.tested_repos(t.repo_files)
 
 
+@query("repo_has_tests_read", HAS_TESTS.replace("repo_files", "sparse_files"))
+def repo_has_tests_read(t):
+    """Listings written as JSON with their directories, and read back: only files count."""
+    target = f"{work_folder(t.spark)}/listings-{uuid.uuid4().hex}"
+    files = t.sparse_files.withColumn("type", F.lit("file"))
+    folders = files.select("repo", "pos", F.lit("tests/test_dir.py").alias("path"), F.lit("dir").alias("type"))
+    files.unionByName(folders, allowMissingColumns=True).write.json(target)
+    return rep.tested_repos(landed.repository_files(t.spark, target))
+
+
 @query("is_test_file", f"""
 select repo, pos, path, list_has_any(string_split(lower(path), '/'), ['test', 'tests', 'testing', 'spec', 'specs'])
   or regexp_matches(split_part(path, '/', -1), {TEST_NAME}) as is_test from repo_files""")

@@ -58,7 +58,11 @@ def test_results(t):
 
 @query("test_results_of_lines", "select instance_id, phase, test_path, status from log_last")
 def test_results_of_lines(t):
-    lines = t.test_logs.select(*RUN, F.posexplode(F.split("log", "\n")).alias("line_no", "line"))
+    # no cell ever holds a whole log; what stands before the summary does not count
+    lines = t.sql("""
+select instance_id, phase, event_id + 2 as line_no, concat(status, ' ', test_path, message) as line from log_events
+union all select distinct instance_id, phase, 1, 'short test summary info' from log_events
+union all select distinct instance_id, phase, 0, concat('FAILED ', base, ' - before the summary') from log_events""")
     return tl.results_of_lines(lines, RUN)
 
 
@@ -371,6 +375,58 @@ from log_events where status = 'FAILED'""")
     return label.label_specs(t.log_events.select("instance_id").distinct(), tests, t.test_logs)
 
 
+# The same in full: arguments are dealt into batches, every batch is run before and after the patch for each
+# label, and labels wait for the last missing log.
+COMMAND = "pytest"
+DIRECTORIES = ["tests/", "test/", "unit/"]
+ARGUMENTS = f"""
+select instance_id, label, argument, (row_number() over (partition by instance_id, label order by md5(argument)) - 1) // 2 as batch from (
+  select instance_id, 'FAIL_TO_PASS' as label, test as argument from ({CHANGED})
+  union all select distinct instance_id, 'PASS_TO_PASS', unnest({DIRECTORIES}) from ({CHANGED}))"""
+REQUESTS = f"""
+select instance_id, label, unnest(['pre', 'post']) as phase, cast(batch as bigint) as batch, n_arguments, command from (
+  select instance_id, label, batch, count(*) as n_arguments, 'pytest ' || string_agg(argument, ' ' order by md5(argument)) as command
+  from ({ARGUMENTS}) group by instance_id, label, batch)"""
+LANDED_RUNS = """
+select distinct instance_id, label, phase, batch from run_events
+where not (instance_id like 'u%3-_' and label = 'FAIL_TO_PASS' and phase = 'post' and batch = 1)"""
+MISSING_RUNS = f"select instance_id, label, phase, batch, n_arguments, command from ({REQUESTS}) anti join ({LANDED_RUNS}) using (instance_id, label, phase, batch)"
+
+
+def arguments(t):
+    selectors = t.sql(f"select instance_id, test as selector from ({CHANGED})")
+    folders = selectors.select("instance_id", F.explode(F.array(*map(F.lit, DIRECTORIES))).alias("directory"))
+    return label.run_arguments(selectors, folders, max_chars=len(COMMAND), batch_size=2, command=COMMAND)
+
+
+@query("run_requests", REQUESTS)
+def run_requests(t):
+    return label.run_requests(arguments(t), COMMAND)
+
+
+@query("missing_runs", MISSING_RUNS)
+def missing_runs(t):
+    return label.missing_runs(label.run_requests(arguments(t), COMMAND), t.run_logs)
+
+
+@query("label_runs", f"""
+with wanted as (select * from ({ARGUMENTS})), missing as (select instance_id, count(*) as n_missing from ({MISSING_RUNS}) group by instance_id),
+ends as (select instance_id, label, phase, batch, base, test_path, max_by(status, event_id) as status from run_events
+  where not (instance_id like 'u%7-_' and batch = 0 and phase = 'post') group by all),
+rolled as (select instance_id, label, phase, batch, base, case when bool_or(status in ('FAILED', 'ERROR')) then 'FAILED'
+  when bool_or(status = 'PASSED') then 'PASSED' else 'SKIPPED' end as status from ends group by all),
+f2p as (select w.instance_id, argument as test, bool_or(phase = 'pre' and status = 'FAILED') and bool_or(phase = 'post' and status = 'PASSED') as found
+  from wanted w join rolled r on r.instance_id = w.instance_id and r.label = w.label and r.batch = w.batch and r.base = w.argument group by all),
+p2p as (select instance_id, base as test, bool_or(phase = 'pre' and status = 'PASSED') and bool_or(phase = 'post' and status = 'PASSED') as found
+  from rolled semi join (select instance_id, label, batch from wanted) using (instance_id, label, batch) where label = 'PASS_TO_PASS' group by all)
+select i.instance_id, coalesce(n_missing, 0) as n_missing, n_missing is null as processed,
+  case when n_missing is null then (select string_agg(test, ', ' order by test) from f2p where found and f2p.instance_id = i.instance_id) end as fail_to_pass,
+  case when n_missing is null then (select string_agg(test, ', ' order by test) from p2p where found and p2p.instance_id = i.instance_id) end as pass_to_pass
+from (select distinct instance_id from log_events) i left join missing using (instance_id)""")
+def label_runs(t):
+    return label.label_runs(t.log_events.select("instance_id").distinct(), arguments(t), t.run_logs)
+
+
 # Agent a has two patches for every instance, of which the first counts, agent b has none. Labels
 # come from the whole logs, the observed statuses from a part of the log after the patch for each
 # label: some expected tests fail there and others are missing.

@@ -1,9 +1,10 @@
 """Domain tables derived from the given tables, in SQL that Spark and DuckDB both run.
 
 ``{orders}`` and the like stand for the given tables; a view may use other views by
-name. Integer and string arithmetic only, order columns explicit. Text cells are
-bounded: a log holds the events of one user among 500,000 consecutive ones, however
-hot the user; a diff holds the at most seven line numbers of an order.
+name. Integer and string arithmetic only, order columns explicit. A log holds what
+one user did in ten days before or after a patch, so labels do not change as other
+events are added; ``test_results_of_lines`` reads the same logs line by line, as
+logs too long for a cell are. A diff holds the at most seven line numbers of an order.
 """
 
 from __future__ import annotations
@@ -72,6 +73,11 @@ select {repo('p_partkey % 60')} as repo, p_partkey as pos,
   case when p_partkey % 17 = 0 then '' else concat('https://raw/', cast(p_partkey as string)) end as download_url,
   concat('# ', p_name) as content
 from {{part}}""",
+    # listings of which some have tests in one place only, and some in none that counts
+    "sparse_files": """
+select repo, pos, path, download_url, content from repo_files where case length(repo) % 2 + cast(right(repo, 1) as int) % 4
+  when 0 then path in ('README.md', 'contest/data.txt', 'latest_util.py', 'build/tests/x.py') when 1 then path in ('unit_tests/a/b.py', 'src/mod.py')
+  when 2 then path in ('lib/tests/y.py', 'contest/data.txt', 'readme') else path in ('test_root.py', 'docs/readme.rst') end""",
     # categorised changes
     "release_answers": f"""
 select {_PR_REPO} as repo, o_orderkey as release_pos, concat('v', cast(o_orderkey as string)) as tag_name,
@@ -79,7 +85,8 @@ select {_PR_REPO} as repo, o_orderkey as release_pos, concat('v', cast(o_orderke
     '","pr_ids":["', cast(o_orderkey as string), '","#', cast(o_orderkey % 9 as string), '"',
     case when o_orderkey % 4 < 3 then concat(',', cast(o_orderkey + 1 as string)) else '' end, ']}}',
     case when o_orderkey % 3 = 0 then ',{{"pr_ids":[]}}' else '' end, '],"improvements":[',
-    case when o_orderkey % 2 = 0 then '{{"description":"i","pr_ids":["7"]}}' else '' end, '],"bug_fixes":[]}}') end as response, o_orderpriority as priority
+    case when o_orderkey % 2 = 0 then '{{"description":"i","pr_ids":["7"]}}' else '' end, '],"bug_fixes":[',
+    case when o_orderkey % 5 = 0 then '{{"description":"b1"}},{{"description":"b2","pr_ids":["8"]}}' else '' end, ']}}') end as response, o_orderpriority as priority
 from {{orders}}""",
     # pull requests, commits, files, contents
     "pull_requests": f"""
@@ -132,7 +139,7 @@ select concat('inst-', cast(cast(floor(p_partkey / 2.0) as bigint) as string)) a
 from {part}""",
     # test logs: one before and one after the patch per instance
     "log_events": """
-select concat('u', cast(user_id as string), '-', cast(cast(floor(event_id / 500000.0) as bigint) as string)) as instance_id,
+select concat('u', cast(user_id as string), '-', cast(cast(floor(extract(day from ts) / 10.0) as bigint) as string)) as instance_id,
   case when event_id % 5 < 2 then 'pre' else 'post' end as phase, cast(event_id % 2 as bigint) as batch, event_id,
   case event_type when 'error' then 'FAILED' when 'signup' then 'SKIPPED' when 'purchase' then 'ERROR' else 'PASSED' end as status,
   concat('tests/t', cast(event_id % 3 as string), '.py::test_', cast(event_id % 41 as string)) as base,
@@ -147,6 +154,17 @@ from log_events group by instance_id, phase""",
 select instance_id, phase, batch, concat('short test summary info', chr(10),
     listagg(concat(status, ' ', test_path, message), chr(10)) within group (order by event_id)) as log
 from log_events group by instance_id, phase, batch""",
+    # four runs of an instance in two batches each: the two labels' runs disagree on some tests, some logs are empty and some are missing
+    "run_events": """
+select instance_id, phase, 'FAIL_TO_PASS' as label, batch, event_id, base, test_path, status, message from log_events
+union all
+select instance_id, phase, 'PASS_TO_PASS' as label, cast(event_id % 7 % 2 as bigint) as batch, event_id, base, test_path,
+  case when event_id % 7 = 0 then 'FAILED' else status end as status, message from log_events""",
+    "run_logs": """
+select instance_id, label, phase, batch, case when instance_id like 'u%7-_' and batch = 0 and phase = 'post' then 'collected 0 items' else
+    concat('short test summary info', chr(10), listagg(concat(status, ' ', test_path, message), chr(10)) within group (order by event_id)) end as log
+from run_events where not (instance_id like 'u%3-_' and label = 'FAIL_TO_PASS' and phase = 'post' and batch = 1)
+group by instance_id, label, phase, batch""",
     "log_last": """
 select instance_id, phase, base, test_path, max_by(status, event_id) as status
 from log_events group by instance_id, phase, base, test_path""",
@@ -167,6 +185,14 @@ select repo, pr_number, listagg(concat('diff --git a/', filename, ' b/', filenam
     case status when 'added' then concat('new file mode 100644', chr(10)) when 'removed' then concat('deleted file mode 100644', chr(10)) else '' end,
     'index 1..2', chr(10), '@@ -1 +1 @@', chr(10), '-old', cast(pos as string), chr(10), '+new', cast(additions as string)), chr(10)) within group (order by pos) as diff
 from pr_files group by repo, pr_number""",
+    "renames": """
+select repo, pr_number, pos, filename, concat('old/', cast(pos as string), ' ', filename) as old_filename, additions, pr_id % 3 = 0 as pure from pr_files""",
+    "rename_diffs": """
+select repo, pr_number, listagg(concat('diff --git a/', old_filename, ' b/', filename, chr(10), 'similarity index 90%', chr(10), 'rename from ', old_filename, chr(10),
+    'rename to ', filename, chr(10), case when pure then '' else concat('index 1..2 100644', chr(10), '--- a/', old_filename, chr(10), '+++ b/', filename, chr(10),
+    '@@ -1,2 +1,2 @@', chr(10), ' same', chr(10), '-one', chr(10), '+two', chr(10), '@@ -9 +9 @@ def f():', chr(10), '-x', chr(10), '+', cast(additions as string), chr(10),
+    chr(92), ' No newline at end of file') end), chr(10)) within group (order by pos) as diff
+from renames group by repo, pr_number""",
     "agent_logs": """
 select event_id, case when event_id % 7 = 0 then 'no summary' else concat('x', chr(10), chr(27), '[1mExecution Summary', chr(27), '[0m', chr(10),
     '│ Steps │ 3 │', chr(10), case when event_id % 5 = 0 then '' else concat('│ Total Tokens   │ ', cast(event_id * 13 as string), ' │') end) end as log

@@ -34,16 +34,22 @@ def labels_of_selectors(selectors: DataFrame, logs: DataFrame, key: str = "insta
     A changed test is asked for by its selector; one that was not seen before the
     patch is UNKNOWN and therefore no FAIL_TO_PASS. Logs with a ``label`` come from
     separate runs (the changed tests alone, all tests together) and count for their own
-    label only; logs with a ``batch`` are parts of one run.
+    label only. Logs with a ``batch`` are parts of a run: each is judged by itself and what
+    matches in any of them counts; selectors with a ``batch`` are looked up in theirs only.
     """
-    run = [key, "phase", *[name for name in ("label", "batch") if name in logs.columns]]
+    parts = [name for name in ("batch",) if name in logs.columns]
+    run = [key, "phase", *[name for name in ("label",) if name in logs.columns], *parts]
+    own = [key, "phase", *parts]
     parsed = testlogs.test_results(logs, run)
-    of = lambda label: (parsed.where(F.col("label") == label) if "label" in run else parsed).select(key, "phase", "test_path", "status")
+    of = lambda label: (parsed.where(F.col("label") == label) if "label" in run else parsed).select(*own, "test_path", "status")
     results, all_results = of(F2P), of(P2P)
     phases = F.explode(F.array(F.lit("pre"), F.lit("post"))).alias("phase")
-    asked = selectors.select(key, F.col("selector").alias("test"), phases).distinct()
-    queried = testlogs.query_tests(asked, results, [key, "phase"])
-    rolled = testlogs.base_status(all_results, [key, "phase"]).withColumnRenamed("base", "test")
+    placed = [name for name in parts if name in selectors.columns]
+    asked = selectors.select(key, *placed, F.col("selector").alias("test"), phases).distinct()
+    if parts and not placed:
+        asked = asked.join(results.select(*own).distinct(), [key, "phase"])
+    queried = testlogs.query_tests(asked, results, own)
+    rolled = testlogs.base_status(all_results, own).withColumnRenamed("base", "test")
     failing = lambda phase, *wanted: F.bool_or((F.col("phase") == phase) & F.col("status").isin(*wanted))
     f2p = queried.groupBy(key, "test").agg(
         failing("pre", "FAILED", "ERROR").alias("_pre"), failing("post", "PASSED").alias("_post")

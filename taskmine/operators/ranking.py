@@ -26,6 +26,17 @@ def keep_one(rows: DataFrame, keys: list[str], order: list[str], keep: str) -> D
     return first_n(rows, keys, [direction(name) for name in order], 1)
 
 
+def landed_once(rows: DataFrame, keys: list[str], order: list[str], keep: str = "last") -> DataFrame:
+    """One row per key of a table whose keys may have landed again, by the order they landed in.
+
+    The place is chosen on narrow rows with partial aggregates; wide rows only pass a semi join.
+    ``order`` must tell the rows of one key apart.
+    """
+    place = F.struct(*order)
+    chosen = rows.groupBy(*keys).agg((F.max if keep == "last" else F.min)(place).alias("_at"))
+    return rows.join(chosen.select(*keys, "_at.*"), [*keys, *order], "left_semi")
+
+
 def keep_first_but_all_without_id(rows: DataFrame, keys: list[str], id_column: str, order: list[str]) -> DataFrame:
     """Keep the first row per key; rows whose id is null or empty all stay.
 

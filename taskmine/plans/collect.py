@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from taskmine import defaults as d
-from taskmine.operators import changes, releases as rel, repos as rep
+from taskmine.operators import changes, releases as rel, repos as rep, requests
 from taskmine.sources.stages import staged
 
 
@@ -51,11 +51,14 @@ def build_repositories(
     return rep.assemble(qualified, rel.top_versions(valid, limit), rep.readmes(landed), rep.ci_configs(landed))
 
 
-def release_requests(repositories: DataFrame, analysed: DataFrame, readme_length: int | None = None) -> DataFrame:
-    """Categorisation requests for releases without a stored analysis, one per release however often its repository is named."""
+def release_requests(repositories: DataFrame, analysed: DataFrame, readme_length: int | None = None, **wording: str) -> DataFrame:
+    """Categorisation requests for releases without a stored analysis, one per release however often its repository is named.
+
+    They are keyed by their prompts. ``wording``: ``template`` and ``readme_section`` of ``changes.release_requests``.
+    """
     once = repositories.dropDuplicates(["full_name"])
     rows = once.select(F.col("full_name").alias("repo"), "readme_content", F.inline("major_releases"))
-    return changes.release_requests(cache_misses(rows, analysed), readme_length=readme_length)
+    return requests.keyed(changes.release_requests(cache_misses(rows, analysed), readme_length=readme_length, **wording))
 
 
 def cache_misses(releases: DataFrame, analysed: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from taskmine.operators import changes as ch, pull_requests as pr, specs
+from taskmine.operators import changes as ch, pull_requests as pr, requests, specs
 from taskmine.sources.stages import staged
 
 
@@ -51,13 +51,29 @@ def with_stored(responses: DataFrame, stored: DataFrame | None) -> DataFrame:
     return known.unionByName(responses.join(known.select(*pr.PR), pr.PR, "left_anti"))
 
 
-def description_requests(changes: DataFrame, landed: Landed, analysed: DataFrame) -> Requests:
-    """Description requests for eligible pull requests that have no stored analysis."""
-    features = pr.feature_prs(changes)
+def description_requests(
+    changes: DataFrame, landed: Landed, analysed: DataFrame, template: str = pr.PR_PROMPT, **limits: int
+) -> Requests:
+    """Description requests for eligible pull requests that have no stored analysis, keyed by their prompts.
+
+    ``limits`` are those of ``pull_requests.files_summary``. Runs jobs when called.
+    """
+    features = staged(pr.feature_prs(changes), "features")
     todo = features.join(analysed.select(*pr.PR), pr.PR, "left_anti")
     eligible, prs, files = judged(todo, landed)
-    requests = pr.pr_requests(eligible, prs, pr.files_summary(files), pr.first_mentions(features))
-    return Requests(features, eligible, requests)
+    texts = pr.pr_requests(eligible, prs, pr.files_summary(files, **limits), pr.first_mentions(features), template)
+    return Requests(features, eligible, requests.keyed(texts))
+
+
+def feature_requests(
+    changes: DataFrame, landed: Landed, pr_responses: DataFrame, stored: DataFrame | None = None, template: str = pr.FEATURE_PROMPT
+) -> DataFrame:
+    """Synthesis requests for features with several described pull requests, keyed by their prompts. Runs jobs when called."""
+    features = staged(pr.feature_prs(changes), "features")
+    eligible, prs, files = judged(features, landed)
+    descriptions = pr.pr_descriptions(eligible, pr.first_mentions(features), with_stored(pr_responses, stored))
+    counts = files.groupBy(*pr.PR).agg(F.count("*").alias("n_files"))
+    return requests.keyed(pr.feature_requests(features, prs, counts, descriptions, template))
 
 
 def enrich_features(
