@@ -269,3 +269,45 @@ def test_stage_tables_end_with_their_block(spark):
 def test_queries_against_sql(spark, name):
     folder = "/root/testdata/sf0.001"
     assert differences(QUERIES[name](spark, folder), duckdb_on(folder), ORACLES[name]) == []
+
+
+# ---------------------------------------------------------------- fingerprints of long texts
+
+def test_fingerprints_of_very_long_texts(spark):
+    """Thousands of clauses of which all or few differ: exact, and in time that follows their number."""
+    import time
+
+    from taskmine.llm import fingerprints
+
+    def took(n):
+        texts = [". ".join(f"{name} {i}" for i in range(n)) for name in ("clause", "clauze")] + [". ".join(f"clause {i + i // (n - 3) * n}" for i in range(n))]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        begin = time.time()
+        rows = {r["doc_id"]: r for r in fingerprints.compared(docs).collect()}
+        cuts = [set(fingerprints_of(t)) for t in texts]
+        for i, own in enumerate(texts):
+            after = texts[i - 1] if i else texts[2]
+            half = len(own) // 2
+            for name, other in (("near_edited", own[:len(own) - half] + after[:half]), ("near_next", after)):
+                a, b = cuts[i], set(fingerprints_of(other))
+                assert rows[i][name] == pytest.approx(1 - len(a ^ b) / (len(a) + len(b)))
+        return time.time() - begin
+
+    took(100)
+    short, long = took(4000), took(16_000)
+    assert long < 8 * short + 5
+
+
+def fingerprints_of(text):
+    return [p for p in re.split(r"(?:(?<=[.])|(?<=\S{12})) ", text) if p]
+
+
+def test_cut_is_that_of_the_plain_pattern(spark, column):
+    """The cut that looks at blanks first gives the paragraphs of the pattern that looks behind everywhere."""
+    from taskmine.llm import fingerprints
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a", "bc", "abcdefghijkl", "mnopqrstuvwxyz", ".", ",", "。", "、", " ", " ", "  ", "\n", "\n\n", "é", "|"]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    plain = r"\n+|(?<=[\p{P}\p{S}]|\S{12})[ ]+|(?<=[。！？，、；：．｡､])(?![ \n])"
+    old = lambda c: F.array_distinct(F.transform(F.filter(F.split(c, plain, -1), lambda p: p != ""), lambda p: fingerprints._checked(F.xxhash64(p))))
+    assert column(fingerprints.paragraph_digests, texts) == column(old, texts)
