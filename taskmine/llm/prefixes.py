@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from taskmine.operators.ranking import numbered_in_blocks
 from taskmine.sources.stages import staged
 
-SHARD, PENDING = 20_000, 100_000
+SHARD, PENDING = 500, 100_000
 _TOP, _BLOCK, _IDS = 4096, 1024, 12  # heavy nodes a level; turns of a block; bits of the ids of a block
 _WORDS = r"[^\x20\x09-\x0D]+"
 _NODE = ["depth", "k1", "k2"]
