@@ -4,8 +4,9 @@ Strong finds stand alone: assigned secrets, cloud access identifiers, long hex s
 Weak candidates (short access identifiers, account names, connection endpoints, strings
 that look random, short assigned values) say little alone. They are interval-joined: the
 parts of a text are sorted by place, and a candidate is reported only if the parts it
-needs lie within ``reach`` code points of it and in the same scope (a stretch without a
-blank line). A name or identifier needs a secret, a random string needs a name,
+needs lie in the same scope (a stretch without a blank line), however far apart in it; how
+far the nearest of them is comes with the candidate (``distance``, the farther of two kinds),
+as a measure of confidence. A name or identifier needs a secret, a random string needs a name,
 identifier or endpoint, an endpoint needs a secret and a name or identifier.
 
 The join is a sorted look-up for each candidate, so no pairs are made, and since all
@@ -30,7 +31,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-REACH = 300
 KINDS = ("assign", "access", "hex")
 _FLAGS = re.IGNORECASE | re.ASCII
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", _FLAGS)
@@ -67,19 +67,26 @@ def _random_looking(word: str) -> bool:
 
 
 class _Places:
-    """Places of one role; says whether one lies within reach of a span and in its scope."""
+    """Places of one role; says how far the nearest one in a scope is from a span."""
 
     def __init__(self, spans: list[tuple[int, int]]):
         self.start = np.sort(np.array([s for s, _ in spans], np.int64))
         self.end = np.sort(np.array([e for _, e in spans], np.int64))
 
-    def near(self, low: int, high: int) -> int:
-        """How many touch the stretch from low to high."""
-        return int(np.searchsorted(self.start, high, "left") - np.searchsorted(self.end, low, "right"))
+    def near(self, span: tuple[int, int], low: int, high: int) -> int | None:
+        """Code points between a span and the nearest place inside low to high, 0 where they touch; None without any."""
+        if not np.searchsorted(self.start, high, "left") > np.searchsorted(self.end, low, "right"):
+            return None
+        if np.searchsorted(self.start, span[1], "right") > np.searchsorted(self.end, span[0], "left"):
+            return 0
+        k, j = int(np.searchsorted(self.start, span[1], "right")), int(np.searchsorted(self.end, span[0], "left"))
+        after = int(self.start[k]) - span[1] if k < len(self.start) and self.start[k] < high else None
+        before = span[0] - int(self.end[j - 1]) if j and self.end[j - 1] > low else None
+        return min(d for d in (after, before) if d is not None)
 
 
-def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the weak candidates whose complementary parts co-occur."""
+def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int]]:
+    """(start, end, kind, distance) of the weak candidates whose complementary parts co-occur."""
     names = [(m.start(), m.end()) for m in _NAME.finditer(text)] + [(m.start(), m.end()) for m in _SHORT_ID.finditer(text)]
     names += [(s, e) for s, kind, e in base if kind == 1]
     endpoints = [(m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
@@ -91,20 +98,22 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int) -> lis
     cuts = np.array([0] + [m.start() for m in _SCOPE.finditer(text)] + [len(text)])
     by_name, by_endpoint, by_secret = _Places(names), _Places(endpoints), _Places(strong + short + loose)
 
-    def around(span):
+    def to(places, span):
         k = int(np.searchsorted(cuts, span[0], "right"))
-        return max(span[0] - reach, int(cuts[k - 1])), min(span[1] + reach, int(cuts[min(k, len(cuts) - 1)]))
+        return places.near(span, int(cuts[k - 1]), int(cuts[min(k, len(cuts) - 1)]))
 
     out = set()
     for span in names:
-        if by_secret.near(*around(span)):
-            out.add((*span, "identifier"))
+        if (far := to(by_secret, span)) is not None:
+            out.add((*span, "identifier", far))
     for span in short + loose:
-        if by_name.near(*around(span)) or by_endpoint.near(*around(span)):
-            out.add((*span, "secret"))
+        found = [d for d in (to(by_name, span), to(by_endpoint, span)) if d is not None]
+        if found:
+            out.add((*span, "secret", min(found)))
     for span in endpoints:
-        if by_secret.near(*around(span)) and by_name.near(*around(span)):
-            out.add((*span, "endpoint"))
+        found = [to(by_secret, span), to(by_name, span)]
+        if None not in found:
+            out.add((*span, "endpoint", max(found)))
     starts = [s for s, _, _ in base]
     reached = list(accumulate((e for _, _, e in base), max))
 
@@ -115,14 +124,14 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int) -> lis
     return sorted(x for x in out if not inside(x))
 
 
-SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kind", StringType())])
+SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kind", StringType()), StructField("distance", IntegerType())])
 
 
-def scanned(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
-    """``docs`` with ``base`` (strong finds by start, then kind) and ``spans`` (with the linked candidates)."""
+def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``base`` (strong finds by start, then kind) and ``spans`` (with the linked candidates; strong finds have no distance)."""
     kept = [f for f in docs.schema.fields if f.name not in ("base", "spans")]
     schema = StructType(kept + [StructField("base", ArrayType(SPAN)), StructField("spans", ArrayType(SPAN))])
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("distance", pa.int32())]))
 
     def run(batches):
         for batch in batches:
@@ -134,7 +143,7 @@ def scanned(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFram
                 value = column[int(i)].as_py()
                 found = base_spans(value) if strong[i] else []
                 base[i] = [{"start": s, "end": e, "kind": KINDS[k]} for s, k, e in found]
-                more = [{"start": s, "end": e, "kind": k} for s, e, k in linked_spans(value, found, reach)] if weak[i] else []
+                more = [{"start": s, "end": e, "kind": k, "distance": d} for s, e, k, d in linked_spans(value, found)] if weak[i] else []
                 rank = {k: r for r, k in enumerate((*KINDS, "identifier", "secret", "endpoint"))}
                 spans[i] = sorted(base[i] + more, key=lambda s: (s["start"], rank[s["kind"]], s["end"]))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f.name)) for f in kept] + [pa.array(base, kind), pa.array(spans, kind)],

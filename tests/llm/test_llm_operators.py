@@ -268,6 +268,16 @@ def test_toxicity_with_one_class_or_none(spark):
     assert toxicity.train(spark.createDataFrame([], "doc_id long, text string, toxic int")).scores([None]).shape == (1,)
 
 
+def test_words_of_classes_inside_an_article():
+    """Parts of a class or id say nothing about text inside an article; whole classes do."""
+    long = "A sentence that is long enough to count as text of the article, with several words in it. " * 2
+    inner = "".join(f"<{tag}><p>{name} {long}</p></{tag.split(' ')[0]}>" for name, tag in [
+        ("one", 'div class="search-results"'), ("two", 'section id="side-effects"'), ("three", 'div class="tags share"'), ("four", 'p class="alert"'),
+        ("five", 'div class="sidebar"'), ("six", 'div class="post comments"'), ("seven", 'div id="cookie-notice"'), ("eight", 'div class="has-sidebar"')])
+    text = html_text.main_text(f"<html><body><article>{inner}</article></body></html>")
+    assert [part.split(" ")[0] for part in text.split("\n\n")] == ["one", "two", "three", "four", "eight"]
+
+
 # ---------------------------------------------------------------- fingerprints
 
 def test_fingerprints(spark, texts):
@@ -351,7 +361,11 @@ def test_secrets(spark, texts):
         assert all(s in rows[i]["spans"] for s in rows[i]["base"])
     kinds = lambda k: [s["kind"] for s in rows[len(texts) + k]["spans"]]
     assert kinds(6) == ["identifier", "secret", "endpoint"]  # complementary parts in one scope
-    assert kinds(7) == [] and kinds(8) == [] and kinds(9) == [] and kinds(2) == []
+    assert kinds(7) == [] and kinds(8) == [] and kinds(2) == []
+    # parts of one scope are linked however far apart; how far is told
+    far = rows[len(texts) + 9]["spans"]
+    assert [s["kind"] for s in far] == ["identifier", "secret"] and {s["distance"] for s in far} == {402}
+    assert {s["distance"] for s in rows[len(texts) + 6]["spans"]} == {1, 18} and all(s["distance"] is None for s in rows[0]["base"])
 
 
 def test_licences(spark, texts):
