@@ -125,17 +125,18 @@ _GATE = "(?i)(?<![0-9A-Za-z])(?:" + "|".join(k.replace(".", r"\.").replace(" ",
 _DETECTIONS = "array<struct<start:int,end:int,label:string,priority:int>>"
 
 
-def _rule_array() -> Column:
-    return F.array(*[F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(re.sub(r"[^0-9a-z]+", " ", keyword).strip()).alias("keyword"), F.lit(pattern).alias("pattern"))
-                     for label, priority, keyword, pattern in rules()])
-
-
-def rule_detections(text: Column, table: Column) -> Column:
+def rule_detections(text: Column) -> Column:
     """(start, end, label, priority): what the rules find in the whole text, after suppression; code points."""
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")  # of one length with the text
 
+    def of(label: str, priority: int, keyword: str, pattern: str, x: Column) -> Column:
+        # each pattern is a literal of its own, which Spark compiles once, and runs only behind its keyword
+        plain = re.sub(r"[^0-9a-z]+", " ", keyword).strip()
+        rule = F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(pattern).alias("pattern"))
+        return F.when(F.contains(x["flat"], F.lit(plain)) & F.rlike(x["low"], F.lit(pattern)), rule)
+
     def found_in(x):
-        hits = F.filter(table, lambda rule: F.contains(x["flat"], rule["keyword"]) & F.rlike(x["low"], rule["pattern"]))
+        hits = F.filter(F.array(*[of(*rule, x) for rule in rules()]), lambda rule: rule.isNotNull())
         return F.flatten(F.transform(hits, lambda rule: F.transform(matches(x["low"], rule["pattern"]), lambda m: F.struct(
             m["start"].alias("start"), m["end"].alias("end"), rule["label"].alias("label"), rule["priority"].alias("priority")))))
 
@@ -176,7 +177,7 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     staged = docs.withColumn("_gated", F.rlike(whole, F.lit(_GATE))).withColumn("n_words", count_words(whole).cast("long"))
     staged = staged.withColumn("places", F.when(F.col("_gated"), phrase_places(whole)).otherwise(F.array().cast("array<struct<start:int,end:int,label:string>>")))
-    staged = staged.withColumn("detections", F.when(F.col("_gated"), rule_detections(whole, _rule_array())).otherwise(F.array().cast(_DETECTIONS)))
+    staged = staged.withColumn("detections", F.when(F.col("_gated"), rule_detections(whole)).otherwise(F.array().cast(_DETECTIONS)))
     first, last = F.col("places")[0]["start"], F.element_at("places", -1)["start"]
     some = F.size("places") > 0
     staged = staged.withColumn("first_word", F.when(some, count_words(F.substr(whole, F.lit(1), first)).cast("long")))
