@@ -8,8 +8,11 @@ lines; lines at or above the threshold (a share of the mean smoothed ratio, the
 weighted by text) form clusters, which pick the content regions: the articles that hold a
 cluster (all articles if none does), or where the page marks none, the stretch from the first
 to the last clustered line, over all elements. Clustered lines that are mostly links begin and
-end no stretch, and none are kept in it. Inside a region every other line counts, however short, except those of menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments, by element or by class, id and role words.
+end no stretch, and none are kept in it. Inside a region every other line counts, however short,
+except those of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments: by element, role and class or id. Outside of articles a word of a class is
+enough; inside, a whole class must be a word of the list or be made of such words alone, as
+"search-results" or "side-effects" may well hold text.
 
 Character references are decoded, white space inside a line is one space, lines are joined
 by two newlines. A null or empty page, or one without text, gives the empty text. Broken
@@ -36,6 +39,8 @@ LEFT_OUT = frozenset("aside audio button canvas dialog footer form head iframe m
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLES = frozenset(["article", "main"])
 NOISE_WORDS = frozenset("ad ads adv advert advertisement advertising adsense banner sponsor sponsored sponsors promo promotion popup modal overlay cookie cookies consent gdpr notice notices alert disclaimer sidebar side rail widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc header masthead topbar footer foot bottom copyright comment comments commentlist discussion disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search toolbar skip tags".split())
+# words that article text may carry too, as parts of a class or id: inside an article they say nothing, and the others only as whole classes
+NOISE_CLASSES = NOISE_WORDS - frozenset("side search share tags alert skip foot bottom header reply respond rail toc copyright disclaimer overlay promotion sponsor sponsors signup login".split())
 NOISE_ROLES = frozenset("banner navigation complementary contentinfo search dialog alert alertdialog menu menubar form".split())
 # a new one of these ends an open one of the same group
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
@@ -55,6 +60,11 @@ def _noisy(tag: str, attributes: list, inside_article: bool) -> bool:
             if name == "hidden":
                 return True
         elif name in ("class", "id"):
+            if inside_article:
+                for token in value.lower().split():
+                    if token in NOISE_CLASSES or NOISE_WORDS.issuperset(_SPLIT.split(token)) and not NOISE_CLASSES.isdisjoint(_SPLIT.split(token)):
+                        return True
+                continue
             words = set(_SPLIT.split(value.lower()))
             if not NOISE_WORDS.isdisjoint(words) and _STATES.isdisjoint(words):
                 return True
