@@ -226,12 +226,33 @@ def edited_versions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 # rows of a document: cells of two differences, of the fingerprints of both texts, and single values
 _EDITED, _NEXT, _OWN_PRINT, _EDITED_PRINT, _VALUE = range(5)
+# one number says which cell of which sketch it is, and how wide the parts of the second size are: short rows keep the aggregates small
+_POS_BITS, _WHICH_BITS, _BELOW = 30, 3, 64
+
+
+def _cell(width: Column, which: Column | int, pos: Column) -> Column:
+    number = F.lit(which) if isinstance(which, int) else which
+    return F.shiftleft(width.cast("long"), _POS_BITS + _WHICH_BITS) + F.shiftleft(number.cast("long"), _POS_BITS) + pos + _BELOW
+
+
+def _width(cell: Column) -> Column:
+    return F.shiftright(cell, _POS_BITS + _WHICH_BITS).cast("int")
+
+
+def _which(cell: Column) -> Column:
+    return F.shiftright(cell, _POS_BITS).bitwiseAND(F.lit((1 << _WHICH_BITS) - 1))
+
+
+def _pos(cell: Column) -> Column:
+    return (cell.bitwiseAND(F.lit((1 << _POS_BITS) - 1)) - _BELOW).cast("int")
+
+
 _HEX = 13  # digits of a SHA-256 in one number
 _VALUES = ["n_chars", "next_id", "n_own", "n_edited", "n_next", *[f"sha_{k}" for k in range(5)]]
 
 
 def _sketched(pairs: DataFrame) -> DataFrame:
-    """Rows (document, which, pos, n, key): the cells of both differences in both sizes, of the two fingerprints, and the values."""
+    """Rows (document, cell, n, key): the cells of both differences in both sizes, of the two fingerprints, and the values."""
     sha = F.sha2("edited", 256)
     parts = [F.conv(F.substring(sha, 1 + _HEX * k, _HEX), 16, 10).cast("long") for k in range(5)]
     made = pairs.select("_bucket", "doc_id", "n_chars", "next_id", F.col("digests").alias("own"), paragraph_digests(F.col("edited")).alias("edited"),
@@ -244,21 +265,22 @@ def _sketched(pairs: DataFrame) -> DataFrame:
     side = F.when(at < F.col("n_own"), 0).when(at < F.col("n_own") + F.col("n_edited"), 1).otherwise(2)
     key, small = F.col("key"), F.lit(FIRST_SIZE // PARTS)
     places = [_place(key, F.lit(p), small, SALTS[0]) for p in range(PARTS)] + [F.lit(_LARGE) + _place(key, F.lit(p), F.col("width"), SALTS[3]) for p in range(PARTS)]
-    pos = F.when(at < 0, F.array((at * 1).cast("int"))).otherwise(F.array(*places))
-    placed = rows.select("_bucket", "doc_id", "key", F.when(at < 0, 3).otherwise(side).alias("side"), F.col("width"), F.explode(pos).alias("pos"))
+    cell = F.when(at < 0, F.array(_cell(F.col("width"), 0, at))).otherwise(F.array(*[_cell(F.col("width"), 0, place) for place in places]))
+    placed = rows.select("_bucket", "doc_id", "key", F.when(at < 0, 3).otherwise(side).alias("side"), F.explode(F.transform(pos, lambda p: _cell(F.col("width"), 0, p))).alias("cell"))
     one = lambda k: F.when(F.col("side") == k, 1).otherwise(0)
     own = lambda k: F.bit_xor(F.when(F.col("side") == k, F.col("key")).otherwise(F.lit(0).cast("long")))
-    cells = placed.groupBy("_bucket", "doc_id", "pos").agg(
-        F.max("width").alias("width"), *[F.sum(one(k)).alias(f"n{k}") for k in range(3)], *[own(k).alias(f"k{k}") for k in range(4)])
+    cells = placed.groupBy("_bucket", "doc_id", "cell").agg(
+        *[F.sum(one(k)).alias(f"n{k}") for k in range(3)], *[own(k).alias(f"k{k}") for k in range(4)])
 
     def row(which: int, n: Column, key: Column) -> Column:
-        return F.struct(F.lit(which).alias("which"), n.cast("long").alias("n"), key.alias("key"))
+        return F.struct((F.col("cell") + (which << _POS_BITS)).alias("cell"), n.cast("long").alias("n"), key.alias("key"))
 
     n, k = [F.col(f"n{c}") for c in range(3)], [F.col(f"k{c}") for c in range(4)]
     differences = [row(_EDITED, n[0] - n[1], k[0].bitwiseXOR(k[1])), row(_NEXT, n[0] - n[2], k[0].bitwiseXOR(k[2]))]
     prints = [row(_OWN_PRINT, n[0], k[0]), row(_EDITED_PRINT, n[1], k[1])]
-    out = F.when(F.col("pos") < 0, F.array(row(_VALUE, F.lit(0), k[3]))).when(F.col("pos") < _LARGE, F.array(*differences, *prints)).otherwise(F.array(*differences))
-    return cells.select("_bucket", "doc_id", "width", "pos", F.inline(out)).where((F.col("n") != 0) | (F.col("key") != 0) | (F.col("which") == _VALUE))
+    pos = _pos(F.col("cell"))
+    out = F.when(pos < 0, F.array(row(_VALUE, F.lit(0), k[3]))).when(pos < _LARGE, F.array(*differences, *prints)).otherwise(F.array(*differences))
+    return cells.select("_bucket", "doc_id", F.inline(out)).where((F.col("n") != 0) | (F.col("key") != 0) | (_which(F.col("cell")) == _VALUE))
 
 
 def _round(rows: DataFrame, part: int) -> DataFrame:
@@ -266,19 +288,22 @@ def _round(rows: DataFrame, part: int) -> DataFrame:
 
     A digest has one cell in a part, so none is given up twice.
     """
-    n, key, pos, large = F.col("n"), F.col("key"), F.col("pos"), F.col("pos") >= _LARGE
-    place = lambda p: F.when(large, F.lit(_LARGE) + _place(key, F.lit(p), F.col("width"), SALTS[3])).otherwise(_place(key, F.lit(p), F.lit(FIRST_SIZE // PARTS), SALTS[0]))
-    pure = (F.col("which") <= _NEXT) & (pos >= 0) & _pure(n, key) & (place(part) == pos)
-    one = lambda pos, n, key: F.struct(pos.cast("int").alias("pos"), n.alias("n"), key.alias("key"))
-    taken = [one(place(p), -n, key) for p in range(PARTS) if p != part]
-    found = one(F.when(large, -2).otherwise(-1), F.lit(1).cast("long"), F.lit(0).cast("long"))
-    spread = rows.select("_bucket", "doc_id", "which", "width", F.inline(F.when(pure, F.array(*taken, found)).otherwise(F.array(one(pos, n, key)))))
-    after = spread.groupBy("_bucket", "doc_id", "which", "pos").agg(F.max("width").alias("width"), F.sum("n").alias("n"), F.bit_xor("key").alias("key"))
-    return after.where((F.col("n") != 0) | (F.col("key") != 0) | (F.col("which") == _VALUE))
+    n, key, cell = F.col("n"), F.col("key"), F.col("cell")
+    pos, which, width = _pos(cell), _which(cell), _width(cell)
+    large = pos >= _LARGE
+    place = lambda p: F.when(large, F.lit(_LARGE) + _place(key, F.lit(p), width, SALTS[3])).otherwise(_place(key, F.lit(p), F.lit(FIRST_SIZE // PARTS), SALTS[0]))
+    pure = (which <= _NEXT) & (pos >= 0) & _pure(n, key) & (place(part) == pos)
+    one = lambda cell, n, key: F.struct(cell.alias("cell"), n.alias("n"), key.alias("key"))
+    taken = [one(cell - pos + place(p), -n, key) for p in range(PARTS) if p != part]
+    found = one(cell - pos + F.when(large, -2).otherwise(-1), F.lit(1).cast("long"), F.lit(0).cast("long"))
+    spread = rows.select("_bucket", "doc_id", F.inline(F.when(pure, F.array(*taken, found)).otherwise(F.array(one(cell, n, key)))))
+    after = spread.groupBy("_bucket", "doc_id", "cell").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"))
+    return after.where((F.col("n") != 0) | (F.col("key") != 0) | (_which(F.col("cell")) == _VALUE))
 
 
 def _judged(rows: DataFrame) -> DataFrame:
     """One row per document: its values, fingerprints, and for each difference the digests found, null where cells are left in both sizes."""
+    rows = rows.select("_bucket", "doc_id", _which(F.col("cell")).alias("which"), _pos(F.col("cell")).alias("pos"), "n", "key")
     value = {name: F.max(F.when((F.col("which") == _VALUE) & (F.col("pos") == k - len(_VALUES)), F.col("key"))).alias(name) for k, name in enumerate(_VALUES)}
     cell = F.struct("pos", F.col("n").cast("int").alias("n"), "key")
     prints = [F.array_sort(F.collect_list(F.when(F.col("which") == which, cell))).alias(name) for which, name in ((_OWN_PRINT, "own_cells"), (_EDITED_PRINT, "edited_cells"))]
