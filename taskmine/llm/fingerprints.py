@@ -266,7 +266,7 @@ def _sketched(pairs: DataFrame) -> DataFrame:
     key, small = F.col("key"), F.lit(FIRST_SIZE // PARTS)
     places = [_place(key, F.lit(p), small, SALTS[0]) for p in range(PARTS)] + [F.lit(_LARGE) + _place(key, F.lit(p), F.col("width"), SALTS[3]) for p in range(PARTS)]
     cell = F.when(at < 0, F.array(_cell(F.col("width"), 0, at))).otherwise(F.array(*[_cell(F.col("width"), 0, place) for place in places]))
-    placed = rows.select("_bucket", "doc_id", "key", F.when(at < 0, 3).otherwise(side).alias("side"), F.explode(F.transform(pos, lambda p: _cell(F.col("width"), 0, p))).alias("cell"))
+    placed = rows.select("_bucket", "doc_id", "key", F.when(at < 0, 3).otherwise(side).alias("side"), F.explode(cell).alias("cell"))
     one = lambda k: F.when(F.col("side") == k, 1).otherwise(0)
     own = lambda k: F.bit_xor(F.when(F.col("side") == k, F.col("key")).otherwise(F.lit(0).cast("long")))
     cells = placed.groupBy("_bucket", "doc_id", "cell").agg(
