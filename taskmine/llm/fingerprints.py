@@ -44,8 +44,10 @@ _STOPS = "[。！？，、；：．｡､]"
 _CUT_WIDE = rf"{_CUT}|(?<={_STOPS})(?![ \n])"
 _CELLS = "array<struct<pos:int,n:int,key:bigint>>"
 _CHECK = 24
-_BUCKET_ROWS = 2_000
+_BUCKET_ROWS = 60
 _SEGMENTS = 64
+# text of one task: its cells take about thirty times that in memory, so executors with more of it may take more
+TASK_CHARS = 2 << 20
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -168,14 +170,15 @@ def with_likeness(pairs: DataFrame, one: str, other: str, name: str, sizes: tupl
     return out.withColumn(name, _likeness(F.col("_peeled.recovered") + rest, total)).drop("_peeled")
 
 
-def followed(docs: DataFrame, doc_id: str, columns: list[str], bucket_rows: int = _BUCKET_ROWS) -> DataFrame:
+def followed(docs: DataFrame, doc_id: str, columns: list[str], bucket_rows: int = _BUCKET_ROWS, task_chars: int = TASK_CHARS) -> DataFrame:
     """``docs`` with ``next_<column>`` of the next lower id and ``_bucket``, which they are partitioned by; the lowest is followed by the highest.
 
     Ids are cut into segments by their quantiles and each segment evenly into ranges of
     about ``bucket_rows`` rows, so the order needs one shuffle and no task holds more than
-    some ranges; only the last row of a range looks up the first of the next.
+    some ranges, of about ``task_chars`` of text; only the last row of a range looks up the
+    first of the next.
     """
-    rows, low, high = docs.agg(F.count("*"), F.min(doc_id), F.max(doc_id)).first()
+    rows, low, high, chars = docs.agg(F.count("*"), F.min(doc_id), F.max(doc_id), F.sum(F.length("text")) if "text" in docs.columns else F.lit(0)).first()
     if not rows:
         return docs.select("*", F.lit(0).cast("long").alias("_bucket"), *[F.col(c).alias(f"next_{c}") for c in columns])
     cuts = docs.agg(F.percentile_approx(doc_id, [k / _SEGMENTS for k in range(1, _SEGMENTS)], 10_000)).first()[0]
@@ -188,6 +191,8 @@ def followed(docs: DataFrame, doc_id: str, columns: list[str], bucket_rows: int
     share = (own.cast("double") - floor.cast("double")) / (ceiling.cast("double") - floor.cast("double"))
     bucket = segment.cast("long") * each + F.floor(share * each)
     ranged = docs.withColumn("_bucket", bucket)
+    if chars:
+        ranged = ranged.repartition(-(-chars // task_chars), "_bucket")
     order = Window.partitionBy("_bucket").orderBy(F.desc(doc_id))
     ahead = ranged.withColumn("_next", F.lead(F.struct(*[F.col(c) for c in columns])).over(order))
     # first row of the nearest range below that has rows; the lowest range is followed by the highest
@@ -211,14 +216,14 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     return celled.withColumn("fingerprint", _text_of(F.col("cells")))
 
 
-def edited_versions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def edited_versions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", task_chars: int = TASK_CHARS) -> DataFrame:
     """doc_id, text, digests, the same of the next document and ``edited``: the last half replaced by as many first characters of that.
 
     Digests are made where the text is read and travel with it to the document before.
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = plain.withColumn("digests", paragraph_digests(F.col("text"))).withColumn("id", F.col("doc_id"))
-    both = followed(keyed, "doc_id", ["id", "text", "digests"]).withColumn("n_chars", F.length("text").cast("long"))
+    both = followed(keyed, "doc_id", ["id", "text", "digests"], task_chars=task_chars).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     kept = F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half)
     return both.withColumn("edited", F.concat(kept, F.substr("next_text", F.lit(1), half)))
@@ -321,9 +326,9 @@ def _judged(rows: DataFrame) -> DataFrame:
         *[F.when(differing(name).isNotNull(), _likeness(differing(name), F.col("n_own") + F.col(f"n_{name}"))).alias(f"near_{name}") for name in ("edited", "next")])
 
 
-def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", task_chars: int = TASK_CHARS) -> DataFrame:
     """Each document against its edited version and the next document. Runs jobs when called."""
-    rows = _sketched(edited_versions(docs, doc_id, text))
+    rows = _sketched(edited_versions(docs, doc_id, text, task_chars))
     for k in range(ROW_ROUNDS):
         rows = _round(rows, k % PARTS)
     known = staged(_judged(rows), "fingerprints")
