@@ -228,7 +228,7 @@ def trie(turns: DataFrame, convs: DataFrame, shard: int = SHARD, pending: int =
         F.count("*").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
     received = heavy.join(sent, _NODE, "left").fillna(0, _SUMS)
     ordered = received.repartition(1).sortWithinPartitions(F.desc("depth"), "k1", "k2")
-    top = _time_forward(ordered, F.col("depth") == 0, pending)
+    top = staged(_time_forward(ordered, F.col("depth") == 0, pending), "trie-top")
     parents = heavy.select((F.col("depth") + 1).alias("depth"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("heavy_conv_id"))
     adopted = roots.join(parents, ["depth", "p1", "p2"]).withColumn("parent_conv_id", F.col("heavy_conv_id"))
     columns = [*_NODE, "conv_id", "parent_conv_id", "n_convs", *_SUMS]
