@@ -68,6 +68,18 @@ def test_arrays_equal_the_line_form(spark, tmp_path):
     assert json.loads(next(p for p in (tmp_path / "array").glob("part-*") if p.stat().st_size > 4).read_text())[0]["patch"][0]["filename"] == "a.py"
 
 
+def test_compressed_arrays_are_read_without_a_shuffle_of_their_text(spark, tmp_path, monkeypatch):
+    frame = spark.range(300).select("id", F.lit('{"a": "}"}').alias("t")).repartition(3)
+    json_arrays.write(frame, str(tmp_path / "packed"), "gzip")
+    assert all(p.name.endswith(".gz") for p in (tmp_path / "packed").glob("part-*"))
+    names = []
+    keep = json_arrays.staged
+    monkeypatch.setattr(json_arrays, "staged", lambda table, name: names.append((name, table.columns)) or keep(table, name))
+    found = json_arrays.read(spark, str(tmp_path / "packed"), "id long, t string")
+    assert found.exceptAll(frame).isEmpty() and frame.exceptAll(found).isEmpty()
+    assert [name for name, columns in names if {"value", "text"} & set(columns)] == ["json-parts"]  # the text is written once
+
+
 def test_ranks_of_ranges(spark):
     rng = random.Random(3)
     rows = [(rng.choice([5, 5, 5, rng.randrange(1000)]), i) for i in range(3000)]
