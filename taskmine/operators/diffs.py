@@ -22,27 +22,26 @@ TEMPLATES = {
 }
 
 
-def _status(lines: Column, leading: int | None) -> Column:
-    """Status by the first marker before the first hunk, or among so many leading lines."""
-    hunk = F.array_position(F.transform(lines, lambda line: line.startswith("@@")), True)
-    size = F.lit(leading) if leading is not None else F.when(hunk > 0, (hunk - 1).cast("int")).otherwise(F.size(lines))
-    marked = F.filter(F.slice(lines, F.lit(1), size), lambda line: line.rlike("^(" + "|".join(MARKERS) + ")"))
-    first = F.get(marked, F.lit(0))
+def _status(piece: Column, leading: int | None) -> Column:
+    """Status by the first marker before the first hunk, or among so many leading lines; the first line is the header."""
+    head = F.substring_index(piece, "\n", leading) if leading is not None else F.substring_index(piece, "\n@@", 1)
+    first = F.regexp_extract(head, r"\n(" + "|".join(MARKERS) + ")", 1)
     status = F
     for marker, name in MARKERS.items():
-        status = status.when(first.startswith(marker), F.lit(name))
+        status = status.when(first == marker, F.lit(name))
     return status.otherwise(F.lit("modified"))
 
 
-def _hunks(lines: Column) -> Column:
-    """Lines that belong to hunks, from the first ``@@`` on; "no newline" notes anywhere."""
-    start = F.array_position(F.transform(lines, lambda line: line.startswith("@@")), True) - 1
+def _hunks(piece: Column) -> Column:
+    """Lines that belong to hunks, from the first ``@@`` on; "no newline" notes anywhere.
 
-    def belongs(line: Column, at: Column) -> Column:
-        inside = (start >= 0) & (at > start) & ((line == "") | line.substr(1, 1).isin("+", "-", " "))
-        return line.startswith("@@") | line.startswith("\\") | inside
-
-    return F.array_join(F.filter(lines, belongs), "\n")
+    Other lines are cut out of the text, so a piece is never taken apart into lines.
+    """
+    at = F.instr(piece, "\n@@")
+    body = F.regexp_replace(F.substr(piece, at), r"\n(?!@@|[-+ \\\n]|\z)[^\n]*+", "")
+    head = F.substring_index(piece, "\n@@", 1)
+    notes = F.when(F.contains(head, F.lit("\n\\")), F.regexp_replace(F.concat(F.lit("\n"), head), r"\n(?!\\)[^\n]*+", "")).otherwise("")
+    return F.substr(F.concat(notes, F.when(at > 0, body).otherwise("")), F.lit(2))
 
 
 def parse_diffs(diffs: DataFrame, column: str = "diff", marker_lines: int | None = None) -> DataFrame:
@@ -53,19 +52,18 @@ def parse_diffs(diffs: DataFrame, column: str = "diff", marker_lines: int | None
     keys = [name for name in diffs.columns if name != column]
     pieces = diffs.select(*keys, F.posexplode(F.split(column, FILE_BOUNDARY)).alias("piece", "_text"))
     trimmed = pieces.select(*keys, "piece", text.strip(F.col("_text")).alias("_text"))
-    # the header is cut off before the lines are split, so that dropping a piece costs no split
     header = F.substring_index("_text", "\n", 1)
-    lines = trimmed.where(header.rlike(HEADER)).select(
-        *keys, "piece", F.split("_text", "\n").alias("_lines"),
+    headed = trimmed.where(header.rlike(HEADER)).select(
+        *keys, "piece", "_text",
         F.regexp_extract(header, HEADER, 1).alias("_old"), F.regexp_extract(header, HEADER, 2).alias("_new"),
     )
-    parsed = lines.withColumn("status", _status(F.col("_lines"), marker_lines))
+    parsed = headed.withColumn("status", _status(F.col("_text"), marker_lines))
     named = parsed.withColumn("filename", F.when(F.col("status") == "removed", F.col("_old")).otherwise(F.col("_new")))
     both = (F.col("_old") != "") & (F.col("_new") != "")
     return named.where(both | (F.col("filename") != "")).select(
         *keys, "piece", "filename", "status",
         F.when(F.col("status") == "renamed", F.col("_old")).alias("old_filename"),
-        _hunks(F.col("_lines")).alias("patch_content"),
+        _hunks(F.col("_text")).alias("patch_content"),
         paths.is_test_patch(F.col("filename")).alias("is_test_file"),
     )
 

@@ -102,3 +102,26 @@ def test_incomplete_changes_are_not_usable(spark):
     assert sorted(r["filename"] for r in usable.collect()) == ["a.py", "tests/test_a.py"]
     pick = lambda **flags: sorted(r["filename"] for r in df.filter_patches(usable, **flags).collect())
     assert pick(include_test=False) == ["a.py"] and pick(include_source=False) == ["tests/test_a.py"]
+
+
+def test_pieces_are_not_taken_apart_into_lines(spark):
+    from taskmine.functions import paths
+
+    lines = ["", "@", "@x", "@@ -1 +1 @@", "+a", "-b", " c", "d", "\\\\ No newline", "rename from x", "new file mode 1", "\t", "deleted file mode 2"]
+    rng = random.Random(5)
+    pieces = [["diff --git a/x b/test_y.py"] + [rng.choice(lines) for _ in range(rng.randrange(12))] + ["+z"] for _ in range(300)]
+    frame = spark.createDataFrame([(n, "\n".join(piece)) for n, piece in enumerate(pieces)], "n long, diff string")
+    for marker_lines in (None, 1, 3):
+        found = df.parse_diffs(frame, marker_lines=marker_lines)
+        assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+        for row in found.collect():
+            piece = pieces[row["n"]]
+            start = next((k for k, line in enumerate(piece) if line.startswith("@@")), None)
+            head = piece[:marker_lines] if marker_lines else piece[:start]
+            marks = [name for line in head for marker, name in df.MARKERS.items() if line.startswith(marker)]
+            kept = [line for k, line in enumerate(piece) if line.startswith(("@@", "\\"))
+                    or (start is not None and k > start and (line == "" or line[0] in "+- "))]
+            assert (row["status"], row["patch_content"]) == ((marks + ["modified"])[0], "\n".join(kept))
+    names = ["a/test/b.py", "a/tests/b.py", "x_test.py", "contest.py", "test.txt", "a/testing/b.py", "b.py", "TEST_a.py"]
+    flags = spark.createDataFrame([(n,) for n in names], "f string").select(paths.is_test_patch(F.col("f")).alias("t")).collect()
+    assert [r["t"] for r in flags] == [True, True, True, True, False, True, False, True]
