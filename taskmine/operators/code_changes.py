@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from taskmine import defaults as d
 from taskmine.functions import source_code, text
-from taskmine.operators.ranking import numbered_in_blocks
+from taskmine.operators.ranking import dealt, numbered_in_blocks
 
 TYPES = ["function", "class", "method"]
 
@@ -38,11 +38,12 @@ def code_changes(pairs: DataFrame, before: str = "before_src", after: str = "aft
     """Added, deleted and modified elements of each pair of sources.
 
     Both sides become element rows that meet in one aggregate per (file, name), with a
-    fingerprint in place of the body, so one shuffle of short rows does the comparison.
+    fingerprint in place of the body. The pairs are dealt by their keys before they are parsed:
+    elements then meet where they are listed, and no task lists those of a whole small file.
     A pair with a side too deep to parse is left out; ``unreadable_pairs`` lists those.
     """
     keys = [name for name in pairs.columns if name not in (before, after)]
-    parsed = source_code.with_elements(pairs, {"_b": F.col(before), "_a": F.col(after)}).select(*keys, "_b", "_a")
+    parsed = source_code.with_elements(dealt(pairs, keys) if keys else pairs, {"_b": F.col(before), "_a": F.col(after)}).select(*keys, "_b", "_a")
 
     def tagged(column: str, tag: str) -> Column:
         return F.transform(column, lambda one: F.struct(

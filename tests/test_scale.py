@@ -99,3 +99,20 @@ def test_a_hot_pull_request_is_judged_on_all_its_files(spark):
     definitions = pr.snapshot_definitions(landed.withColumn("content", source))
     flags = {r["pr_number"]: r["eligible"] for r in pr.eligibility(files, prs, definitions).collect()}
     assert flags.pop("hot") is False and len(flags) == 40 and all(flags.values())
+
+
+def test_steps_that_widen_rows_are_dealt_over_all_tasks(spark):
+    """Else their tasks are as few as the small rows before them need, and hold ever more as these grow."""
+    from taskmine.operators import code_changes as cc
+
+    source = "def f():\n    return 1\n"
+    pairs = spark.createDataFrame([("i", f"p{k}", source, source + "\ndef g(): pass\n") for k in range(40)] * 2 + [(None, None, "", source)],
+                                  "instance_id string, path string, before_src string, after_src string").coalesce(1)
+    files = spark.createDataFrame([("r", str(k % 9), k, f"a{k}.py", "added", 1, 2, "+" * 20) for k in range(90)],
+                                  "repo string, pr_number string, pos int, filename string, status string, additions long, deletions long, patch string").coalesce(1)
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for found, keys in ((cc.code_changes(pairs), "instance_id, path"), (pr.files_summary(files, max_files=2), "repo, pr_number")):
+        plan = re.sub(r"#\d+", "", found._jdf.queryExecution().executedPlan().toString())
+        assert f"hashpartitioning({keys}, {number}), REPARTITION_BY_NUM" in plan
+    rows = [(r["path"], r["name"], r["change_type"]) for r in cc.code_changes(pairs).collect()]
+    assert sorted(rows, key=repr) == sorted([(f"p{k}", "g", "added") for k in range(40)] + [(None, "f", "added")], key=repr)
