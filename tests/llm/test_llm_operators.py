@@ -478,3 +478,19 @@ def test_repeats(spark, texts, members):
         row = rows[i]
         assert (row["n_bytes"], len(row["spans"]), bytes(row["kept"])) == (size, runs, kept)
     assert repeats.without_repeats(frame(spark, [])).count() == 0
+
+
+def test_pairs_of_a_cell_are_counted_as_they_come():
+    import tracemalloc
+
+    shared = np.arange(12_000, dtype=np.uint64)  # of 40 members among 100: lists that are short, but many
+    sets = [np.r_[shared, 50_000 + k].astype(np.uint64) if k < 40 else np.arange(100_000 + 10 * k, 100_005 + 10 * k, dtype=np.uint64) for k in range(100)]
+    first = np.r_[0, np.cumsum([len(s) for s in sets])]
+    tracemalloc.start()
+    linked = near._links(first, np.concatenate(sets), 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.zeros((100, 100), bool)
+    want[:40, :40] = True
+    np.fill_diagonal(want, False)
+    assert (linked == want).all() and peak < 250e6, peak
