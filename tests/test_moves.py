@@ -65,3 +65,17 @@ def test_specs_move_once_and_are_not_written(spark):
     assert rows_of(kept.select("instance_id", "spec_order.seq", "version", F.to_json("patch"))).keys() >= {
         ("a", 1, "v3", None), ("b", 5, "v5", "[]")}
     assert kept.where("instance_id is not null").count() == 2
+
+
+def test_analyses_move_once_and_equal_features_stay_apart(spark):
+    features = spark.createDataFrame([("o/a", "v1", 0, "1", 0), ("o/a", "v1", 0, "2", 1), ("o/a", "v1", 1, "2", 0)],
+                                     "repo string, tag_name string, feature_pos int, pr_number string, pr_pos int")
+    one = ("o/a", "v1", 0, "new_feature", "f", 2, "text")
+    enriched = spark.createDataFrame([one, one, ("o/a", "v1", 1, "new_feature", "g", 1, "other")],
+                                     "repo string, tag_name string, feature_pos int, feature_type string, description string, n_prs bigint, feature_detailed_description string")
+    analyses = spark.createDataFrame([("o/a", "1", ("1",)), ("o/a", "2", ("2",))], "repo string, pr_number string, pr_analysis struct<pr_number:string>")
+    records = spark.createDataFrame([("o/a", "v1", 0, ("now",))], "repo string, tag_name string, release_pos int, original_analysis struct<analyzed_at:string>")
+    nested = pr.nested_results(features, enriched, analyses, records)
+    described = [(each["description"], [pull["pr_number"] for pull in each["pr_analyses"]]) for each in nested.first()["enhanced_new_features"]]
+    assert described == [("f", ["1", "2"]), ("f", ["1", "2"]), ("g", ["2"])]
+    assert "REPARTITION_BY_NUM" in plan(nested)
