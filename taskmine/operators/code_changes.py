@@ -9,6 +9,7 @@ from taskmine.functions import source_code, text
 from taskmine.operators.ranking import dealt, numbered_in_blocks
 
 TYPES = ["function", "class", "method"]
+TASKS = 4  # tasks that group elements, times the usual number: a group is far larger than its compressed elements
 
 # --- fixed values: report texts -------------------------------------------
 HEADINGS = {"added": "🟢 Added:", "modified": "🟡 Modified:", "deleted": "🔴 Deleted:"}
@@ -38,8 +39,9 @@ def code_changes(pairs: DataFrame, before: str = "before_src", after: str = "aft
     """Added, deleted and modified elements of each pair of sources.
 
     Both sides become element rows that meet in one aggregate per (file, name), with a
-    fingerprint in place of the body. The pairs are dealt by their keys before they are parsed:
-    elements then meet where they are listed, and no task lists those of a whole small file.
+    fingerprint in place of the body. The pairs are dealt by their keys before they are parsed,
+    so no task lists the elements of a whole small file, and the elements by (file, name) before
+    they are grouped, so no task groups as many as pack into a usual shuffle read.
     A pair with a side too deep to parse is left out; ``unreadable_pairs`` lists those.
     """
     keys = [name for name in pairs.columns if name not in (before, after)]
@@ -54,7 +56,7 @@ def code_changes(pairs: DataFrame, before: str = "before_src", after: str = "aft
     elements = parsed.select(*keys, F.inline(F.concat(tagged("_b", "b"), tagged("_a", "a"))))
     one, two = text.fingerprint(F.col("code"))
     short = elements.select(*keys, "side", "code_type", "name", one.alias("_1"), two.alias("_2"))
-    found = short.groupBy(*keys, "name").agg(*[
+    found = dealt(short, [*keys, "name"], TASKS).groupBy(*keys, "name").agg(*[
         F.max(F.when((F.col("side") == tag) & (F.col("code_type") == kind), F.col(f"_{n}"))).alias(f"_{tag}_{kind}_{n}")
         for tag in "ba" for kind in TYPES for n in (1, 2)
     ])

@@ -116,3 +116,29 @@ def test_steps_that_widen_rows_are_dealt_over_all_tasks(spark):
         assert f"hashpartitioning({keys}, {number}), REPARTITION_BY_NUM" in plan
     rows = [(r["path"], r["name"], r["change_type"]) for r in cc.code_changes(pairs).collect()]
     assert sorted(rows, key=repr) == sorted([(f"p{k}", "g", "added") for k in range(40)] + [(None, "f", "added")], key=repr)
+
+
+def changes_frame(spark):
+    """Forty pairs, each twice, and one without keys; each gains or loses one element."""
+    from taskmine.operators import code_changes as cc
+
+    source = "def test_f():\n    return 1\n"
+    return cc, spark.createDataFrame([("i", f"p{k}", source, source + "\ndef test_g(): pass\n") for k in range(40)] * 2 + [(None, None, source, "")],
+                                     "instance_id string, path string, before_src string, after_src string").coalesce(1)
+
+
+def exchanges(frame):
+    return re.findall(r"Exchange (.*?), \[", re.sub(r"#\d+", "", plan(frame)))
+
+
+@pytest.mark.parametrize("wanted", ["changes"])
+def test_elements_are_grouped_in_tasks_whose_number_is_set(spark, wanted):
+    """Else Spark sizes them by compressed elements, and one task groups ever more as the input grows."""
+    cc, pairs = changes_frame(spark)
+    changes = cc.code_changes(pairs)
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = changes if wanted == "changes" else cc.run_hints(cc.changed_tests(changes))
+    assert exchanges(found)[0] == f"hashpartitioning(instance_id, path, name, {number * cc.TASKS}), REPARTITION_BY_NUM"
+    assert not [one for one in exchanges(found) if "ENSURE_REQUIREMENTS" in one]
+    rows = sorted(((r["path"], r["name"], r["change_type"]) for r in found.collect()), key=repr)
+    assert rows == sorted([(f"p{k}", "test_g", "added") for k in range(40)] + [(None, "test_f", "deleted")], key=repr)
