@@ -131,7 +131,7 @@ def exchanges(frame):
     return re.findall(r"Exchange (.*?), \[", re.sub(r"#\d+", "", plan(frame)))
 
 
-@pytest.mark.parametrize("wanted", ["changes"])
+@pytest.mark.parametrize("wanted", ["changes", "hints"])
 def test_elements_are_grouped_in_tasks_whose_number_is_set(spark, wanted):
     """Else Spark sizes them by compressed elements, and one task groups ever more as the input grows."""
     cc, pairs = changes_frame(spark)
