@@ -108,8 +108,12 @@ def test_selectors(tests: DataFrame) -> DataFrame:
 
 
 def without_changed_tests(specs: DataFrame, tests: DataFrame) -> DataFrame:
-    """Specs with no changed test at all; they end up processed and unlabelled."""
-    return specs.join(tests.select("instance_id"), "instance_id", "left_anti").select(
+    """Specs with no changed test at all; they end up processed and unlabelled.
+
+    Merged, since the changed tests are many more than the sizes of landed files let Spark expect:
+    it would broadcast all of them.
+    """
+    return specs.join(tests.select("instance_id").hint("merge"), "instance_id", "left_anti").select(
         "instance_id", F.lit(True).alias("processed")
     )
 

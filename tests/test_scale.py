@@ -142,3 +142,14 @@ def test_elements_are_grouped_in_tasks_whose_number_is_set(spark, wanted):
     assert not [one for one in exchanges(found) if "ENSURE_REQUIREMENTS" in one]
     rows = sorted(((r["path"], r["name"], r["change_type"]) for r in found.collect()), key=repr)
     assert rows == sorted([(f"p{k}", "test_g", "added") for k in range(40)] + [(None, "test_f", "deleted")], key=repr)
+
+
+def test_changed_tests_are_not_broadcast_to_the_specs(spark, tmp_path):
+    """Sizes of landed files say little about how many changed tests they hold."""
+    cc, pairs = changes_frame(spark)
+    pairs.write.parquet(f"{tmp_path}/pairs")
+    tests = cc.changed_tests(cc.code_changes(spark.read.parquet(f"{tmp_path}/pairs")))
+    specs = spark.createDataFrame([("i",), ("i",), ("j",), ("j",), ("k",), (None,)], "instance_id string")
+    skipped = cc.without_changed_tests(specs, tests)
+    assert "Broadcast" not in plan(skipped) and "SortMergeJoin" in plan(skipped)
+    assert sorted((tuple(r) for r in skipped.collect()), key=repr) == [("j", True), ("j", True), ("k", True), (None, True)]
