@@ -150,9 +150,11 @@ def _sections(headings: dict[str, str]) -> list[Column]:
     ]
 
 
-def _with_unchanged(changes: DataFrame, files: DataFrame | None, keys: list[str]) -> DataFrame:
+def _by_file(changes: DataFrame, files: DataFrame | None, keys: list[str]) -> DataFrame:
+    """The changes and a row for each file, dealt by file: lists gathered before a shuffle would only hold memory."""
     rows = changes.select(*keys, "change_type", "code_type", "name")
-    return rows if files is None else rows.unionByName(files.select(*keys), allowMissingColumns=True)
+    rows = rows if files is None else rows.unionByName(files.select(*keys), allowMissingColumns=True)
+    return dealt(rows, keys, TASKS) if keys else rows
 
 
 def change_report(changes: DataFrame, keys: list[str], files: DataFrame | None = None) -> DataFrame:
@@ -161,7 +163,7 @@ def change_report(changes: DataFrame, keys: list[str], files: DataFrame | None =
     With ``files``, files without changes get a line that says so.
     """
     report = F.concat_ws("\n", *_sections(HEADINGS))
-    grouped = _with_unchanged(changes, files, keys).groupBy(*keys).agg(report.alias("report"))
+    grouped = _by_file(changes, files, keys).groupBy(*keys).agg(report.alias("report"))
     return grouped.withColumn("report", F.when(F.col("report") == "", F.lit(NO_CHANGES)).otherwise(F.col("report")))
 
 
@@ -180,8 +182,7 @@ def test_report(tests: DataFrame, keys: list[str], files: DataFrame | None = Non
         F.concat(F.lit(HINT_FUNCTIONS + "\n"), _listed(is_type("function"), by_name)),
         F.concat(F.lit(HINT_METHODS + "\n"), _listed(is_type("method"), by_node)),
     )
-    rows = _with_unchanged(tests, files, keys)
-    grouped = rows.groupBy(*keys).agg(report.alias("_text"), F.count("change_type").alias("_n"))
+    grouped = _by_file(tests, files, keys).groupBy(*keys).agg(report.alias("_text"), F.count("change_type").alias("_n"))
     shown = F.when(F.col("_n") > 0, F.col("_text")).otherwise(F.lit(NO_TEST_CHANGES))
     return grouped.select(*keys, shown.alias("report"))
 

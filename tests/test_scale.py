@@ -153,3 +153,13 @@ def test_changed_tests_are_not_broadcast_to_the_specs(spark, tmp_path):
     skipped = cc.without_changed_tests(specs, tests)
     assert "Broadcast" not in plan(skipped) and "SortMergeJoin" in plan(skipped)
     assert sorted((tuple(r) for r in skipped.collect()), key=repr) == [("j", True), ("j", True), ("k", True), (None, True)]
+
+
+def test_reports_are_gathered_once_in_tasks_whose_number_is_set(spark):
+    cc, pairs = changes_frame(spark)
+    tests = cc.changed_tests(cc.code_changes(pairs))
+    found = cc.test_report(tests, ["path"], pairs)
+    number = int(spark.conf.get("spark.sql.shuffle.partitions")) * cc.TASKS
+    assert exchanges(found)[0] == f"hashpartitioning(path, {number}), REPARTITION_BY_NUM"
+    reports = {r["path"]: r["report"] for r in found.collect()}
+    assert len(reports) == 41 and all("function: test_g" in reports[f"p{k}"] for k in range(40)) and "function: test_f" in reports[None]
