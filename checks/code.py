@@ -108,7 +108,7 @@ select instance_id, path, concat(path, '::', replace(name, '.', '::')) as select
 
 
 def pairs(t):
-    return t.test_sources.select("instance_id", "path", "before_src", "after_src")
+    return t.sources_dealt().test_sources.select("instance_id", "path", "before_src", "after_src")
 
 
 def tests(t):

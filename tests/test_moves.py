@@ -7,8 +7,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from checks.views import Tables
-from taskmine.operators import pull_requests as pr, specs as sp
+from taskmine.operators import code_changes as cc, pull_requests as pr, specs as sp
 from taskmine.sources import stages
 
 FILE = "instance_id string, spec_order struct<seq:bigint,feature_pos:int,pr_pos:int>, version string, patch array<string>"
@@ -53,6 +54,19 @@ def test_dealt_rows_give_the_rows_of_the_view_and_gather_in_place(spark, lineite
     assert exchanges(gathered(dealt)) == 1 < exchanges(gathered(plain))
 
 
+def test_sources_are_dealt_before_their_texts_are_made(spark, tmp_path):
+    """Else the one task that reads the given file holds the texts of all its rows for a shuffle."""
+    rows = [(key, 20 + key % 9, f"Brand#{key % 3}") for key in range(13)] + [(4, 24, "Brand#1"), (12, None, None), (None, 30, "Brand#2")]
+    spark.createDataFrame(rows, "p_partkey bigint, p_size int, p_brand string").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    found, table = queries()["run_hints"](spark, str(tmp_path)), Tables(spark, str(tmp_path))
+    above, read = re.split(r"Exchange (?=hash)", plan(found))[-2:]
+    assert read.startswith("hashpartitioning(p_partkey") and "concat" not in read and "concat" in above
+    pairs = table.test_sources.select("instance_id", "path", "before_src", "after_src")
+    assert rows_of(found) == rows_of(cc.run_hints(cc.changed_tests(cc.code_changes(pairs))).select("path", "name", "command"))
+    assert ("tests/test_8.py", "test_new", "pytest -v -k test_new tests/test_8.py") in rows_of(found)
+    assert rows_of(table.sources_dealt().test_sources) == rows_of(table.test_sources)
+
+
 def test_specs_move_once_and_are_not_written(spark):
     specs = spark.createDataFrame([
         ("a", (2, 0, 0), "v2", ["x"]), ("a", (1, 0, 0), "v1", ["y"]), ("a", (2, 0, 1), "v3", None),
