@@ -179,6 +179,21 @@ def test_near_duplicates(spark, texts, options):
     assert sorted((r["doc_id"], r["class_id"], r["n_links"], r["n_ngrams"]) for r in rows) == [(i, *w) for i, w in enumerate(want)]
 
 
+@pytest.mark.parametrize("options", [{}, {"cell_members": 2, "cell_size": 100}])
+def test_near_duplicates_of_chains(spark, options):
+    """Texts that are alike only through others, of larger ids too, are one class."""
+    rng = random.Random(3)
+    texts = []
+    for places in ([0, 2, 1], [1, 3, 0, 2], [5, 0, 4, 1, 3, 2], [0, 1, 2, 3]):
+        words = [f"{chr(97 + rng.randrange(26))}{rng.randrange(10**6)}" for _ in range(120)]
+        texts += [" ".join(words[6 * k:6 * k + 90]) for k in places]  # neighbours share 80 of 86 n-grams, others fewer
+    texts += [texts[2], texts[-1]]
+    rows = near.linked(frame(spark, texts), **options).collect()
+    want = expected_classes(texts)
+    assert len({c for c, _, _ in want}) == 4 and min(n for _, n, _ in want) < 3
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"], r["n_ngrams"]) for r in rows) == [(i, *w) for i, w in enumerate(want)]
+
+
 def test_one_of_each_keeps_rows_without_words(spark, texts):
     kept = {r["doc_id"] for r in near.one_of_each(frame(spark, texts)).select("doc_id").collect()}
     assert kept == {c for c, _, _ in expected_classes(texts)}
