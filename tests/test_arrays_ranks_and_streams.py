@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,52 @@ def test_compressed_arrays_are_read_without_a_shuffle_of_their_text(spark, tmp_p
     assert [name for name, columns in names if {"value", "text"} & set(columns)] == ["json-parts"]  # the text is written once
 
 
+@pytest.mark.parametrize("field", [None, "results"])
+def test_files_of_one_split_are_read_in_one_pass(spark, tmp_path, monkeypatch, field):
+    rows = objects(random.Random(6), 40)
+    for name, some, indent in (("a", rows, None), ("b", rows[:3], 2), ("c", [], None), ("d", rows[5:9], 1)):
+        document = some if field is None else {"note": "{", "results": some, "more": [1]}
+        with gzip.open(tmp_path / f"{name}.json.gz", "wt", encoding="utf-8") as file:
+            file.write(json.dumps(document, indent=indent, ensure_ascii=name == "b"))
+    (tmp_path / "e.json").write_text(json.dumps(rows[:5])[:-20] if field is None else '{"results": [')  # breaks off
+    names, keep = [], json_arrays.staged
+    monkeypatch.setattr(json_arrays, "staged", lambda table, name: names.append(name) or keep(table, name))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # elements go on from one batch to the next
+    try:
+        found = json_arrays.elements(spark, str(tmp_path), field).orderBy("file", "element_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {}
+    for r in found:
+        assert r["element"].startswith("{") and r["element_no"] == len(got.setdefault(r["file"].rsplit("/", 1)[1][0], []))
+        got[r["file"].rsplit("/", 1)[1][0]].append(json.loads(r["element"]))
+    assert got == {"a": rows, "b": rows[:3], "d": rows[5:9]} | ({"e": rows[:4]} if field is None else {})
+    assert names == ["json-parts"]  # no other pass over the text
+
+
+def test_measures_of_pieces():
+    rng = random.Random(7)
+    for _ in range(300):
+        pieces = [bytes(rng.choice(b'[]{"\\\\\\a\xc3 ') for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 9))]
+        odd, outer, inner, first = (one.tolist() for one in json_arrays._measured(pa.array(pieces, pa.binary())))
+        for k, piece in enumerate(pieces):
+            steps = []
+            for inside in (False, True):
+                depth, at = 0, 0
+                while at < len(piece):
+                    one = piece[at:at + 1]
+                    if one == b"\\" and piece[at + 1:at + 2] in (b"\\", b'"'):
+                        at += 1
+                    elif one == b'"':
+                        inside = not inside
+                    elif not inside:
+                        depth += (one in b"[{") - (one in b"]}")
+                    at += 1
+                steps.append(depth - (not inside))
+            assert (odd[k], outer[k], inner[k]) == (int(not inside), *steps)  # what began inside
+            assert first[k] == (piece.index(b"{") if b"{" in piece else len(piece))
+
+
 def test_ranks_of_ranges(spark):
     rng = random.Random(3)
     rows = [(rng.choice([5, 5, 5, rng.randrange(1000)]), i) for i in range(3000)]
